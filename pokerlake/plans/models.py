@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.labels import sample_confidence
 from pokerlake.functions.numbers import pct, rounded
-from pokerlake.operators.ordered import top
+from pokerlake.operators.ordered import must_split, running, top
 from pokerlake.plans.features import HAND_FEATURES, PLAYER_FEATURES
 
 # Training settings of the two models.
@@ -42,11 +42,40 @@ def trainable(features: DataFrame, min_hands: int = MIN_HANDS) -> DataFrame:
     return features.filter(F.col("total_hands") >= min_hands)
 
 
+def medians(df: DataFrame, columns: list[str], split: bool | None = None) -> DataFrame:
+    """Exact medians, one row with a column each.
+
+    Equal values are counted first; the middle ranks are then read off running counts, so
+    no task holds the values of a whole column.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    counted = (
+        df.select(F.explode(pairs).alias("p"))
+        .select("p.*")
+        .filter("value IS NOT NULL")
+        .groupBy("name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    if split is None:
+        split = must_split(counted, ["name"])
+    upto = running(counted, ["name"], ["value"], {"upto": F.col("n")}, split=split)
+    # One row per column name: safe to broadcast.
+    sizes = F.broadcast(counted.groupBy("name").agg(F.sum("n").alias("size")))
+
+    def at_rank(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= rank, F.col("value")))
+
+    size = F.col("size")
+    middle = upto.join(sizes, "name").groupBy("name").agg(
+        ((at_rank(F.floor((size + 1) / 2)) + at_rank(F.floor((size + 2) / 2))) / 2).alias("median")
+    )
+    return middle.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
+
+
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace NULLs by the exact median of the column, found in one aggregation."""
-    medians = df.agg(*[F.median(c).alias(c) for c in columns])
-    filled = {c: F.coalesce(F.col(c).cast("double"), medians.select(c).scalar()) for c in columns}
-    return df.withColumns(filled)
+    """Replace NULLs by the exact median of the column."""
+    found = medians(df, columns).select(F.struct(*columns)).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), found[c]) for c in columns})
 
 
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
