@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pokerlake.functions.cards import norm_cards, norm_position
@@ -56,58 +56,38 @@ def match_method(hand_id: Column, same_position: Column) -> Column:
 def nearest_hands(probes: DataFrame, hands: DataFrame, tolerance: int = MATCH_SECONDS) -> DataFrame:
     """The best hand for each distinct (cards, position, second) of the captures.
 
-    ``probes``: cards, pos, ts. ``hands``: cards, pos, ts, hand_id, hand_cards. A hand
-    in the same position wins, then one in another known position, then one in an
-    unknown position; a probe without position takes any. The nearest in time decides
-    within a kind, the smaller hand id on a tie.
+    ``probes``: cards, pos, ts. ``hands``: cards, pos, ts, hand_id, hand_cards. A hand in
+    the same position wins, then one in another known position, then any with a position
+    unknown on either side; the nearest in time decides within a grade, the smaller hand
+    id on a tie.
 
-    Neither side holds more than one row per second, cards and position, so the rows
-    that meet in one interval are bounded whatever the skew. No pairs are formed: one
-    sort forwards and one backwards carry the last hand seen to each probe.
+    Both sides are first reduced to one row per cards, position and second. The hands of
+    one interval then fit one array however frequent the cards are: it has at most as
+    many items as the interval has seconds, times the positions. Every probe meets one
+    such array and is answered inside its row, so no pairs are formed.
     """
     width = 2 * tolerance
-    events = (
+    near = (
         hands.filter("cards IS NOT NULL AND ts IS NOT NULL")
         .groupBy("cards", "pos", "ts")
         .agg(F.min(F.struct("hand_id", "hand_cards")).alias("hand"))
         .withColumn("bucket", F.explode(_buckets_within(F.col("ts"), tolerance, width)))
-        .withColumn("is_probe", F.lit(False))
+        .groupBy("cards", "bucket")
+        .agg(F.collect_list(F.struct("ts", "pos", "hand.hand_id", "hand.hand_cards")).alias("near"))
     )
-    asked = (
-        probes.select("cards", "pos", "ts")
-        .distinct()
-        .withColumn("hand", F.lit(None).cast(events.schema["hand"].dataType))
-        .withColumn("bucket", bucket_number(F.col("ts"), width))
-        .withColumn("is_probe", F.lit(True))
+    asked = probes.select("cards", "pos", "ts").distinct().withColumn("bucket", bucket_number(F.col("ts"), width))
+    same = lambda e: e["pos"] == F.col("pos")
+    gap = lambda e: F.abs(e["ts"] - F.col("ts"))
+    graded = F.transform(
+        F.filter("near", lambda e: gap(e) <= tolerance),
+        lambda e: F.struct(
+            F.when(same(e), 0).when(~same(e), 1).otherwise(2).alias("grade"),
+            gap(e).alias("gap"),
+            *[e[name].alias(name) for name in ("hand_id", "hand_cards", "pos", "ts")],
+        ),
     )
-    both = events.unionByName(asked)
-    known = F.col("pos").isNotNull()
-    seen = F.struct("ts", "hand.hand_id", "hand.hand_cards", "pos")
-    kinds = {"same": ~F.col("is_probe"), "other": ~F.col("is_probe") & known, "unknown": ~F.col("is_probe") & ~known}
-    found: dict[str, Column] = {}
-    for kind, condition in kinds.items():
-        keys = ["cards", "bucket", "pos"] if kind == "same" else ["cards", "bucket"]
-        for side, time in (("before", F.asc("ts")), ("after", F.desc("ts"))):
-            window = (
-                Window.partitionBy(*keys)
-                .orderBy(time, "is_probe", F.desc("hand.hand_id"))
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            found[f"{kind}_{side}"] = F.last(F.when(condition, seen), ignorenulls=True).over(window)
-    carried = both.withColumns(found).filter("is_probe")
-
-    def candidate(name: str) -> Column:
-        gap = F.abs(F.col("ts") - F.col(f"{name}.ts"))
-        fields = [gap.alias("gap"), *[F.col(f"{name}.{f}").alias(f) for f in ("hand_id", "hand_cards", "pos", "ts")]]
-        return F.when(gap <= tolerance, F.struct(*fields))
-
-    def nearest(*kinds_: str) -> Column:
-        return F.array_min(F.array(*[candidate(f"{k}_{s}") for k in kinds_ for s in ("before", "after")]))
-
-    best = F.when(known, F.coalesce(nearest("same"), nearest("other"), nearest("unknown"))).otherwise(
-        nearest("other", "unknown")
-    )
-    return carried.select("cards", "pos", "ts", best.alias("best")).filter("best IS NOT NULL")
+    met = asked.join(near, ["cards", "bucket"])
+    return met.select("cards", "pos", "ts", F.array_min(graded).alias("best")).filter("best IS NOT NULL")
 
 
 def map_screenshots(screens: DataFrame, hands: DataFrame, tolerance: int = MATCH_SECONDS) -> DataFrame:

@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "poker
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    # As many partitions as cores: nothing to merge on one machine.
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

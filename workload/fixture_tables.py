@@ -7,9 +7,12 @@ an array literal, DuckDB reads a VALUES list.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SPREAD = ["orders", "lineitem", "customer"]
 STAR = ["orders", "lineitem", "customer", "events", "documents", "pages", "conversations", "labels", "part", "supplier", "nation"]
 
 
@@ -132,31 +135,28 @@ class Tables:
         self._built: dict[str, DataFrame] = {}
 
     def star(self, name: str) -> DataFrame:
+        """A test table; one that is a single small file is spread over the cores."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        for field in df.schema.fields:
-            if field.dataType.typeName() == "timestamp_ntz":
-                df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-        return df
+        casts = {
+            f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"
+        }
+        df = df.withColumns(casts) if casts else df
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        if name in STAR:
-            return self.star(name)
-        key = f"fx_{name}"
-        if key not in self._derived:
-            raise AttributeError(name)
+        key = name if name in STAR else f"fx_{name}"
         if key not in self._built:
-            text = self._derived[key]
-            inputs = {n: getattr(self, n) for n in STAR[:3]}
-            inputs |= {n: getattr(self, n[3:]) for n in self._derived if n in text and n != key}
-            for view, df in inputs.items():
-                if view in text:
-                    df.createOrReplaceTempView(view)
-            self._built[key] = self.spark.sql(text)
+            self._built[key] = self.star(name) if name in STAR else self._derive(key)
         return self._built[key]
 
-
-def oracle_ctes(names: list[str] | None = None) -> list[str]:
-    """``name AS (...)`` items for DuckDB, all of them unless some are named."""
-    return [f"{name} AS ({text})" for name, text in table_sql("duckdb").items() if names is None or name in names]
+    def _derive(self, key: str) -> DataFrame:
+        if key not in self._derived:
+            raise AttributeError(key)
+        text = self._derived[key]
+        for name in [*SPREAD, *self._derived]:
+            if name != key and re.search(rf"\b{name}\b", text):
+                getattr(self, name.removeprefix("fx_")).createOrReplaceTempView(name)
+        return self.spark.sql(text)
