@@ -65,9 +65,19 @@ def _part(text: Column, pattern: str, group: int) -> Column:
 def _groups(text: Column, pattern: str, count: int) -> Column:
     """All groups of a pattern at the start of a text, from one match; NULL without a match."""
     mark = "\u0001"
-    spelled = mark.join(f"${i}" for i in range(1, count + 1))
-    parts = F.split(F.regexp_replace(text, f"(?s){pattern}.*", spelled), mark)
-    return F.when(text.rlike(pattern), parts)
+    spelled = mark.join([f"${i}" for i in range(1, count + 1)]) + mark
+    replaced = F.regexp_replace(text, f"(?s){pattern}.*", spelled)
+    return let(replaced, lambda r: F.when(r.endswith(mark), F.split(r, mark)))
+
+
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A generator of one row keeps the optimizer from pasting their expressions into the
+    lambdas that use them, where they would run once per array item.
+    """
+    packed = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    return df.select("*", F.inline_outer(packed))
 
 
 def _chips(text: Column) -> Column:
@@ -106,9 +116,15 @@ def hand_headers(blocks: DataFrame) -> DataFrame:
     The big blind is twice the small one when only one number is given; a missing table
     line means table "", nine seats and the button in seat 1.
     """
-    lines = blocks.withColumn("lines", F.split("block", "\n"))
-    lines = lines.withColumn("_head", _groups(F.col("lines")[0], HEADER, 8))
-    lines = lines.withColumn("_table", _groups(F.get("lines", F.lit(1)), TABLE, 3))
+    split = F.split("block", "\n")
+    lines = _settled(
+        blocks,
+        {
+            "lines": split,
+            "_head": _groups(split[0], HEADER, 8),
+            "_table": _groups(F.get(split, F.lit(1)), TABLE, 3),
+        },
+    )
 
     def head(i: int) -> Column:
         return F.get("_head", F.lit(i - 1))
@@ -119,7 +135,8 @@ def hand_headers(blocks: DataFrame) -> DataFrame:
     blinds = F.split(F.regexp_replace(head(7), ",", ""), "/")
     small = F.trim(_first(blinds)).try_cast("int")
     big = F.when(F.size(blinds) > 1, F.trim(F.get(blinds, F.lit(1))).try_cast("int")).otherwise(small * 2)
-    return lines.withColumns(
+    fields = _settled(
+        lines,
         {
             "hand_id": head(1),
             "tournament_id": head(2).try_cast("bigint"),
@@ -133,19 +150,13 @@ def hand_headers(blocks: DataFrame) -> DataFrame:
             "table_name": F.coalesce(table(1), F.lit("")),
             "max_seats": F.coalesce(table(2).try_cast("int"), F.lit(9)),
             "button_seat": F.coalesce(table(3).try_cast("int"), F.lit(1)),
-        }
-    ).drop("_head", "_table")
+        },
+    )
+    return fields.drop("_head", "_table")
 
 
 def _classified(line: Column) -> Column:
     """What one body line says. The first fitting kind of seat, dealt, marker, action wins."""
-    seat, dealt = _groups(line, SEAT, 3), _groups(line, DEALT, 2)
-    deed, returned, collected = _groups(line, DEED, 2), _groups(line, RETURNED, 2), _groups(line, COLLECTED, 2)
-    marker = F.coalesce(*[F.when(line.contains(text), F.lit(street)) for text, street in MARKERS])
-    verb = F.get(deed, F.lit(1))
-    action = F.coalesce(
-        *[F.when(verb.startswith(start), F.lit(kind)) for start, kind in VERBS],
-    )
     none = F.lit(None).cast("string")
 
     def row(kind, name=none, amount=none, detail=none, number=none) -> Column:
@@ -158,15 +169,34 @@ def _classified(line: Column) -> Column:
             (line.contains("all-in")).alias("all_in"),
         )
 
-    at = lambda parts, i: F.get(parts, F.lit(i))
-    return (
-        F.when(seat.isNotNull(), row("seat", at(seat, 1), at(seat, 2), number=at(seat, 0)))
-        .when(dealt.isNotNull(), row("dealt", at(dealt, 0), detail=F.nullif(at(dealt, 1), F.lit(""))))
-        .when(marker.isNotNull(), row("marker", marker, detail=line))
-        .when(deed.isNotNull(), row(action, at(deed, 0), _part(line, DEED_AMOUNT, 1)))
-        .when(returned.isNotNull(), row("return", at(returned, 1), at(returned, 0)))
-        .when(collected.isNotNull(), row("win", at(collected, 0), at(collected, 1)))
-    )
+    def found(pattern: str, count: int, use, otherwise) -> Column:
+        return let(_groups(line, pattern, count), lambda g: F.when(g.isNotNull(), use(*[g[i] for i in range(count)])).otherwise(otherwise()))
+
+    def seat() -> Column:
+        return found(SEAT, 3, lambda number, name, stack: row("seat", name, stack, number=number), dealt)
+
+    def dealt() -> Column:
+        return found(DEALT, 2, lambda name, cards: row("dealt", name, detail=F.nullif(cards, F.lit(""))), marker)
+
+    def marker() -> Column:
+        street = F.coalesce(*[F.when(line.contains(text), F.lit(name)) for text, name in MARKERS])
+        marked = let(street, lambda name: F.when(name.isNotNull(), row("marker", name, detail=line)))
+        return F.when(line.contains("***") & marked.isNotNull(), marked).otherwise(deed())
+
+    def deed() -> Column:
+        def use(name: Column, verb: Column) -> Column:
+            kind = F.coalesce(*[F.when(verb.startswith(start), F.lit(k)) for start, k in VERBS])
+            return row(kind, name, _part(line, DEED_AMOUNT, 1))
+
+        return found(DEED, 2, use, returned)
+
+    def returned() -> Column:
+        return found(RETURNED, 2, lambda amount, name: row("return", name, amount), collected)
+
+    def collected() -> Column:
+        return found(COLLECTED, 2, lambda name, amount: row("win", name, amount), lambda: F.lit(None))
+
+    return seat()
 
 
 def line_streets(headers: DataFrame) -> DataFrame:
@@ -181,20 +211,15 @@ def line_streets(headers: DataFrame) -> DataFrame:
         ),
         _classified,
     )
-    numbered = F.filter(
-        F.transform(body, lambda x, i: F.when(x.isNotNull(), x.withField("nr", i))), lambda x: x.isNotNull()
-    )
-    df = headers.withColumn("_events", numbered)
-    markers = F.filter("_events", lambda x: x["kind"] == "marker")
-    df = df.withColumn("_markers", markers)
+    numbered = F.transform(body, lambda x, i: F.when(x.isNotNull(), x.withField("nr", i)))
+    df = _settled(headers, {"_events": F.filter(numbered, lambda x: x.isNotNull())})
+    df = _settled(df, {"_markers": F.filter("_events", lambda x: x["kind"] == "marker")})
     stop = _first(F.filter("_markers", lambda m: m["name"] == "summary"))["nr"]
-    df = df.withColumn("_stop", F.coalesce(stop, F.lit(2**31 - 1)))
+    df = _settled(df, {"_stop": F.coalesce(stop, F.lit(2**31 - 1))})
+    above = lambda x: _last(F.filter("_markers", lambda m: m["nr"] < x["nr"]))["name"]
     kept = F.filter("_events", lambda x: x["nr"] < F.col("_stop"))
-    street = lambda x: F.coalesce(
-        _last(F.filter("_markers", lambda m: m["nr"] < x["nr"]))["name"], F.lit("preflop")
-    )
-    df = df.withColumn("events", F.transform(kept, lambda x: x.withField("street", street(x))))
-    return df.drop("_events", "_markers", "_stop", "lines")
+    events = F.transform(kept, lambda x: x.withField("street", F.coalesce(above(x), F.lit("preflop"))))
+    return _settled(df, {"events": events}).drop("_events", "_markers", "_stop", "lines")
 
 
 def _of_kind(*kinds: str):
@@ -219,15 +244,21 @@ def hand_seats(df: DataFrame) -> DataFrame:
             _last(F.filter(F.col("_dealt"), lambda d: d["name"] == x["name"]))["detail"].alias("cards"),
         ),
     )
-    df = df.withColumn("_dealt", dealt).withColumn("_seats", F.array_sort(seats))
+    df = _settled(_settled(df, {"_dealt": dealt}), {"_seats": F.array_sort(seats)})
     button = F.array_position(F.transform("_seats", lambda p: p["seat"]), F.col("button_seat"))
-    df = df.withColumns({"_button": F.nullif(button, F.lit(0)) - 1, "_players": F.size("_seats")})
     names = F.create_map(*[c for n, row in SEAT_NAMES.items() for c in (F.lit(n), F.array(*map(F.lit, row)))])
-    row = F.try_element_at(names, F.least("_players", F.lit(max(SEAT_NAMES))))
-    df = df.withColumn("_names", row)
+    players = F.size("_seats")
+    df = _settled(
+        df,
+        {
+            "_button": F.nullif(button, F.lit(0)) - 1,
+            "_players": players,
+            "_names": F.try_element_at(names, F.least(players, F.lit(max(SEAT_NAMES)))),
+        },
+    )
     place = lambda i: F.pmod(i - F.col("_button"), F.col("_players")).cast("int")
     placed = F.transform("_seats", lambda p, i: p.withField("position", F.get("_names", place(i))))
-    return df.withColumn("seats", placed).drop("_dealt", "_seats", "_button", "_players", "_names")
+    return _settled(df, {"seats": placed}).drop("_dealt", "_seats", "_button", "_players", "_names")
 
 
 def boards(df: DataFrame) -> DataFrame:
@@ -240,10 +271,10 @@ def boards(df: DataFrame) -> DataFrame:
         )
         return _last(F.array_compact(shown))
 
-    df = df.withColumns({"flop": cards("flop", FLOP), "turn": cards("turn", TURN), "river": cards("river", RIVER)})
+    df = _settled(df, {"flop": cards("flop", FLOP), "turn": cards("turn", TURN), "river": cards("river", RIVER)})
     words = [F.coalesce(_words(F.col(c)), F.array().cast("array<string>")) for c in ("flop", "turn", "river")]
-    joined = F.concat(*words)
-    return df.withColumn("board", F.when(F.size(joined) > 0, joined))
+    board = let(F.concat(*words), lambda c: F.when(F.size(c) > 0, c))
+    return _settled(df, {"board": board})
 
 
 def actions(df: DataFrame) -> DataFrame:
@@ -253,7 +284,7 @@ def actions(df: DataFrame) -> DataFrame:
     count; what happens under the showdown marker does not.
     """
     everything = F.filter("events", lambda x: ~x["kind"].isin("seat", "dealt", "marker"))
-    df = df.withColumn("_all", everything)
+    df = _settled(df, {"_all": everything})
 
     def of_street(street: str) -> Column:
         mine = F.filter("_all", lambda x: x["street"] == street)
@@ -269,7 +300,8 @@ def actions(df: DataFrame) -> DataFrame:
             (x["kind"].isin(*PLAY) & x["all_in"]).alias("is_all_in"),
         ),
     )
-    return df.withColumns(
+    found = _settled(
+        df,
         {
             "actions": ordered,
             "showdown_actions": F.size(F.filter("_all", lambda x: x["street"] == "showdown")),
@@ -283,8 +315,9 @@ def actions(df: DataFrame) -> DataFrame:
             "bad_amount": F.exists(
                 "_all", lambda x: x["amount"].isNull() & ~x["kind"].isin("fold", "check", "show", "muck")
             ),
-        }
-    ).drop("_all")
+        },
+    )
+    return found.drop("_all")
 
 
 def _result(line: Column) -> Column:
@@ -306,16 +339,17 @@ def _result(line: Column) -> Column:
 def results(df: DataFrame) -> DataFrame:
     """Add total pot, rake and ``results``, the player lines of the summary."""
     at = F.instr("block", SUMMARY)
-    df = df.withColumn("_summary", F.when(at > 0, F.substring(F.col("block"), at, F.length("block"))))
-    pot = _groups(F.regexp_replace("_summary", r"(?s)^.*?(?=Total pot [\d,]+ \| Rake \d)", ""), f"^{POT}", 2)
+    df = _settled(df, {"_summary": F.when(at > 0, F.substring(F.col("block"), at, F.length("block")))})
+    from_pot = F.regexp_replace("_summary", r"(?s)^.*?(?=Total pot [\d,]+ \| Rake \d)", "")
     lines = F.filter(F.split("_summary", "\n"), lambda x: x.rlike(r"^Seat (\d+): (\S+)"))
-    return df.withColumns(
-        {
-            "total_pot": F.coalesce(_chips(F.get(pot, F.lit(0))), F.lit(0)),
-            "rake": F.coalesce(F.get(pot, F.lit(1)).try_cast("int"), F.lit(0)),
-            "results": F.coalesce(F.transform(lines, _result), F.array()),
-        }
-    ).drop("_summary")
+    df = _settled(df, {"_pot": _groups(from_pot, f"^{POT}", 2), "_results": F.transform(lines, _result)})
+    none = F.array().cast(df.schema["_results"].dataType)
+    totals = {
+        "total_pot": F.coalesce(_chips(F.get("_pot", F.lit(0))), F.lit(0)),
+        "rake": F.coalesce(F.get("_pot", F.lit(1)).try_cast("int"), F.lit(0)),
+        "results": F.coalesce("_results", none),
+    }
+    return _settled(df, totals).drop("_summary", "_pot", "_results")
 
 
 def _invalid() -> Column:
@@ -334,21 +368,23 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
         df = step(df)
     hero = _first(F.filter("seats", lambda p: p["is_hero"]))
     hero_result = _first(F.filter("results", lambda r: r["player_name"] == "Hero"))
-    df = df.withColumns({"hero": hero, "_hero_result": hero_result, "is_valid": ~_invalid()})
+    df = _settled(df, {"hero": hero, "_hero_result": hero_result, "is_valid": ~_invalid()})
     hero_won = F.col("hero").isNotNull() & F.array_contains("winners", "Hero")
     hero_cards = _last(
         F.filter("events", lambda x: (x["kind"] == "dealt") & (x["name"] == "Hero") & x["detail"].isNotNull())
     )["detail"]
     shown = F.exists("results", lambda r: r["cards"].isNotNull() & ~r["folded"])
     hero_folded = F.col("hero").isNotNull() & F.coalesce(F.col("_hero_result.folded"), F.lit(False))
-    return df.withColumns(
+    known = _settled(
+        df,
         {
             "hero_cards": F.when(F.col("hero").isNotNull(), _words(hero_cards)),
             "hero_won": hero_won,
             "went_to_showdown": (F.col("showdown_actions") > 0) | shown,
             "hero_result": F.when(hero_won, "won").when(hero_folded, "folded").otherwise("lost"),
-        }
-    ).drop("events", "_hero_result", "bad_amount", "showdown_actions")
+        },
+    )
+    return known.drop("events", "_hero_result", "bad_amount", "showdown_actions")
 
 
 def parse_hands(bronze: DataFrame) -> DataFrame:
@@ -397,14 +433,15 @@ def build_players(parsed: DataFrame) -> DataFrame:
     not count, and only "won (n)" of the summary is a win.
     """
     df = parsed.select("hand_id", "button_seat", "actions", "results", F.explode("seats").alias("p"))
-    df = df.withColumns(
+    df = _settled(
+        df,
         {
             "_mine": F.filter("actions", lambda a: a["name"] == F.col("p.name")),
             "_result": _first(F.filter("results", lambda r: r["player_name"] == F.col("p.name"))),
             "_raises": F.filter("actions", lambda a: (a["street"] == "preflop") & (a["action"] == "raise")),
-        }
+        },
     )
-    df = df.withColumn("_preflop", F.filter("_mine", lambda a: a["street"] == "preflop"))
+    df = _settled(df, {"_preflop": F.filter("_mine", lambda a: a["street"] == "preflop")})
 
     def count(condition) -> Column:
         return F.size(F.filter("_mine", condition))
