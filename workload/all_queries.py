@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from workload import gold, parsing  # noqa: F401
+from workload import gold, linking, models, parsing, tables_io  # noqa: F401
