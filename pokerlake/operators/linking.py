@@ -35,12 +35,11 @@ def interval_join(
     spread = -1 - F.pmod(F.xxhash64(*left.columns), F.lit(100_003))
     lhs = left.withColumn("_bucket", F.when(present, bucket_number(F.col(left_ts), width)).otherwise(spread))
     rhs = right.withColumn("_bucket", F.explode(_buckets_within(F.col(right_ts), tolerance, width)))
-    on = [lhs[k] == rhs[k] for k in [*keys, "_bucket"]]
-    close = F.abs(lhs[left_ts] - rhs[right_ts]) <= tolerance
-    joined = lhs.join(rhs, [*on, close], "left")
-    return joined.select(
-        *[lhs[c] for c in left.columns], *[rhs[c] for c in right.columns if c not in keys]
-    )
+    lhs, rhs = lhs.alias("l"), rhs.alias("r")
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_bucket"]]
+    close = F.abs(F.col(f"l.{left_ts}") - F.col(f"r.{right_ts}")) <= tolerance
+    kept = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return lhs.join(rhs, [*on, close], "left").select(*[F.col(f"l.{c}") for c in left.columns], *kept)
 
 
 def match_confidence(hand_id: Column, same_position: Column) -> Column:

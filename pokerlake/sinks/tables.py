@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from pokerlake.functions.numbers import count_where, pct
 
 
-def overwrite_table(df: DataFrame, name: str) -> DataFrame:
+def _save(df: DataFrame, name: str, mode: str, folder: str | None) -> None:
+    """Write a table, in ``folder`` if one is given and in the warehouse otherwise."""
+    writer = df.write.mode(mode)
+    (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(name)
+
+
+def overwrite_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Replace a table with its schema; the written table is returned."""
-    df.write.mode("overwrite").saveAsTable(name)
+    _save(df, name, "overwrite", folder)
     return df.sparkSession.read.table(name)
 
 
@@ -21,13 +27,15 @@ def new_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
     return source.join(target.select(*keys), keys, "left_anti").select(*source.columns)
 
 
-def insert_new_rows(spark: SparkSession, name: str, source: DataFrame, keys: list[str]) -> DataFrame:
+def insert_new_rows(
+    spark: SparkSession, name: str, source: DataFrame, keys: list[str], folder: str | None = None
+) -> DataFrame:
     """Append the rows with new keys; the table is created on the first run."""
     if spark.catalog.tableExists(name):
         added = new_rows(spark.read.table(name), source, keys)
         added.write.mode("append").saveAsTable(name)
     else:
-        source.write.saveAsTable(name)
+        _save(source, name, "errorifexists", folder)
     spark.catalog.refreshTable(name)
     return spark.read.table(name)
 
@@ -38,24 +46,26 @@ def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(source)
 
 
-def upsert(spark: SparkSession, name: str, source: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(
+    spark: SparkSession, name: str, source: DataFrame, keys: list[str], folder: str | None = None
+) -> DataFrame:
     """Update by key. The new state is written beside the table before it takes its place,
     since a table cannot be read and overwritten in one job."""
     if not spark.catalog.tableExists(name):
-        return overwrite_table(source, name)
+        return overwrite_table(source, name, folder)
     staged = f"{name}_{uuid4().hex[:8]}"
-    overwrite_table(upserted(spark.read.table(name), source, keys), staged)
+    overwrite_table(upserted(spark.read.table(name), source, keys), staged, folder)
     spark.sql(f"DROP TABLE {name}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
     spark.catalog.refreshTable(name)
     return spark.read.table(name)
 
 
-def upsert_stream(stream: DataFrame, name: str, keys: list[str], checkpoint: str):
+def upsert_stream(stream: DataFrame, name: str, keys: list[str], checkpoint: str, folder: str | None = None):
     """Upsert every micro-batch of a stream; repeating a batch changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert(batch.sparkSession, name, batch, keys)
+        upsert(batch.sparkSession, name, batch, keys, folder)
 
     return (
         stream.writeStream.foreachBatch(write)

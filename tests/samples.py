@@ -1,106 +1,79 @@
-"""Hand-written raw texts in the shapes the parse jobs read."""
+"""Raw texts in the shapes the parse jobs read; players, cards and amounts are made up."""
 
-ALLIN_HAND = """
-Poker Hand #TX100200300: Tournament #700800, Sunday Battle $10 Hold'em No Limit - Level8(100/200) - 2026/01/15 02:59:14
-Table '1' 9-max Seat #1 is the button
-Seat 1: a1b2c3 (792 in chips)
-Seat 2: d4e5f6 (7,908 in chips)
-Seat 3: 99aa88 (4,239 in chips)
-Seat 4: 77bb66 (1,691 in chips)
-Seat 5: Hero (1,749 in chips)
-Seat 6: 55cc44 (1,621 in chips)
-a1b2c3: posts the ante 40
-99aa88: posts the ante 40
-Hero: posts the ante 40
-55cc44: posts the ante 40
-d4e5f6: posts the ante 40
-77bb66: posts the ante 40
-d4e5f6: posts small blind 100
-99aa88: posts big blind 200
+SHOWDOWN_HAND = """
+Poker Hand #TX500600: Tournament #4711, Harbour Night Special $2.50 Hold'em No Limit - Level12(500/1,000) - 2026/03/04 21:07:09
+Table '31' 6-max Seat #5 is the button
+Seat 1: mara (12,400 in chips)
+Seat 3: Hero (9,250 in chips)
+Seat 5: olof (30,010 in chips)
+Seat 6: quill (8,000 in chips)
+mara: posts the ante 100
+Hero: posts the ante 100
+olof: posts the ante 100
+quill: posts the ante 100
+quill: posts small blind 500
+mara: posts big blind 1,000
 *** HOLE CARDS ***
-Dealt to a1b2c3 
-Dealt to d4e5f6 
-Dealt to Hero [6d 7d]
-77bb66: folds
-Hero: raises 1,509 to 1,709 and is all-in
-55cc44: calls 1,581 and is all-in
-a1b2c3: folds
-d4e5f6: raises 5,439 to 7,148
-99aa88: folds
-Uncalled bet (5,439) returned to d4e5f6
-d4e5f6: shows [4s Ts]
-Hero: shows [6d 7d]
-55cc44: shows [Ah 5h]
-*** FLOP *** [2d Jh Td]
-*** TURN *** [2d Jh Td] [4c]
-*** RIVER *** [2d Jh Td 4c] [2h]
+Dealt to mara 
+Dealt to Hero [Qs Qd]
+Dealt to olof 
+Hero: raises 1,200 to 2,200
+olof: raises 4,400 to 6,600
+quill: folds
+mara: folds
+Hero: calls 4,400
+*** FLOP *** [Qh 8c 3d]
+Hero: checks
+olof: bets 5,000
+Hero: calls 2,550 and is all-in
+Uncalled bet (2,450) returned to olof
+Hero: shows [Qs Qd]
+olof: shows [Ac Ah]
+*** TURN *** [Qh 8c 3d] [9s]
+*** RIVER *** [Qh 8c 3d 9s] [As]
 *** SHOWDOWN ***
-d4e5f6 collected 5,183 from pot
-d4e5f6 collected 256 from pot
+olof collected 20,200 from pot
 *** SUMMARY ***
-Total pot 5,439 | Rake 0 | Jackpot 0
-Board [2d Jh Td 4c 2h]
-Seat 1: a1b2c3 (button) folded before Flop
-Seat 2: d4e5f6 (small blind) showed [4s Ts] and won (5,439) with two pair, Tens and Fours
-Seat 3: 99aa88 (big blind) folded before Flop
-Seat 4: 77bb66 folded before Flop
-Seat 5: Hero showed [6d 7d] and lost with a pair of Twos
-Seat 6: 55cc44 showed [Ah 5h] and lost with a pair of Twos
+Total pot 20,200 | Rake 0 | Jackpot 0
+Board [Qh 8c 3d 9s As]
+Seat 1: mara (big blind) folded before Flop
+Seat 3: Hero showed [Qs Qd] and lost with three of a kind, Queens
+Seat 5: olof (button) showed [Ac Ah] and won (20,200) with three of a kind, Aces
+Seat 6: quill (small blind) folded before Flop
 """.strip()
 
-FLOP_HAND = """
-Poker Hand #TX100200301: Tournament #700800, Sunday Battle $10 Hold'em No Limit - Level7(75/150) - 2026/01/15 02:56:08
-Table '1' 9-max Seat #4 is the button
-Seat 1: a1b2c3 (1,997 in chips)
-Seat 2: d4e5f6 (4,392 in chips)
-Seat 3: 99aa88 (1,423 in chips)
-Seat 4: 77bb66 (1,801 in chips)
-Seat 5: Hero (1,934 in chips)
-Seat 6: 55cc44 (2,131 in chips)
-Seat 7: 33dd22 (2,441 in chips)
-Seat 8: 11ee00 (1,881 in chips)
-33dd22: posts the ante 30
-Hero: posts small blind 75
-55cc44: posts big blind 150
+QUIET_HAND = """
+Poker Hand #TX500601: Tournament #4711, Harbour Night Special $2.50 Hold'em No Limit - Level3(40) - 2026/03/04 20:11:00
+Table '31' 6-max Seat #1 is the button
+Seat 1: Hero (3,300 in chips)
+Seat 2: mara (2,900 in chips)
 *** HOLE CARDS ***
-Dealt to Hero [2d 9s]
-33dd22: raises 150 to 300
-11ee00: folds
-a1b2c3: folds
-d4e5f6: folds
-99aa88: folds
-77bb66: folds
+Dealt to Hero [Kc 4h]
+Hero: calls 40
+mara: checks
+*** FLOP *** [Jc 7d 2s]
+mara: bets 80
 Hero: folds
-55cc44: calls 150
-*** FLOP *** [Ac 3s Jh]
-55cc44: checks
-33dd22: bets 375
-55cc44: folds
-Uncalled bet (375) returned to 33dd22
-33dd22 collected 915 from pot
+Uncalled bet (80) returned to mara
+mara collected 160 from pot
 *** SUMMARY ***
-Total pot 915 | Rake 0 | Jackpot 0
-Board [Ac 3s Jh]
-Seat 5: Hero (small blind) folded before Flop
-Seat 6: 55cc44 (big blind) folded on the Flop
-Seat 7: 33dd22 collected (915)
+Total pot 160 | Rake 0 | Jackpot 0
+Seat 1: Hero (button) folded on the Flop
+Seat 2: mara (big blind) collected (160)
 """.strip()
 
 SECOND_PLACE = """
-Tournament #700801, Sunday Battle $10, Hold'em No Limit
-Buy-in: $5+$0.8+$4.2
-18 Players
-Total Prize Pool: $165.6
-Tournament started 2026/01/15 00:22:55 
-2nd : Hero, $30
-You finished the tournament in 2nd place.
+Tournament #880011, Harbour Night Special $20, Hold'em No Limit
+Buy-in: $9+$1.6+$9.4
+24 Players
+Total Prize Pool: $441.6
+Tournament started 2026/03/04 19:30:00 
+2nd : Hero, $65
 """.strip()
 
-BUST = """
-Tournament #700802, Sunday Battle $25, Hold'em No Limit
-Buy-in: $12.5+$2+$10.5
-18 Players
-Total Prize Pool: $414
-Tournament started 2026/01/25 23:41:11 
-4th : Hero, $0
+LATE_BUST = """
+Tournament #880012, Harbour Night Special $20, Hold'em No Limit
+Buy-in: $9+$1.6+$9.4
+24 Players
+23rd : Hero, $0
 """.strip()

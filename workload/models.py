@@ -125,7 +125,7 @@ def _(t):
 @query("ml8_fit_clusters")
 def _(t):
     rows = training(t)
-    return models.fit_clusters(rows, 4, starts=2).transform(rows).select("player_name", "cluster_id")
+    return models.fit_clusters(rows, 4, starts=1).transform(rows).select("player_name", "cluster_id")
 
 
 cte("fx_centroids", """
@@ -155,13 +155,13 @@ def _(t):
 @query("ml10_cluster_definitions")
 def _(t):
     rows = training(t)
-    return models.cluster_definitions(models.fit_clusters(rows, 4, starts=2), rows).drop("created_at")
+    return models.cluster_definitions(models.fit_clusters(rows, 4, starts=1), rows).drop("created_at")
 
 
 @query("ml11_jn12_score_players")
 def _(t):
     players_, rows = settled(t, player_features(t)), training(t)
-    model = models.fit_clusters(rows, 4, starts=2)
+    model = models.fit_clusters(rows, 4, starts=1)
     return models.score_players(model, players_, models.cluster_definitions(model, rows), rows.count()).drop("scored_at")
 
 

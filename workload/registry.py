@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
     def add(function: Callable[[Tables], DataFrame]):
         QUERIES[name] = function
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return function
 
     return add
@@ -31,6 +31,11 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql
 
 
+def oracles() -> dict[str, str]:
+    """The SQL of every query that has one, complete with the derived tables it reads."""
+    return {name: with_ctes(sql) for name, sql in ORACLES.items()}
+
+
 def with_ctes(body: str) -> str:
     """The query with those derived tables in front that it reads, directly or not."""
     needed: set[str] = set()

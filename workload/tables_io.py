@@ -41,7 +41,7 @@ def json_files(t) -> DataFrame:
 
 def ingested(t, job, files: DataFrame, by: str) -> DataFrame:
     folder = fresh_dir(t)
-    return job(t.spark, write_files(files, by, f"{folder}/in"), f"{folder}/checkpoint", fresh_table("bronze"))
+    return job(t.spark, write_files(files, by, f"{folder}/in"), f"{folder}/checkpoint", fresh_table("bronze"), folder=f"{folder}/tables")
 
 
 HAND_IDS = f"SELECT hand_id, floor(k / {render.HANDS_PER_FILE})::BIGINT AS batch FROM fx_hands"
@@ -83,7 +83,7 @@ def _(t):
     for run, batch in (("first", files.filter("batch % 2 = 0")), ("second", files.filter("batch % 2 = 1")), ("third", None)):
         if batch is not None:
             write_files(batch, "batch", f"{folder}/in")
-        seen = ingest_hand_histories(t.spark, f"{folder}/in", f"{folder}/checkpoint", table)
+        seen = ingest_hand_histories(t.spark, f"{folder}/in", f"{folder}/checkpoint", table, folder=f"{folder}/tables")
         counts.append((run, seen.count()))
     return t.spark.createDataFrame(counts, "run string, files bigint")
 
@@ -102,7 +102,7 @@ def _(t):
 
 def stored(t, df: DataFrame, name: str) -> str:
     table = fresh_table(name)
-    sinks.overwrite_table(df, table)
+    sinks.overwrite_table(df, table, fresh_dir(t))
     return table
 
 
@@ -147,14 +147,14 @@ def _(t):
 @query("snk2_full_refresh", "SELECT tournament_id, hero_position::BIGINT AS hero_position FROM fx_tournaments")
 def _(t):
     table = stored(t, t.tournaments.select("tournament_id", "buyin_total"), "refresh")
-    return sinks.overwrite_table(t.tournaments.select("tournament_id", "hero_position"), table)
+    return sinks.overwrite_table(t.tournaments.select("tournament_id", "hero_position"), table, fresh_dir(t))
 
 
 @query("snk3_insert_only_merge", "SELECT player_name, hand_id, anonymous_id, seat::BIGINT AS seat, file_name FROM fx_identity")
 def _(t):
     table, rows = fresh_table("player_identity"), d.identity(t)
     keys = ["player_name", "hand_id"]
-    sinks.insert_new_rows(t.spark, table, rows.filter("seat < 4"), keys)
+    sinks.insert_new_rows(t.spark, table, rows.filter("seat < 4"), keys, fresh_dir(t))
     return sinks.insert_new_rows(t.spark, table, rows, keys)
 
 
@@ -162,14 +162,14 @@ def _(t):
 def _(t):
     table = fresh_table("features")
     by_customer = t.orders.groupBy(F.col("o_custkey").alias("id"))
-    sinks.upsert(t.spark, table, by_customer.agg(F.min("o_totalprice").alias("price")), ["id"])
-    return sinks.upsert(t.spark, table, by_customer.agg(F.max("o_totalprice").alias("price")).filter("id % 3 = 0"), ["id"])
+    sinks.upsert(t.spark, table, by_customer.agg(F.min("o_totalprice").alias("price")), ["id"], fresh_dir(t))
+    return sinks.upsert(t.spark, table, by_customer.agg(F.max("o_totalprice").alias("price")).filter("id % 3 = 0"), ["id"], fresh_dir(t))
 
 
 @query("snk5_drop_and_rebuild", "SELECT hand_id, big_blind FROM fx_hands")
 def _(t):
     table = stored(t, t.hands.select("hand_id"), "hand_features")
-    return sinks.overwrite_table(t.hands.select("hand_id", "big_blind"), table)
+    return sinks.overwrite_table(t.hands.select("hand_id", "big_blind"), table, fresh_dir(t))
 
 
 @query("snk6_match_report", """
