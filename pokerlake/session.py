@@ -17,7 +17,9 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, app: str = "pokerlake") -> SparkSession:
+def local_session(
+    cores: int | str = "*", partitions: int = 8, app: str = "pokerlake", settings: dict[str, str] | None = None
+) -> SparkSession:
     """Single-machine session for tests and the bench; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,7 +29,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "poker
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (settings or {})).items():
         builder = builder.config(key, value)
     # As many partitions as cores: nothing to merge on one machine.
     builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -46,14 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without the setting falls back to a temporary folder; on a
     cluster that would be a folder of one machine, so it is refused.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="pokerlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pokerlake-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
