@@ -109,10 +109,13 @@ def map_screenshots(screens: DataFrame, hands: DataFrame, tolerance: int = MATCH
         norm_position(F.col("hero_position")).alias("pos"),
         F.unix_timestamp("hand_timestamp").alias("ts"),
     )
-    probe = F.struct("cards", "pos", "ts")
+    # Captures without cards or time cannot match; a salt keeps them from meeting in one task.
+    hopeless = F.col("cards").isNull() | F.col("ts").isNull()
+    salt = F.when(hopeless, F.pmod(F.xxhash64("file_name"), F.lit(10_007))).otherwise(F.lit(0)).cast("bigint").alias("salt")
+    probe = F.struct("cards", "pos", "ts", salt)
     best = nearest_hands(shots.filter("cards IS NOT NULL AND ts IS NOT NULL"), dealt, tolerance)
     answered = shots.withColumn("_probe", probe).join(
-        best.select(probe.alias("_probe"), "best"), "_probe", "left"
+        best.select(F.struct("cards", "pos", "ts", F.lit(0).cast("bigint").alias("salt")).alias("_probe"), "best"), "_probe", "left"
     )
     same = F.col("pos") == F.col("best.pos")
     hand_id = F.col("best.hand_id")

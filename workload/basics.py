@@ -101,7 +101,7 @@ def _(t):
     return t.documents.filter(F.length("text") >= 400).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
-@short("prj13_struct_field", "SELECT hand_id, rank FROM (SELECT 'BR' || CAST(k AS VARCHAR) AS hand_id, CAST(rank AS BIGINT) AS rank FROM fx_all_rank)")
+@short("prj13_struct_field", "SELECT hand_id, CAST(rank AS BIGINT) AS rank FROM fx_all_rank WHERE side = 0")
 def _(t):
     from pokerlake.operators.showdown import with_hand_rank
 

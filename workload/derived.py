@@ -6,15 +6,28 @@ brute-force joins that share nothing with the library.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pokerlake.operators.linking import map_screenshots, player_identity
 from pokerlake.plans import parts, players
+from pokerlake.session import shared_dir
+from pokerlake.sinks.tables import overwrite_table
 from workload.fixture_tables import Tables
 from workload.registry import cte, rnd
 
 
+def fresh_dir(t: Tables) -> str:
+    return f"{shared_dir(t.spark)}/run-{uuid4().hex[:12]}"
+
+
+def stored(t: Tables, df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows as a new table in the shared folder."""
+    return overwrite_table(df, f"{name}_{uuid4().hex[:12]}", fresh_dir(t))
+
+
 def hands(t: Tables) -> DataFrame:
     """Hands with a board array: three cards on some, none on others."""
     cards = F.regexp_extract_all("board_str", F.lit("(..)"), F.lit(1))

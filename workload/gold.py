@@ -142,38 +142,42 @@ cte("fx_fold_rows", """
     FROM fx_h h JOIN fx_p p ON p.hand_id = h.hand_id AND p.won_hand
     WHERE h.hero_result = 'folded' AND length(h.board) = 10
       AND EXISTS (SELECT 1 FROM fx_hand_actions a WHERE a.hand_id = h.hand_id AND a.is_hero AND a.action_type = 'fold')""")
-cte("fx_seven", """
-    SELECT hand_id, side, strpos('23456789TJQKA', substr(cards, 2 * i - 1, 1)) + 1 AS r, substr(cards, 2 * i, 1) AS u
-    FROM (SELECT hand_id, 'hero' AS side, hero_cards || board AS cards FROM fx_fold_rows
-          UNION ALL SELECT hand_id, 'rival', winner_cards || board FROM fx_fold_rows WHERE winner_cards IS NOT NULL) x
-    CROSS JOIN range(1, 8) t(i)""")
-cte("fx_counts", """
-    SELECT hand_id, side, list(struct_pack(c := c, r := r) ORDER BY c DESC, r DESC) AS g
-    FROM (SELECT hand_id, side, r, COUNT(*) AS c FROM fx_seven GROUP BY ALL) x GROUP BY hand_id, side""")
-cte("fx_flush", """
-    SELECT hand_id, side, u, list(r ORDER BY r DESC)[1:5] AS top FROM fx_seven GROUP BY ALL HAVING COUNT(*) >= 5""")
-cte("fx_straight", """
-    SELECT hand_id, side, suit, MAX(top) AS top FROM (
-        SELECT v.hand_id, v.side, v.suit, t.top FROM (
-            SELECT hand_id, side, '*' AS suit, r FROM fx_seven UNION SELECT hand_id, side, u, r FROM fx_seven
-            UNION SELECT hand_id, side, '*', 1 FROM fx_seven WHERE r = 14 UNION SELECT hand_id, side, u, 1 FROM fx_seven WHERE r = 14) v
-        CROSS JOIN range(5, 15) t(top) WHERE v.r BETWEEN t.top - 4 AND t.top
-        GROUP BY ALL HAVING COUNT(DISTINCT v.r) = 5) x GROUP BY ALL""")
-cte("fx_rank", """
-    SELECT c.hand_id, c.side,
-           CASE WHEN sf.top = 14 THEN 1 WHEN sf.top IS NOT NULL THEN 2 WHEN g[1].c = 4 THEN 3
-                WHEN g[1].c = 3 AND g[2].c >= 2 THEN 4 WHEN f.top IS NOT NULL THEN 5 WHEN s.top IS NOT NULL THEN 6
-                WHEN g[1].c = 3 THEN 7 WHEN g[2].c = 2 THEN 8 WHEN g[1].c = 2 THEN 9 ELSE 10 END AS rank,
-           CASE WHEN sf.top IS NOT NULL THEN [sf.top] WHEN g[1].c = 4 THEN [g[1].r]
-                WHEN g[1].c = 3 AND g[2].c >= 2 THEN [g[1].r, list_max([x.r FOR x IN g[2:] IF x.c >= 2])]
-                WHEN f.top IS NOT NULL THEN f.top WHEN s.top IS NOT NULL THEN [s.top]
-                WHEN g[1].c = 3 THEN [g[1].r, g[2].r, g[3].r]
-                WHEN g[2].c = 2 THEN [g[1].r, g[2].r, list_max([x.r FOR x IN g[3:]])]
-                ELSE [x.r FOR x IN g][1:CASE WHEN g[1].c = 2 THEN 4 ELSE 5 END] END AS ties
-    FROM fx_counts c
-    LEFT JOIN fx_straight s ON s.hand_id = c.hand_id AND s.side = c.side AND s.suit = '*'
-    LEFT JOIN fx_straight sf ON sf.hand_id = c.hand_id AND sf.side = c.side AND sf.suit <> '*'
-    LEFT JOIN fx_flush f ON f.hand_id = c.hand_id AND f.side = c.side""")
+def rank_ctes(prefix: str, hands: str) -> None:
+    """``<prefix>_rank`` (hand_id, side, rank, ties) of the texts in ``hands`` (hand_id, side, cards of seven)."""
+    seven, counts, flush, straight = (f"{prefix}_{x}" for x in ("seven", "counts", "flush", "straight"))
+    cte(seven, f"""
+        SELECT hand_id, side, strpos('23456789TJQKA', substr(cards, 2 * i - 1, 1)) + 1 AS r, substr(cards, 2 * i, 1) AS u
+        FROM ({hands}) x CROSS JOIN range(1, 8) t(i)""")
+    cte(counts, f"""
+        SELECT hand_id, side, list(struct_pack(c := c, r := r) ORDER BY c DESC, r DESC) AS g
+        FROM (SELECT hand_id, side, r, COUNT(*) AS c FROM {seven} GROUP BY ALL) x GROUP BY hand_id, side""")
+    cte(flush, f"SELECT hand_id, side, u, list(r ORDER BY r DESC)[1:5] AS top FROM {seven} GROUP BY ALL HAVING COUNT(*) >= 5")
+    cte(straight, f"""
+        SELECT hand_id, side, suit, MAX(top) AS top FROM (
+            SELECT v.hand_id, v.side, v.suit, t.top FROM (
+                SELECT hand_id, side, '*' AS suit, r FROM {seven} UNION SELECT hand_id, side, u, r FROM {seven}
+                UNION SELECT hand_id, side, '*', 1 FROM {seven} WHERE r = 14 UNION SELECT hand_id, side, u, 1 FROM {seven} WHERE r = 14) v
+            CROSS JOIN range(5, 15) t(top) WHERE v.r BETWEEN t.top - 4 AND t.top
+            GROUP BY ALL HAVING COUNT(DISTINCT v.r) = 5) x GROUP BY ALL""")
+    cte(f"{prefix}_rank", f"""
+        SELECT c.hand_id, c.side,
+               CASE WHEN sf.top = 14 THEN 1 WHEN sf.top IS NOT NULL THEN 2 WHEN g[1].c = 4 THEN 3
+                    WHEN g[1].c = 3 AND g[2].c >= 2 THEN 4 WHEN f.top IS NOT NULL THEN 5 WHEN s.top IS NOT NULL THEN 6
+                    WHEN g[1].c = 3 THEN 7 WHEN g[2].c = 2 THEN 8 WHEN g[1].c = 2 THEN 9 ELSE 10 END AS rank,
+               CASE WHEN sf.top IS NOT NULL THEN [sf.top] WHEN g[1].c = 4 THEN [g[1].r]
+                    WHEN g[1].c = 3 AND g[2].c >= 2 THEN [g[1].r, list_max([x.r FOR x IN g[2:] IF x.c >= 2])]
+                    WHEN f.top IS NOT NULL THEN f.top WHEN s.top IS NOT NULL THEN [s.top]
+                    WHEN g[1].c = 3 THEN [g[1].r, g[2].r, g[3].r]
+                    WHEN g[2].c = 2 THEN [g[1].r, g[2].r, list_max([x.r FOR x IN g[3:]])]
+                    ELSE [x.r FOR x IN g][1:CASE WHEN g[1].c = 2 THEN 4 ELSE 5 END] END AS ties
+        FROM {counts} c
+        LEFT JOIN {straight} s ON s.hand_id = c.hand_id AND s.side = c.side AND s.suit = '*'
+        LEFT JOIN {straight} sf ON sf.hand_id = c.hand_id AND sf.side = c.side AND sf.suit <> '*'
+        LEFT JOIN {flush} f ON f.hand_id = c.hand_id AND f.side = c.side""")
+
+
+rank_ctes("fx", """SELECT hand_id, 'hero' AS side, hero_cards || board AS cards FROM fx_fold_rows
+    UNION ALL SELECT hand_id, 'rival', winner_cards || board FROM fx_fold_rows WHERE winner_cards IS NOT NULL""")
 cte("fx_sim", """
     SELECT w.hand_id, h.rank AS hero_rank, r.rank AS rival_rank,
            [NULL, 'Straight Flush', 'Straight Flush', 'Four of a Kind', 'Full House', 'Flush', 'Straight', 'Three of a Kind',
@@ -238,7 +242,8 @@ COMPLIANCE = f"""
 
 @query("gld8_gpt_compliance_stats", COMPLIANCE)
 def _(t):
-    return advice.gpt_compliance_stats(d.decision_base(t), t.hand_actions)
+    # Written first: the size of the largest tournament is measured on the same rows.
+    return advice.gpt_compliance_stats(d.stored(t, d.decision_base(t)), t.hand_actions)
 
 
 @query("gld8_gpt_compliance_stats_split", COMPLIANCE)

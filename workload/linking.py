@@ -8,7 +8,8 @@ from pokerlake.functions.cards import cards_to_array, norm_cards, norm_position
 from pokerlake.operators.linking import interval_join, match_confidence, match_method
 from pokerlake.operators.showdown import with_hand_rank, with_showdown
 from workload import derived as d
-from workload.registry import cte, query
+from workload.gold import rank_ctes
+from workload.registry import query
 
 CARDS = "least(substr(hero_cards, 1, 2), substr(hero_cards, 3, 2)) || greatest(substr(hero_cards, 1, 2), substr(hero_cards, 3, 2))"
 
@@ -77,30 +78,27 @@ def _(t):
     )
 
 
-cte("fx_all_seven", """
-    SELECT k, side, strpos('23456789TJQKA', substr(cards, 2 * i - 1, 1)) + 1 AS r, substr(cards, 2 * i, 1) AS u
-    FROM (SELECT k, 0 AS side, hero_cards || board_str AS cards FROM fx_hands) x CROSS JOIN range(1, 8) t(i)""")
-cte("fx_all_rank", """
-    SELECT c.k, CASE WHEN sf.top = 14 THEN 1 WHEN sf.top IS NOT NULL THEN 2 WHEN g[1] = 4 THEN 3 WHEN g[1] = 3 AND g[2] >= 2 THEN 4
-                     WHEN f.k IS NOT NULL THEN 5 WHEN s.top IS NOT NULL THEN 6 WHEN g[1] = 3 THEN 7 WHEN g[2] = 2 THEN 8
-                     WHEN g[1] = 2 THEN 9 ELSE 10 END AS rank
-    FROM (SELECT k, list(n ORDER BY n DESC) AS g FROM (SELECT k, r, COUNT(*) AS n FROM fx_all_seven GROUP BY ALL) GROUP BY k) c
-    LEFT JOIN (SELECT k FROM fx_all_seven GROUP BY k, u HAVING COUNT(*) >= 5) f ON f.k = c.k
-    LEFT JOIN (SELECT k, MAX(top) AS top FROM (SELECT v.k, t.top FROM (SELECT k, r FROM fx_all_seven UNION SELECT k, 1 FROM fx_all_seven WHERE r = 14) v
-        CROSS JOIN range(5, 15) t(top) WHERE v.r BETWEEN t.top - 4 AND t.top GROUP BY ALL HAVING COUNT(DISTINCT v.r) = 5) GROUP BY k) s ON s.k = c.k
-    LEFT JOIN (SELECT k, MAX(top) AS top FROM (SELECT v.k, v.u, t.top FROM (SELECT k, u, r FROM fx_all_seven UNION SELECT k, u, 1 FROM fx_all_seven WHERE r = 14) v
-        CROSS JOIN range(5, 15) t(top) WHERE v.r BETWEEN t.top - 4 AND t.top GROUP BY ALL HAVING COUNT(DISTINCT v.r) = 5) GROUP BY k) sf ON sf.k = c.k""")
-
-
-@query("udf2_hand_rank", """
-    SELECT 'BR' || CAST(k AS VARCHAR) AS hand_id, CAST(rank AS BIGINT) AS rank, CAST(greatest(rank - 1, 1) AS BIGINT) AS hand_class,
-           ['Royal Flush', 'Straight Flush', 'Four of a Kind', 'Full House', 'Flush', 'Straight', 'Three of a Kind', 'Two Pair', 'One Pair', 'High Card'][rank] AS hand_name
-    FROM fx_all_rank""")
+rank_ctes("fx_all", """SELECT hand_id, 0 AS side, hero_cards || board_str AS cards FROM fx_hands
+    UNION ALL SELECT p.hand_id, p.seat - 1, p.hole_cards || h.board_str FROM fx_hand_players p JOIN fx_hands h USING (hand_id)
+    WHERE NOT p.is_hero AND p.hole_cards IS NOT NULL""")
+NAMES = "['Straight Flush', 'Straight Flush', 'Four of a Kind', 'Full House', 'Flush', 'Straight', 'Three of a Kind', 'Two Pair', 'One Pair', 'High Card']"
+
+
+@query("udf2_hand_rank", f"""
+    SELECT hand_id, CAST(rank AS BIGINT) AS rank, CAST(greatest(rank - 1, 1) AS BIGINT) AS hand_class,
+           CASE rank WHEN 1 THEN 'Royal Flush' ELSE {NAMES}[rank] END AS hand_name
+    FROM fx_all_rank WHERE side = 0""")
 def _(t):
     return with_hand_rank(t.hands, "hero_cards", "board_str").select("hand_id", "evaluation.*")
 
 
-@query("udf3_showdown")
+@query("udf3_showdown", f"""
+    SELECT h.hand_id, CASE WHEN r.rank < h.rank OR (r.rank = h.rank AND r.ties > h.ties) THEN r.side
+                           WHEN r.rank = h.rank AND r.ties = h.ties THEN -1 ELSE 0 END::BIGINT AS winner_index,
+           h.rank::BIGINT AS hero_rank, {NAMES}[h.rank] AS hero_hand, least(h.rank, r.rank)::BIGINT AS winning_rank,
+           {NAMES}[least(h.rank, r.rank)] AS winning_hand, h.rank < r.rank OR (h.rank = r.rank AND h.ties >= r.ties) AS hero_would_win
+    FROM (SELECT * FROM fx_all_rank WHERE side = 0) h
+    JOIN (SELECT * FROM fx_all_rank WHERE side > 0 QUALIFY row_number() OVER (PARTITION BY hand_id ORDER BY rank, ties DESC, side) = 1) r USING (hand_id)""")
 def _(t):
     seats = t.hand_players.groupBy("hand_id").agg(
         F.transform(

@@ -17,13 +17,6 @@ def player_features(t):
     return features.player_features(player_statistics(d.player_hand_stats(t)))
 
 
-def settled(t, df):
-    """Features are written once and read back before a model makes many passes over them."""
-    from workload.tables_io import stored
-
-    return t.spark.read.table(stored(t, df, "features"))
-
-
 def clusters(t):
     """Opponents carry a group number here, so that the mean over a table is not constant."""
     return t.hand_players.filter("NOT is_hero").select("player_name").distinct().select(
@@ -109,7 +102,7 @@ def _(t):
 
 
 def training(t):
-    return settled(t, models.impute_median(models.trainable(player_features(t)), FEATURES))
+    return d.stored(t, models.impute_median(models.trainable(player_features(t)), FEATURES))
 
 
 @query("ml6_k_search")
@@ -160,7 +153,7 @@ def _(t):
 
 @query("ml11_jn12_score_players")
 def _(t):
-    players_, rows = settled(t, player_features(t)), training(t)
+    players_, rows = d.stored(t, player_features(t)), training(t)
     model = models.fit_clusters(rows, 4, starts=1)
     return models.score_players(model, players_, models.cluster_definitions(model, rows), rows.count()).drop("scored_at")
 
@@ -179,7 +172,7 @@ def _(t):
 
 
 def scored(t, trees: int = 10, depth: int = 5):
-    rows = settled(t, models.trim_outliers(hand_features(t), "profit_bb"))
+    rows = d.stored(t, models.trim_outliers(hand_features(t), "profit_bb"))
     train, test = models.train_test(rows)
     model = models.fit_ev(train, trees, depth)
     return model, models.predict_ev(model, test), rows

@@ -10,21 +10,17 @@ from pyspark.sql import functions as F
 from pokerlake.operators import hand_text, tournament_text
 from pokerlake.plans.features import player_features
 from pokerlake.plans.players import player_statistics
-from pokerlake.session import shared_dir
 from pokerlake.sinks import tables as sinks
 from pokerlake.sources.files import base_name, read_text_files, scan
 from pokerlake.streaming.ingest import ingest_captures, ingest_hand_histories, ingest_tournament_summaries
 from workload import derived as d
 from workload import render
+from workload.derived import fresh_dir
 from workload.registry import cte, query
 
 FOLDER = {"hand_history": "batch", "tournament_history": "tournament_id", "analysis_result": "doc_id"}
 
 
-def fresh_dir(t) -> str:
-    return f"{shared_dir(t.spark)}/run-{uuid4().hex[:12]}"
-
-
 def fresh_table(name: str) -> str:
     return f"{name}_{uuid4().hex[:12]}"
 
@@ -100,21 +96,22 @@ def _(t):
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("raw_content")).alias("characters"))
 
 
-def stored(t, df: DataFrame, name: str) -> str:
-    table = fresh_table(name)
+def table_of(t, df: DataFrame) -> str:
+    """Name of a new table in the shared folder that holds the rows."""
+    table = fresh_table("rows")
     sinks.overwrite_table(df, table, fresh_dir(t))
     return table
 
 
 @query("src7_scan_table", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def _(t):
-    table = stored(t, t.orders, "orders_copy")
+    table = table_of(t, t.orders)
     return scan(t.spark, table).filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
 
 
 @query("src8_scan_features", "SELECT player_name, total_hands, vpip_pct FROM fx_statistics")
 def _(t):
-    table = stored(t, player_features(player_statistics(d.player_hand_stats(t))), "player_features")
+    table = table_of(t, player_features(player_statistics(d.player_hand_stats(t))))
     return scan(t.spark, table, ["player_name", "total_hands", "vpip_pct"])
 
 
@@ -146,7 +143,7 @@ def _(t):
 
 @query("snk2_full_refresh", "SELECT tournament_id, hero_position::BIGINT AS hero_position FROM fx_tournaments")
 def _(t):
-    table = stored(t, t.tournaments.select("tournament_id", "buyin_total"), "refresh")
+    table = table_of(t, t.tournaments.select("tournament_id", "buyin_total"))
     return sinks.overwrite_table(t.tournaments.select("tournament_id", "hero_position"), table, fresh_dir(t))
 
 
@@ -168,7 +165,7 @@ def _(t):
 
 @query("snk5_drop_and_rebuild", "SELECT hand_id, big_blind FROM fx_hands")
 def _(t):
-    table = stored(t, t.hands.select("hand_id"), "hand_features")
+    table = table_of(t, t.hands.select("hand_id"))
     return sinks.overwrite_table(t.hands.select("hand_id", "big_blind"), table, fresh_dir(t))
 
 
