@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ONCE = {"fx_hands": ["hero_cards", "hand_timestamp"], "fx_screenshots": ["hero_cards", "hero_pos", "screenshot_at"]}
 SPREAD = ["orders", "lineitem", "customer"]
 STAR = ["orders", "lineitem", "customer", "events", "documents", "pages", "conversations", "labels", "part", "supplier", "nation"]
 
@@ -159,4 +160,7 @@ class Tables:
         for name in [*SPREAD, *self._derived]:
             if name != key and re.search(rf"\b{name}\b", text):
                 getattr(self, name.removeprefix("fx_")).createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        df, once = self.spark.sql(text), ONCE.get(key, [])
+        # A one-row generator computes these long expressions once, wherever filters on them move.
+        packed = [F.inline_outer(F.array(F.struct(*once)))] if once else []
+        return df.select(*[c for c in df.columns if c not in once], *packed)
