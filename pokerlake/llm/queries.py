@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import token_files
+from pokerlake.llm import token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return token_files.read_digests(token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op10_token_counts")
+def _(spark, sf_dir):
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
