@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +63,19 @@ def components(edges: DataFrame) -> DataFrame:
 def _relabel(df: DataFrame, column: str, jumps: DataFrame) -> DataFrame:
     to = jumps.select(F.col("root").alias(column), F.col("parent").alias("_to"))
     return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in package.rglob("*.py"):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
