@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import token_counts, token_files
+from pokerlake.llm import mixing, token_counts, token_files
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op7_mixing")
+def _(spark, sf_dir):
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
