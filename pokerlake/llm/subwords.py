@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pokerlake.llm.words import text_slices
 
 #: Bounds memory only: a forgotten chunk is encoded again.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 JOINED = 2_000
 
 
@@ -31,6 +31,11 @@ class ChunkEncoder:
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
 
+    def kind(self, *more: int) -> np.dtype:
+        """Smallest type that holds every id, and ``more``."""
+        most = max(*self.tokenizer.get_vocab(with_added_tokens=True).values(), *more)
+        return np.dtype(np.uint16 if most < 1 << 16 else np.uint32)
+
     def _learn(self, chunks: list[str]) -> None:
         """Ids of chunks, many to a call; a token belongs to the chunk it starts in."""
         groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
@@ -61,7 +66,7 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
         all_ids, all_counts = [], []
-        for _, part in text_slices(texts, 16 << 20):
+        for _, part in text_slices(texts, 8 << 20):
             words = pc.split_pattern(pc.replace_substring(part, "\n", " "), " ")
             firsts = words.offsets.to_numpy().astype(np.int64)
             coded = words.flatten().dictionary_encode()

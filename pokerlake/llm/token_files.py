@@ -1,8 +1,8 @@
 """Token ids as Arrow files of equal-length sequences (binary output).
 
 Documents are sorted by id into range slices; each slice becomes one Arrow IPC file whose
-batches hold two fixed-size-list columns, ``ids`` (uint32) and ``mask`` (uint8, 1 for a
-token, 0 for padding at the end of the file). Sequence ``i`` of a file sits at a known
+batches hold two fixed-size-list columns, ``ids`` (uint16 where the vocabulary fits, else
+uint32) and ``mask`` (one bit: a token, or padding at the end of the file). Sequence ``i`` of a file sits at a known
 place, so readers map the file and slice it without copying. Beside it lies a file of the
 documents (id, place of the first token, number of tokens).
 
@@ -51,10 +51,11 @@ def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(pa.memory_map(inner) if local else system.open_input_file(inner))
 
 
-def sequence(path: str, number: int, per_batch: int = SEQUENCES_PER_BATCH) -> tuple[np.ndarray, np.ndarray]:
+def sequence(path: str, number: int, per_batch: int = SEQUENCES_PER_BATCH) -> tuple[np.ndarray, pa.BooleanArray]:
     """(ids, mask) of one sequence of a file, as views of the mapped file."""
     batch = open_file(path).get_batch(number // per_batch)
-    return tuple(batch.column(c)[number % per_batch].values.to_numpy() for c in ("ids", "mask"))
+    ids, mask = (batch.column(c)[number % per_batch].values for c in ("ids", "mask"))
+    return ids.to_numpy(), mask
 
 
 @lru_cache(maxsize=2)
@@ -65,15 +66,15 @@ def _encoder(path: str) -> ChunkEncoder:
 class _SequenceFile:
     """Packs ids into sequences and writes full batches as they fill."""
 
-    def __init__(self, path: str, length: int):
-        self.length, self.waiting, self.size, self.sequences = length, [], 0, 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, path: str, length: int, kind: np.dtype):
+        self.length, self.kind, self.waiting, self.size, self.sequences = length, kind, [], 0, 0
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         system, inner = storage(path)
         self.sink = system.open_output_stream(inner)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
-        self.waiting.append(ids)
+        self.waiting.append(ids.astype(self.kind))
         self.size += len(ids)
         full = self.length * SEQUENCES_PER_BATCH
         if self.size >= full:
@@ -84,15 +85,14 @@ class _SequenceFile:
             self.waiting, self.size = [rest], len(rest)
 
     def _batch(self, ids: np.ndarray, tokens: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:tokens] = 1
+        mask = np.arange(len(ids)) < tokens
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
         self.sequences += len(ids) // self.length
 
     def close(self) -> None:
         if self.size:
-            padded = np.zeros(-(-self.size // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-self.size // self.length) * self.length, self.kind)
             padded[: self.size] = np.concatenate(self.waiting)
             self._batch(padded, self.size)
         self.writer.close()
@@ -113,7 +113,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int):
             if out is None:
                 system, inner = storage(folder)
                 system.create_dir(inner, recursive=True)
-                out = _SequenceFile(f"{name}.arrow", length)
+                out = _SequenceFile(f"{name}.arrow", length, _encoder(tokenizer).kind(end_id))
                 sink = system.open_output_stream(f"{inner}/{name.rsplit('/', 1)[1]}.documents.arrow")
                 index = pa.ipc.new_file(sink, DOCUMENTS)
             ids, counts = _encoder(tokenizer).encode(batch.column("text"))
@@ -160,8 +160,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     while left:
                         if at == len(loaded):
                             block = file.get_batch(number)
-                            ids, mask = (block.column(c).flatten().to_numpy() for c in ("ids", "mask"))
-                            loaded, at, number = ids[: int(mask.sum(dtype=np.int64))], 0, number + 1
+                            ids, mask = (block.column(c).flatten() for c in ("ids", "mask"))
+                            loaded, at, number = ids.to_numpy()[: mask.true_count].astype("<u4"), 0, number + 1
                         step = min(left, len(loaded) - at)
                         crc = zlib.crc32(loaded[at : at + step], crc)
                         at, left = at + step, left - step
