@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import mixing, token_counts, token_files
+from pokerlake.llm import mixing, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,12 @@ def _(spark, sf_dir):
 @query("op7_mixing")
 def _(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.scored(docs.select("doc_id", "text", "lang"), model)
+    score = F.col("_score")
+    return rows.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), toxicity.is_toxic(model).cast("int").alias("by_lang"))
