@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import mixing, token_counts, token_files, toxicity
+from pokerlake.llm import decontamination, mixing, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def _(spark, sf_dir):
     rows = toxicity.scored(docs.select("doc_id", "text", "lang"), model)
     score = F.col("_score")
     return rows.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), toxicity.is_toxic(model).cast("int").alias("by_lang"))
+
+
+@query("op5_decontamination")
+def _(spark, sf_dir):
+    return decontamination.best_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
