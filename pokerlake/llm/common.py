@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pokerlake.session import shared_dir
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """An unused folder below ``spark.checkpoint.dir``, which all executors share."""
     return f"{shared_dir(spark)}/{name}-{uuid4().hex[:12]}"
@@ -20,9 +23,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends, lost executors cost nothing."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the table replaces the shuffle files that led to it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices_of(df: DataFrame, rows_per_slice: int = 1_000_000) -> int:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import decontamination, mixing, sharding, token_counts, token_files, toxicity
+from pokerlake.llm import decontamination, mixing, sharding, substring_dedup, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = sharding.shards(table(spark, sf_dir, "documents"), 24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
+
+
+@query("op1_substring_dedup")
+def _(spark, sf_dir):
+    return substring_dedup.dedupe_substrings(table(spark, sf_dir, "documents"))

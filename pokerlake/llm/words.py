@@ -121,13 +121,17 @@ def rolling_hashes(hashes: np.ndarray, width: int, family: int = 0) -> np.ndarra
     return mixed(out)
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values, by doubling."""
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the minimum of each ``width`` consecutive values, the leftmost of equal ones, by doubling."""
     if len(values) < width:
-        return values[:0]
-    out, done = values, 1
+        return np.zeros(0, np.int64)
+    at, done = np.arange(len(values)), 1
+
+    def smaller(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.where(values[right] < values[left], right, left)
+
     while done * 2 <= width:
-        out = np.minimum(out[:-done], out[done:])
+        at = smaller(at[:-done], at[done:])
         done *= 2
     rest = width - done
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+    return smaller(at[: len(at) - rest], at[rest:]) if rest else at
