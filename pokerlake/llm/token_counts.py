@@ -1,9 +1,10 @@
 """Token counts of whole texts with a ``sentencepiece`` model, each pre-token counted once.
 
 The model writes a space as U+2581 and puts one in front of the text. None of its pieces
-holds that sign after another character, so no merge crosses from a character to a
-following space: a text falls into pre-tokens, each a run of spaces with what follows, and
-its number of tokens is the sum over them.
+holds that sign after another character, a line feed beside another character, or a full
+stop or comma right after an ASCII letter (checked when the model is loaded), so no merge
+crosses these places: a text cut there falls into pre-tokens, and its number of tokens is
+the sum over them.
 
 1. Documents are taken in chunks of a bounded size. A chunk's file in the shared folder
    holds the pre-token frequencies of each of its documents; its distinct pre-tokens
@@ -19,6 +20,7 @@ for equal or null ids. Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from uuid import uuid4
@@ -41,29 +43,35 @@ def _model(path: str):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    if any(SIGN in piece.lstrip(SIGN) for piece in pieces):
-        raise ValueError("the model has pieces that reach across a space")
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    if any(SIGN in p.lstrip(SIGN) or ("\n" in p and p != "\n") or re.search("[A-Za-z][.,]", p) for p in pieces):
+        raise ValueError("the model has pieces that reach across a cut")
     return model
 
 
 def pre_tokens(texts: pa.Array) -> pa.ListArray:
-    """Pre-tokens of each text without their first space; further spaces are U+2581.
+    """Pre-tokens of each text; the first item of each list is always empty and stands for nothing.
 
-    The first item of each list is always empty and stands for nothing.
+    One that begins with spaces is written without its first space, further spaces as
+    U+2581. One that was cut off without a space in front is written after a line feed.
     """
     spaced = pc.binary_join_element_wise("", pc.replace_substring(texts.fill_null(""), SIGN, " "), " ")
     runs = pc.replace_substring(pc.replace_substring(spaced, "  ", f" {SIGN}"), f"{SIGN} ", SIGN * 2)
-    return pc.split_pattern(runs, " ")
+    lines = pc.replace_substring(runs, "\n", " \n\n")
+    return pc.split_pattern(pc.replace_substring_regex(lines, "([A-Za-z])([.,])", "\\1 \n\\2"), " ")
 
 
 def piece_counts(model, tokens: list[str]) -> np.ndarray:
-    """Number of pieces of each pre-token; an empty one is a single space."""
-    return np.array([len(x) if t else 1 for t, x in zip(tokens, model.encode(tokens, num_threads=1), strict=True)], np.int64)
+    """Number of pieces of each pre-token: an empty one is a space, a line feed in front adds two."""
+    found = model.encode(tokens, num_threads=1)
+    return np.array([1 if not t else len(x) - 2 * (t[0] == "\n") for t, x in zip(tokens, found, strict=True)], np.int64)
 
 
 def _chunk(texts: pa.Array) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
-    """(distinct pre-tokens, their places by document, their frequencies by document)."""
+    """(distinct pre-tokens, steps between their places by document, frequencies by document).
+
+    Frequent pre-tokens come first and places ascend in a document, so steps are small.
+    """
     lists = pre_tokens(texts)
     edges = lists.offsets.to_numpy().astype(np.int64)
     edges = edges - edges[0]
@@ -73,6 +81,9 @@ def _chunk(texts: pa.Array) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
     code = coded.indices.to_numpy().astype(np.int64)
     keep = np.ones(len(code), bool)
     keep[edges[:-1]] = False
+    rank = np.argsort(-np.bincount(code, minlength=len(names)), kind="stable")
+    names = names.take(pa.array(rank))
+    code = np.argsort(rank)[code] if len(rank) else code
     keep &= np.repeat(pc.binary_length(texts.fill_null("")).to_numpy() > 0, lengths)
     owner = np.repeat(np.arange(len(texts)), lengths)
     cells = np.sort((owner * len(names) + code)[keep])
@@ -80,18 +91,18 @@ def _chunk(texts: pa.Array) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
     times = np.diff(np.append(first, len(cells)))
     cells = cells[first]
     offsets = pa.array(np.searchsorted(cells, np.arange(len(texts) + 1) * len(names)).astype(np.int32))
-    places = pa.ListArray.from_arrays(offsets, pa.array((cells % max(1, len(names))).astype(np.uint32)))
-    return names, places, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.uint32)))
+    steps = np.diff(cells % max(1, len(names)), prepend=0).astype(np.int32)
+    return names, pa.ListArray.from_arrays(offsets, pa.array(steps)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.uint32)))
 
 
 def _chunker(folder: str):
     def save(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(waiting).combine_chunks()
         ids, texts = (table.column(c).chunk(0) for c in ("doc_id", "text"))
-        names, places, times = _chunk(texts)
+        names, steps, times = _chunk(texts)
         chunk = uuid4().int >> 66
         n_bytes = pc.binary_length(texts.fill_null("")).cast(pa.int64())
-        batch = pa.record_batch([ids, n_bytes, places, times], names=["doc_id", "n_bytes", "places", "times"])
+        batch = pa.record_batch([ids, n_bytes, steps, times], names=["doc_id", "n_bytes", "steps", "times"])
         system, inner = storage(folder)
         system.create_dir(inner, recursive=True)
         with system.open_output_stream(f"{inner}/{chunk}.arrow") as sink, pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -148,10 +159,10 @@ def _summer(folder: str):
             batch = pa.ipc.open_file(source).get_batch(0)
         pieces = np.zeros(rows.num_rows, np.int64)
         pieces[rows.column("place").to_numpy()] = rows.column("pieces").to_numpy()
-        places, times = batch.column("places"), batch.column("times")
-        total = np.zeros(len(places.values) + 1, np.int64)
-        np.cumsum(pieces[places.values.to_numpy()] * times.values.to_numpy(), out=total[1:])
-        n_tokens = np.diff(total[places.offsets.to_numpy()])
+        steps, times = batch.column("steps"), batch.column("times")
+        total = np.zeros(len(steps.values) + 1, np.int64)
+        np.cumsum(pieces[np.cumsum(steps.values.to_numpy(), dtype=np.int64)] * times.values.to_numpy(), out=total[1:])
+        n_tokens = np.diff(total[steps.offsets.to_numpy()])
         return pa.table([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n_tokens)], schema=RESULT)
 
     return add
