@@ -87,3 +87,16 @@ def ship(spark: SparkSession) -> None:
                 out.write(file, file.relative_to(package.parent))
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
+
+
+def in_blocks(rows: DataFrame, key: str, number: str, spread: str, size: int) -> DataFrame:
+    """Rows of a key dealt into pairs of blocks, for comparing all of them in bounded groups.
+
+    ``number`` holds the rows of the key. A key with up to ``size`` rows is one block; a
+    larger one is cut into blocks by the hash of ``spread``, and every pair of blocks
+    (``low``, ``high``) becomes a group of its own. ``block`` is the row's own block.
+    """
+    parts = F.ceil(F.col(number) / F.lit(size)).cast("int")
+    cut = rows.withColumn("_parts", parts).withColumn("block", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"))
+    dealt = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return dealt.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")}).drop("_parts", "_other")

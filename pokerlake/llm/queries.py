@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import decontamination, mixing, sharding, substring_dedup, token_counts, token_files, toxicity
+from pokerlake.llm import decontamination, mixing, near_duplicates, sharding, substring_dedup, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def _(spark, sf_dir):
 @query("op1_substring_dedup")
 def _(spark, sf_dir):
     return substring_dedup.dedupe_substrings(table(spark, sf_dir, "documents"))
+
+
+@query("op6_near_duplicates")
+def _(spark, sf_dir):
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
