@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import decontamination, embedding_links, mixing, near_duplicates, sharding, substring_dedup, token_counts, token_files, toxicity
+from pokerlake.llm import decontamination, embedding_links, license_scan, mixing, near_duplicates, sharding, substring_dedup, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def _(spark, sf_dir):
 @query("op2_embedding_links")
 def _(spark, sf_dir):
     return embedding_links.links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_license_scan")
+def _(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
