@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pokerlake.functions.times import bucket_number, capture_time
-from pokerlake.operators.lists import MAX_LIST, ordered_lists
-from pokerlake.operators.ordered import first_per_key
+from pokerlake.operators.lists import PART_ROWS, list_parts
 
 # Fixed value: the document of one capture.
 DOCUMENT = """
@@ -28,16 +27,30 @@ SPOT_SECONDS = 600
 MONEY = "decimal(10,2)"
 
 
+def read_captures(bronze: DataFrame) -> DataFrame:
+    """file_name, raw_content, data and is_valid of every document, parsed once.
+
+    A document is valid if it carries advice. Kept and rejected documents are filters of
+    this one result.
+    """
+    # The generator keeps the optimizer from parsing again for each use of the result.
+    parsed = F.inline(F.array(F.struct(F.from_json("raw_content", DOCUMENT).alias("data"))))
+    return bronze.select("file_name", "raw_content", parsed).withColumn("is_valid", F.col("data.gpt_advice").isNotNull())
+
+
+def kept_screenshots(read: DataFrame) -> DataFrame:
+    """file_name, data and screenshot_at of the valid documents of ``read_captures``."""
+    return read.filter("is_valid").select("file_name", "data", capture_time(F.col("file_name")).alias("screenshot_at"))
+
+
 def parse_screenshots(bronze: DataFrame) -> DataFrame:
     """file_name, data and screenshot_at of the documents that carry advice."""
-    parsed = bronze.select("file_name", F.from_json("raw_content", DOCUMENT).alias("data"))
-    return parsed.filter("data.gpt_advice IS NOT NULL").withColumn("screenshot_at", capture_time(F.col("file_name")))
+    return kept_screenshots(read_captures(bronze))
 
 
 def rejected_screenshots(bronze: DataFrame) -> DataFrame:
     """Documents without advice, unreadable ones among them."""
-    parsed = bronze.withColumn("data", F.from_json("raw_content", DOCUMENT))
-    return parsed.filter("data.gpt_advice IS NULL").select("file_name", "raw_content")
+    return read_captures(bronze).filter("NOT is_valid").select("file_name", "raw_content")
 
 
 def spot_key(ts: Column, cards: Column, position: Column, street: Column, board: Column, pot: Column) -> Column:
@@ -72,31 +85,32 @@ def spot_recommendations(keyed: DataFrame) -> DataFrame:
     )
 
 
-def first_of_spots(keyed: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """The earliest capture of each spot with the advice given over the whole spot.
+def first_of_spots(keyed: DataFrame) -> DataFrame:
+    """The earliest capture of each spot and how often advice was given over the whole spot.
 
-    A spot with more captures than ``max_list`` has NULL lists; ``spot_recommendations``
-    holds them whole, and the count is exact for every spot.
+    One shuffle: every task sends one capture and one count per spot, however frequent.
     """
-    advice = spot_recommendations(keyed)
-    lists = ordered_lists(
-        advice,
-        ["spot_key"],
-        ["screenshot_at", "file_name"],
-        {
-            "all_recommendations": F.col("action"),
-            "all_recommendations_full": F.col("recommendation"),
-            "all_gpt_times": F.col("seconds"),
-        },
-        max_list,
+    order = F.struct("screenshot_at", "file_name")
+    grouped = keyed.groupBy("spot_key").agg(
+        F.min_by(F.struct("file_name", "screenshot_at", "data"), order).alias("_first"),
+        F.count("data.gpt_advice.raw.action").cast("int").alias("recommendation_count"),
     )
-    counts = advice.groupBy("spot_key").agg(F.count("action").cast("int").alias("recommendation_count"))
-    first = first_per_key(keyed, ["spot_key"], ["screenshot_at", "file_name"])
-    return first.join(counts, "spot_key").join(lists, "spot_key", "left")
+    return grouped.select("spot_key", "_first.*", "recommendation_count")
+
+
+def spot_lists(keyed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """The advice of each spot in the order of time, in parts of ``part_rows`` captures.
+
+    Nearly every spot has one part, number 0; captures without time and cards may share one
+    spot and have many.
+    """
+    values = {"all_recommendations": "action", "all_recommendations_full": "recommendation", "all_gpt_times": "seconds"}
+    columns = {name: F.col(column) for name, column in values.items()}
+    return list_parts(spot_recommendations(keyed), ["spot_key"], ["screenshot_at", "file_name"], columns, part_rows)
 
 
 def build_screenshots(spots: DataFrame) -> DataFrame:
-    """The screenshots table."""
+    """The screenshots table; ``spot_lists`` has the advice of the whole spot."""
 
     def col(path: str, name: str, kind: str | None = None) -> Column:
         value = F.col(f"data.{path}")
@@ -120,8 +134,6 @@ def build_screenshots(spots: DataFrame) -> DataFrame:
         col("gpt_advice.time", "gpt_time", "decimal(6,3)"),
         col("gpt_advice.raw.prompt_system", "gpt_prompt_system"),
         "spot_key",
-        "all_recommendations",
-        "all_recommendations_full",
         "recommendation_count",
         F.current_timestamp().alias("ingested_at"),
     )

@@ -1,29 +1,29 @@
-"""Ordered lists per key, with a way out for keys too large for one row."""
+"""Ordered lists per key, in parts of a bounded number of rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LIST = 100_000
+from pokerlake.operators.ordered import running
 
+PART_ROWS = 10_000
 
-def ordered_lists(
-    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], limit: int = MAX_LIST
+
+def list_parts(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """One array per key and value, in order, without NULL items.
+    """One array per key, part and value, in order, without NULL items.
 
-    Keys with more rows than ``limit`` are not collected: they are missing from the
-    result, and their items stay available, whole, as the rows of ``df`` itself.
-    The count that decides is pre-aggregated, and the list of large keys is joined
-    back by a plain join whose strategy Spark picks from the measured size.
+    Part 0 holds the first ``part_rows`` rows of the key, part 1 the next ones and so on, so
+    every row is in a list and no list is longer than that. ``order`` must end with a unique
+    column.
     """
-    large = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    small = df.join(large, keys, "left_anti")
-    items = [F.struct(*order, value.alias("item")) for value in values.values()]
-    collected = small.groupBy(*keys).agg(
-        *[F.array_sort(F.collect_list(item)).alias(name) for name, item in zip(values, items)]
-    )
+    named = df.select(*keys, *order, *[value.alias(f"_item_{name}") for name, value in values.items()])
+    numbered = running(named, keys, order, number="_number")
+    part = F.floor((F.col("_number") - 1) / part_rows).alias("part")
+    items = [F.array_sort(F.collect_list(F.struct("_number", F.col(f"_item_{name}").alias("item")))).alias(name) for name in values]
+    collected = numbered.groupBy(*keys, part).agg(*items)
     return collected.withColumns(
         {
             name: F.transform(F.filter(name, lambda x: x["item"].isNotNull()), lambda x: x["item"])
@@ -32,13 +32,19 @@ def ordered_lists(
     )
 
 
-def repeated_text(df: DataFrame, keys: list[str], value: str, separator: str) -> DataFrame:
-    """All values of a key as one text, sorted, repeats kept.
+def repeated_text(df: DataFrame, keys: list[str], value: str, separator: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """All values of a key as text in parts, sorted, repeats kept. Adds ``part`` and ``text``.
 
-    Equal values are counted before anything is collected, so a key collects one item
-    per distinct value. Adds ``text``.
+    Equal values are counted before anything is spelled out; a value that repeats across
+    the border of a part continues in the next one.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    grouped = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(value, "n"))).alias("items"))
-    spelled = F.flatten(F.transform("items", lambda x: F.array_repeat(x[value], x["n"])))
-    return grouped.select(*keys, F.array_join(spelled, separator).alias("text"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counted, keys, [value], {"_upto": F.col("_n")})
+    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
+    parts = F.sequence(F.floor(first / part_rows), F.floor(last / part_rows))
+    dealt = placed.withColumn("part", F.explode(parts))
+    low, high = F.greatest(first, F.col("part") * part_rows), F.least(last, (F.col("part") + 1) * part_rows - 1)
+    held = dealt.select(*keys, "part", value, (high - low + 1).cast("int").alias("_times"))
+    grouped = held.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(value, "_times"))).alias("_items"))
+    spelled = F.flatten(F.transform("_items", lambda x: F.array_repeat(x[value], x["_times"])))
+    return grouped.select(*keys, "part", F.array_join(spelled, separator).alias("text"))

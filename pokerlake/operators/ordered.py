@@ -1,10 +1,11 @@
 """Ordered calculations per key that stay bounded when one key holds most rows.
 
-A plain window sends a whole key to one task. That is the cheapest plan while every
-key is small, so it is used below ``MAX_GROUP_ROWS``. Above it (and for totals over
-the whole table) the rows are range-partitioned by key and order into even slices;
-each slice is summed, the slice sums of a key are accumulated (at most one row per
-slice), and only the rows of one slice are ever sorted together.
+A plain window sends a whole key to one task. Here the order itself is cut into slices of
+about ``SLICE_ROWS`` rows of the whole table, at points of a sample of fixed size, and a key
+falls into one group per slice. Each group is summed, the sums of a key are accumulated (a
+row per slice), and only the rows of one group are ever sorted together. The number of
+slices follows the row count inside the plan: a small table is one slice, and the plan is
+the same for every size. Nothing runs while the DataFrame is built.
 """
 
 from __future__ import annotations
@@ -12,19 +13,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pokerlake.session import ensure_checkpoints
-
-MAX_GROUP_ROWS = 2_000_000
+SLICE_ROWS = 1_000_000
+SAMPLE = 50_000
 BLOCK_ROWS = 100_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the most frequent key; one pre-aggregated pass over the key columns."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def slice_bounds(df: DataFrame, order: list[str], slice_rows: int = SLICE_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """One row: ``_bounds``, ascending, the places of the order at which slices 1 and up begin.
+
+    The sample holds the rows with the smallest hashes, so it is the same for every run; it
+    has at most ``sample`` rows whatever the size of the table.
+    """
+    point = F.struct(*order)
+    picked = df.select(point.alias("_point")).orderBy(F.xxhash64("_point")).limit(sample)
+    points = picked.agg(F.array_sort(F.collect_list("_point")).alias("_points"))
+    rows = df.agg(F.count(F.lit(1)).alias("_n"))
+    slices = F.least(F.ceil(F.col("_n") / slice_rows), F.size("_points"))
+    at = lambda i: F.element_at("_points", (1 + F.floor(i * F.size("_points") / slices)).cast("int"))
+    # Sequences cannot be empty, so the first item is left out afterwards.
+    bounds = F.transform(F.sequence(F.lit(0), F.greatest(slices - 1, F.lit(0))), lambda i: F.when(i > 0, at(i)))
+    return points.crossJoin(rows).select(F.array_distinct(F.filter(bounds, lambda b: b.isNotNull())).alias("_bounds"))
+
+
+def slice_number(point: Column, bounds: Column) -> Column:
+    """Number of bounds up to the point, by bisection."""
+    steps = F.array(*[F.lit(1 << i) for i in range(SAMPLE.bit_length(), -1, -1)])
+
+    def step(passed: Column, width: Column) -> Column:
+        further = passed + width
+        return F.when((further <= F.size(bounds)) & (F.try_element_at(bounds, further) <= point), further).otherwise(passed)
 
+    return F.aggregate(steps, F.lit(0), step)
 
-def must_split(df: DataFrame, keys: list[str], limit: int = MAX_GROUP_ROWS) -> bool:
-    return not keys or largest_group(df, keys) > limit
+
+def _sliced(df: DataFrame, order: list[str], slice_rows: int) -> DataFrame:
+    bounds = F.broadcast(slice_bounds(df, order, slice_rows))  # one row of at most SAMPLE points
+    return df.crossJoin(bounds).withColumn("_slice", slice_number(F.struct(*order), F.col("_bounds"))).drop("_bounds")
 
 
 def _group(keys: list[str]) -> Column:
@@ -38,32 +62,14 @@ def running(
     sums: dict[str, Column] | None = None,
     number: str | None = None,
     total: str | None = None,
-    split: bool = False,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Add running sums, the row number and the row count of each key.
+    """Add running sums, the row number and the row count of each key, the latter two as bigint.
 
     ``order`` must end with a unique column, so that equal times have one order.
     """
     sums = sums or {}
-    if not split and keys:
-        upto = Window.partitionBy(*keys).orderBy(*order)
-        rows = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        added = {name: F.sum(value).over(rows) for name, value in sums.items()}
-        if number:
-            added[number] = F.row_number().over(upto)
-        if total:
-            added[total] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        return df.withColumns(added)
-
-    spark = df.sparkSession
-    ensure_checkpoints(spark)
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The slice number must not change if a task is run again, so it is stored.
-    sliced = (
-        df.repartitionByRange(slices, *keys, *order)
-        .withColumns({"_slice": F.spark_partition_id(), "_group": _group(keys)})
-        .checkpoint()
-    )
+    sliced = _sliced(df, order, slice_rows).withColumn("_group", _group(keys))
     parts = sliced.groupBy("_group", "_slice").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()]
     )
@@ -83,7 +89,7 @@ def running(
         here, earlier = F.sum(value).over(rows), F.col(f"_before_{name}")
         added[name] = F.coalesce(here + earlier, here, earlier)
     if number:
-        added[number] = (F.col("_rows_before") + F.row_number().over(inside)).cast("int")
+        added[number] = F.col("_rows_before") + F.row_number().over(inside)
     if total:
         added[total] = F.col("_rows_all")
     return sliced.join(offsets, ["_group", "_slice"]).withColumns(added).select(*df.columns, *added)
@@ -95,26 +101,21 @@ def lookback(
     order: list[str],
     lags: dict[str, str] | None = None,
     sums: dict[str, tuple[Column, int]] | None = None,
-    split: bool = False,
     block_rows: int = BLOCK_ROWS,
+    number: str | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add values of the previous row and sums over the n rows before the current one.
 
-    A split key is cut into blocks of consecutive rows; the last rows of a block are
-    handed to the next block as well, where they are read but not returned.
+    A key is cut into blocks of consecutive rows; the last rows of a block are handed to the
+    next block as well, where they are read but not returned. ``number`` names a column
+    that already holds the row numbers of the key.
     """
     lags, sums = lags or {}, sums or {}
-
-    def added(window) -> dict[str, Column]:
-        columns = {name: F.lag(source).over(window) for name, source in lags.items()}
-        return columns | {name: F.sum(v).over(window.rowsBetween(-n, -1)) for name, (v, n) in sums.items()}
-
-    if not split and keys:
-        return df.withColumns(added(Window.partitionBy(*keys).orderBy(*order)))
     depth = max([1 if lags else 0, *[n for _, n in sums.values()]])
     if depth >= block_rows:
         raise ValueError("a block must be longer than the frame")
-    numbered = running(df, keys, order, number="_number", split=True)
+    numbered = df.withColumn("_number", F.col(number)) if number else running(df, keys, order, number="_number", slice_rows=slice_rows)
     block = F.floor((F.col("_number") - 1) / block_rows)
     closing = (F.col("_number") - 1) % block_rows >= block_rows - depth
     spread = numbered.withColumns(
@@ -125,8 +126,9 @@ def lookback(
         }
     )
     window = Window.partitionBy("_group", "_block").orderBy("_number")
-    names = [*lags, *sums]
-    return spread.withColumns(added(window)).filter("_own = _block").select(*df.columns, *names)
+    columns = {name: F.lag(source).over(window) for name, source in lags.items()}
+    columns |= {name: F.sum(v).over(window.rowsBetween(-n, -1)) for name, (v, n) in sums.items()}
+    return spread.withColumns(columns).filter("_own = _block").select(*df.columns, *columns)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -15,8 +15,8 @@ from pokerlake.functions.labels import (
     table_type,
 )
 from pokerlake.functions.numbers import count_where, pct, ratio, rounded, weighted_mean
-from pokerlake.operators.lists import MAX_LIST, ordered_lists
-from pokerlake.operators.ordered import lookback, must_split, running
+from pokerlake.operators.lists import PART_ROWS, list_parts
+from pokerlake.operators.ordered import SLICE_ROWS, lookback, running
 from pokerlake.plans.parts import (
     hands_with_hero,
     hero_action_counts,
@@ -121,13 +121,10 @@ def hand_line_analysis(
     hands: DataFrame,
     hand_players: DataFrame,
     hand_actions: DataFrame,
-    max_list: int = MAX_LIST,
 ) -> DataFrame:
-    """Each hand: advice and verdict per street, lines of both, deviations.
+    """Each hand: advice and verdict per street and deviations; ``hand_lines`` has the lines.
 
-    The lines follow the time of the captures. A hand with more captures than
-    ``max_list`` has NULL lines; ``hand_line_steps`` holds them whole. The first deviating
-    street is the alphabetical minimum.
+    The first deviating street is the alphabetical minimum.
     """
     steps = hand_line_steps(screenshots, mapping, hand_actions)
     deviated = F.col("gpt_compliance") == "deviated"
@@ -142,28 +139,29 @@ def hand_line_analysis(
         F.max(deviated.cast("int")).alias("had_deviation"),
         F.min(F.when(deviated, F.col("street"))).alias("first_deviation_street"),
     )
-    lines = ordered_lists(
-        steps,
-        ["hand_id"],
-        ["screenshot_at", "file_name"],
-        {"gpt_line": F.col("gpt_action"), "compliance_line": F.col("gpt_compliance")},
-        max_list,
-    ).withColumns({c: F.array_join(c, "->") for c in ("gpt_line", "compliance_line")})
     dealt = hands_with_hero(
         hands, hand_players, ["hero_cards", "hero_position", "board", "hero_result", "total_pot"], ["amount_won"]
     )
-    return dealt.join(per_hand, "hand_id").join(lines, "hand_id", "left")
+    return dealt.join(per_hand, "hand_id")
 
 
-def gpt_compliance_stats(base: DataFrame, hand_actions: DataFrame, split: bool | None = None) -> DataFrame:
+def hand_lines(steps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Advice and verdicts of each hand in the order of its captures, in parts of ``part_rows`` captures.
+
+    ``steps`` is ``hand_line_steps``. Nearly every hand has one part, number 0.
+    """
+    values = {"gpt_line": F.col("gpt_action"), "compliance_line": F.col("gpt_compliance")}
+    parts = list_parts(steps, ["hand_id"], ["screenshot_at", "file_name"], values, part_rows)
+    return parts.withColumns({c: F.array_join(c, "->") for c in values})
+
+
+def gpt_compliance_stats(base: DataFrame, hand_actions: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Obedience and results by stage, table type, street, stack and phase of the tournament.
 
     ``base`` is ``decision_base``. Each action of the hero on the street counts.
     """
-    if split is None:
-        split = must_split(base, ["tournament_id"])
     numbered = running(
-        base, ["tournament_id"], ["screenshot_at", "file_name"], number="nr", total="decisions", split=split
+        base, ["tournament_id"], ["screenshot_at", "file_name"], number="nr", total="decisions", slice_rows=slice_rows
     )
     advice, action, n = F.col("gpt_action"), F.col("hero_action"), F.col("n")
     stack_bb = rounded(ratio(F.col("hero_stack"), F.col("big_blind") / 100), 1)
@@ -265,17 +263,15 @@ def tilt_detection(
     hands: DataFrame,
     hand_players: DataFrame,
     hand_actions: DataFrame,
-    split: bool | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Obedience by the running profit of the tournament and after a big loss."""
-    if split is None:
-        split = must_split(hands, ["tournament_id"])
     dealt = hands_with_hero(
         hands, hand_players, ["tournament_id", "hand_timestamp", "hero_result", "big_blind"], ["net_profit"]
     )
     keys, order = ["tournament_id"], ["hand_timestamp", "hand_id"]
-    sessions = running(dealt, keys, order, {"running_profit": F.col("net_profit")}, split=split)
-    sessions = lookback(sessions, keys, order, lags={"previous_profit": "net_profit"}, split=split)
+    sessions = running(dealt, keys, order, {"running_profit": F.col("net_profit")}, number="nr", slice_rows=slice_rows)
+    sessions = lookback(sessions, keys, order, lags={"previous_profit": "net_profit"}, number="nr")
     profit, big = F.col("running_profit"), F.col("big_blind")
     sessions = sessions.select(
         "hand_id",
@@ -306,15 +302,13 @@ def tilt_consecutive_losses(
     mapping: DataFrame,
     screenshots: DataFrame,
     hand_actions: DataFrame,
-    split: bool | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Obedience by the number of hands not won among the five before."""
-    if split is None:
-        split = must_split(hands, ["tournament_id"])
     dealt = hands.select("tournament_id", "hand_id", "hand_timestamp", "hero_result")
     losses = F.when(F.col("hero_result") != "won", 1).otherwise(0)
     streaks = lookback(
-        dealt, ["tournament_id"], ["hand_timestamp", "hand_id"], sums={"losses": (losses, 5)}, split=split
+        dealt, ["tournament_id"], ["hand_timestamp", "hand_id"], sums={"losses": (losses, 5)}, slice_rows=slice_rows
     )
     label = F.when(F.col("losses") >= 4, "4+ losses").when(F.col("losses") >= 2, "2-3 losses").otherwise("0-1 losses")
     sessions = streaks.select("hand_id", "hero_result", label.alias("recent_loss_streak"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.labels import sample_confidence
 from pokerlake.functions.numbers import pct, rounded
-from pokerlake.operators.ordered import must_split, running, top
+from pokerlake.operators.ordered import SLICE_ROWS, running, top
 from pokerlake.plans.features import HAND_FEATURES, PLAYER_FEATURES
 
 # Training settings of the two models.
@@ -42,7 +42,7 @@ def trainable(features: DataFrame, min_hands: int = MIN_HANDS) -> DataFrame:
     return features.filter(F.col("total_hands") >= min_hands)
 
 
-def medians(df: DataFrame, columns: list[str], split: bool | None = None) -> DataFrame:
+def medians(df: DataFrame, columns: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Exact medians, one row with a column each.
 
     Equal values are counted first; the middle ranks are then read off running counts, so
@@ -56,9 +56,7 @@ def medians(df: DataFrame, columns: list[str], split: bool | None = None) -> Dat
         .groupBy("name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    if split is None:
-        split = must_split(counted, ["name"])
-    upto = running(counted, ["name"], ["value"], {"upto": F.col("n")}, split=split)
+    upto = running(counted, ["name"], ["value"], {"upto": F.col("n")}, slice_rows=slice_rows)
     # One row per column name: safe to broadcast.
     sizes = F.broadcast(counted.groupBy("name").agg(F.sum("n").alias("size")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pokerlake.functions.cards import hand_category, hand_class, is_pair, is_suited, position_group
 from pokerlake.functions.labels import binned
 from pokerlake.functions.numbers import count_where, pct, rate, ratio, rounded
-from pokerlake.operators.lists import repeated_text
+from pokerlake.operators.lists import PART_ROWS, repeated_text
 
 
 def player_hand_stats(
@@ -135,16 +135,20 @@ def player_shove_profile(stats: DataFrame) -> DataFrame:
     )
 
 
+SHOVE_GROUP = ["player_name", "stage", "stack_category", "position_group"]
+
+
 def player_shove_summary(profile: DataFrame) -> DataFrame:
-    """Shoves of a player by stage, stack and position group with the hands shown.
+    """Shoves of a player by stage, stack and position group; ``hands`` counts each hand shown.
 
-    The list of hands is sorted, so that it is the same on every run.
+    A group has at most 169 hands; ``shoves_spelled`` writes them out with repeats.
     """
-    keys = ["player_name", "stage", "stack_category", "position_group"]
-    # NULL stages form groups of their own; the join below needs a value to meet on.
-    keyed = profile.withColumn("_key", F.struct(*keys))
     category = F.col("hand_category")
-    measures = keyed.groupBy("_key").agg(
+    # The value counts come first, so a group gathers one item per hand, not per shove.
+    per_hand = profile.groupBy(*SHOVE_GROUP, "hand_notation").agg(F.count(F.lit(1)).alias("n"))
+    listed = per_hand.groupBy(F.struct(*SHOVE_GROUP).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(F.col("hand_notation").alias("hand"), "n"))).alias("hands"))
+    # NULL stages form groups of their own; the join below needs a value to meet on.
+    measures = profile.groupBy(F.struct(*SHOVE_GROUP).alias("_key")).agg(
         F.count(F.lit(1)).alias("total_shoves"),
         rate(F.col("won_hand")).alias("win_rate"),
         rate(category.isin("premium_pair", "premium_broadway")).alias("premium_pct"),
@@ -153,6 +157,10 @@ def player_shove_summary(profile: DataFrame) -> DataFrame:
         rate(category.isin("Axs", "Axo")).alias("ax_pct"),
         rate(category == "trash").alias("trash_pct"),
     )
-    shown = repeated_text(keyed, ["_key"], "hand_notation", ", ").withColumnRenamed("text", "hands_shown")
-    joined = measures.join(shown, "_key", "left").withColumn("hands_shown", F.coalesce("hands_shown", F.lit("")))
+    joined = measures.join(listed, "_key")
     return joined.select("_key.*", *[c for c in joined.columns if c != "_key"])
+
+
+def shoves_spelled(profile: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``hands_shown``: all hands of a group, sorted, with repeats, in parts of ``part_rows`` shoves."""
+    return repeated_text(profile, SHOVE_GROUP, "hand_notation", ", ", part_rows).withColumnRenamed("text", "hands_shown")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.labels import finish_stage
 from pokerlake.functions.numbers import count_where, pct, rounded
-from pokerlake.operators.ordered import running
+from pokerlake.operators.ordered import SLICE_ROWS, running
 
 # The first three places win 8, 6 and 4 times the prize part of the buy-in.
 PLACE_PRIZE = {1: 8, 2: 6, 3: 4}
@@ -30,11 +30,11 @@ def tournament_results(tournaments: DataFrame) -> DataFrame:
     )
 
 
-def tournament_analysis(tournaments: DataFrame, split: bool = True) -> DataFrame:
+def tournament_analysis(tournaments: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Results with profit and buy-in accumulated over all tournaments in order of time."""
     results = tournament_results(tournaments)
     sums = {"cumulative_profit": F.col("profit"), "cumulative_buyin": F.col("buyin_total")}
-    return running(results, [], ["started_at", "tournament_id"], sums, split=split)
+    return running(results, [], ["started_at", "tournament_id"], sums, slice_rows=slice_rows)
 
 
 def tournament_summary_by_stage(results: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pokerlake.operators.lists import ordered_lists, repeated_text
-from pokerlake.operators.ordered import first_per_key, lookback, must_split, running
+from pokerlake.operators.lists import list_parts, repeated_text
+from pokerlake.operators.ordered import _sliced, first_per_key, lookback, running, slice_bounds
 from pokerlake.plans.models import elbow, impute_median, medians, train_test, trim_outliers
 
 SCHEMA = "id bigint, key string, at bigint, x bigint"
@@ -23,17 +24,30 @@ def table(df):
 
 def test_running_split_equals_plain(spark):
     df = rows(spark)
-    plain = running(df, ["key"], ["at", "id"], {"total": F.col("x")}, number="nr", total="n")
-    split = running(df, ["key"], ["at", "id"], {"total": F.col("x")}, number="nr", total="n", split=True)
-    assert table(plain) == table(split)
+    upto = Window.partitionBy("key").orderBy("at", "id")
+    frame = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.withColumns({"total": F.sum("x").over(frame), "nr": F.row_number().over(upto), "n": F.count(F.lit(1)).over(Window.partitionBy("key"))})
+    for size in (7, 60, 1_000_000):
+        cut = running(df, ["key"], ["at", "id"], {"total": F.col("x")}, number="nr", total="n", slice_rows=size)
+        assert table(plain) == table(cut)
+        assert dict(cut.dtypes)["nr"] == dict(cut.dtypes)["n"] == "bigint"
+
+
+def test_slices_are_bounded(spark):
+    bounds = slice_bounds(rows(spark), ["at", "id"], slice_rows=50).first()[0]
+    assert len(bounds) == 9 and bounds == sorted(bounds, key=lambda b: (b.at, b.id))
+    slices = _sliced(rows(spark), ["at", "id"], 50).groupBy("_slice").count().collect()
+    assert len(slices) == 10 and max(r["count"] for r in slices) <= 60
+    assert slice_bounds(rows(spark).limit(0), ["at", "id"]).first()[0] == []
 
 
 def test_lookback_split_equals_plain(spark):
     df = rows(spark)
     args = (df, ["key"], ["at", "id"], {"before": "x"}, {"five": (F.col("x"), 5)})
-    plain = table(lookback(*args))
+    window = Window.partitionBy("key").orderBy("at", "id")
+    plain = table(df.withColumns({"before": F.lag("x").over(window), "five": F.sum("x").over(window.rowsBetween(-5, -1))}))
     for block in (6, 50, 10_000):
-        assert table(lookback(*args, split=True, block_rows=block)) == plain
+        assert table(lookback(*args, block_rows=block, slice_rows=90)) == plain
 
 
 def test_running_over_everything(spark):
@@ -41,19 +55,23 @@ def test_running_over_everything(spark):
     assert sorted(r[1] for r in got) == list(range(1, 501)) and all(r[1] == r[2] for r in got)
 
 
-def test_must_split_measures_the_largest_key(spark):
-    df = rows(spark)
-    assert must_split(df, ["key"], limit=100) and not must_split(df, ["key"], limit=400)
-
-
 def test_lists(spark):
     df = rows(spark).filter("key IS NOT NULL")
-    lists = {r.key: r.items for r in ordered_lists(df, ["key"], ["at", "id"], {"items": F.col("id")}).collect()}
-    want = sorted((r.at, r.id) for r in df.filter("key = 'a'").collect())
-    assert lists["a"] == [i for _, i in want]
-    assert set(r.key for r in ordered_lists(df, ["key"], ["id"], {"items": F.col("id")}, limit=120).collect()) == {"a", "b"}
-    text = {r.key: r.text for r in repeated_text(df.withColumn("x", F.col("x").cast("string")), ["key"], "x", ",").collect()}
-    assert text["b"].split(",") == sorted(str(r.x) for r in df.filter("key = 'b' AND x IS NOT NULL").collect())
+    own = df.collect()
+    for size in (3, 10_000):
+        parts = list_parts(df, ["key"], ["at", "id"], {"items": F.col("id"), "values": F.col("x")}, part_rows=size).collect()
+        assert max(len(r.items) for r in parts) <= size
+        for key in ("hot", "a", "b"):
+            mine = sorted((r for r in parts if r.key == key), key=lambda r: r.part)
+            order = sorted((r for r in own if r.key == key), key=lambda r: (r.at, r.id))
+            assert [i for r in mine for i in r.items] == [r.id for r in order]
+            assert [i for r in mine for i in r["values"]] == [r.x for r in order if r.x is not None]
+        named = df.withColumn("x", F.col("x").cast("string"))
+        texts = repeated_text(named, ["key"], "x", ",", part_rows=size).collect()
+        for key in ("hot", "b"):
+            mine = [r.text.split(",") for r in sorted((r for r in texts if r.key == key), key=lambda r: r.part)]
+            assert all(len(p) <= size for p in mine)
+            assert sum(mine, []) == sorted(str(r.x) for r in own if r.key == key and r.x is not None)
 
 
 def test_rank_filter_reaches_below_the_shuffle(spark):
@@ -63,8 +81,8 @@ def test_rank_filter_reaches_below_the_shuffle(spark):
 
 def test_medians(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (10.0, 3.0), (4.0, 2.0), (None, None)], "a double, b double")
-    for split in (False, True):
-        assert tuple(medians(df, ["a", "b"], split).first()) == (3.0, 2.0)
+    for size in (1, 2, 1_000):
+        assert tuple(medians(df, ["a", "b"], size).first()) == (3.0, 2.0)
     assert sorted(r.b for r in impute_median(df, ["a", "b"]).collect()) == [1.0, 2.0, 2.0, 2.0, 3.0]
 
 

@@ -100,9 +100,9 @@ def test_captures_of_large_spots_keep_their_rows(spark):
     shots += [("{broken", "screenshot_20260304_200100_x"), ('{"pot": 1}', "no_time.json")]
     bronze = spark.createDataFrame(shots, "raw_content string, file_name string")
     keyed = captures.with_spot_key(captures.parse_screenshots(bronze))
-    small = captures.build_screenshots(captures.first_of_spots(keyed)).collect()
-    assert len(small) == 1 and small[0].all_recommendations == [f"a{i}" for i in range(6)]
-    large = captures.build_screenshots(captures.first_of_spots(keyed, max_list=5)).collect()
-    assert large[0].all_recommendations is None and large[0].recommendation_count == 6
+    first = captures.build_screenshots(captures.first_of_spots(keyed)).collect()
+    assert len(first) == 1 and first[0].recommendation_count == 6 and first[0].gpt_action == "a0"
+    parts = sorted(captures.spot_lists(keyed, part_rows=4).collect(), key=lambda r: r.part)
+    assert [r.all_recommendations for r in parts] == [["a0", "a1", "a2", "a3"], ["a4", "a5"]]
     assert captures.spot_recommendations(keyed).count() == 6
     assert captures.rejected_screenshots(bronze).count() == 2

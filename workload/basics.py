@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions import cards, labels
 from pokerlake.functions.numbers import count_where, pct as share, rate, ratio, rounded
-from pokerlake.operators.lists import ordered_lists, repeated_text
+from pokerlake.operators.lists import list_parts, repeated_text
 from pokerlake.operators.ordered import first_per_key, lookback, running, top
 from pokerlake.sinks.tables import new_rows, upserted
 from workload import derived as d
@@ -234,13 +234,13 @@ def _(t):
 
 @short("agg9_ordered_line", "SELECT hand_id, string_agg(action_type, '->' ORDER BY action_order) AS line FROM fx_hand_actions GROUP BY 1")
 def _(t):
-    lines = ordered_lists(t.hand_actions, ["hand_id"], ["action_order"], {"line": F.col("action_type")})
-    return lines.withColumn("line", F.array_join("line", "->"))
+    lines = list_parts(t.hand_actions, ["hand_id"], ["action_order"], {"line": F.col("action_type")})
+    return lines.withColumn("line", F.array_join("line", "->")).drop("part")
 
 
 @short("agg9_repeated_text", "SELECT player_name, string_agg(position, ', ' ORDER BY position) AS text FROM fx_hand_players WHERE NOT is_hero GROUP BY 1")
 def _(t):
-    return repeated_text(t.hand_players.filter("NOT is_hero"), ["player_name"], "position", ", ")
+    return repeated_text(t.hand_players.filter("NOT is_hero"), ["player_name"], "position", ", ").drop("part")
 
 
 @short("agg11_stddev", f"SELECT l_returnflag, {rnd('stddev_samp(l_quantity)', 6)} AS spread FROM lineitem GROUP BY 1")
@@ -303,7 +303,7 @@ def _(t):
 
 @short("win2_win3_sequence_and_total_split", SEQUENCE)
 def _(t):
-    return running(t.events, ["user_id"], ["ts", "event_id"], number="nr", total="n", split=True).select("event_id", "nr", "n")
+    return running(t.events, ["user_id"], ["ts", "event_id"], number="nr", total="n", slice_rows=700).select("event_id", "nr", "n")
 
 
 RUNNING = "SELECT event_id, SUM(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cents FROM events"
@@ -320,7 +320,7 @@ def _(t):
 
 @short("win4_running_sum_split", RUNNING)
 def _(t):
-    return running(t.events, ["user_id"], ["ts", "event_id"], {"cents": cents()}, split=True).select("event_id", "cents")
+    return running(t.events, ["user_id"], ["ts", "event_id"], {"cents": cents()}, slice_rows=700).select("event_id", "cents")
 
 
 @short("win5_global_running_sum", RUNNING.replace("PARTITION BY user_id ", ""))
@@ -345,7 +345,7 @@ def _(t):
 
 @short("win6_win7_lag_and_trailing_frame_split", BEFORE)
 def _(t):
-    return before(t, split=True, block_rows=7)
+    return before(t, block_rows=7, slice_rows=700)
 
 
 @short("win8_share_of_total", f"SELECT event_type, {pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS pct FROM events GROUP BY 1")

@@ -127,8 +127,10 @@ PIVOT = ", ".join(
     FROM fx_steps l JOIN fx_h h ON h.hand_id = l.hand_id JOIN fx_p p ON p.hand_id = l.hand_id AND p.is_hero
     GROUP BY l.hand_id""")
 def _(t):
-    df = advice.hand_line_analysis(t.screenshots, d.mapping(t), d.hands(t), d.hand_players(t), t.hand_actions)
-    return df.withColumn("board", F.array_join("board", ""))
+    mapping = d.stored(t, d.mapping(t))
+    df = advice.hand_line_analysis(t.screenshots, mapping, d.hands(t), d.hand_players(t), t.hand_actions)
+    lines = advice.hand_lines(advice.hand_line_steps(t.screenshots, mapping, t.hand_actions)).drop("part")
+    return df.withColumn("board", F.array_join("board", "")).join(lines, "hand_id")
 
 
 @query("gld6_hand_line_steps", "SELECT * FROM fx_steps")
@@ -242,13 +244,13 @@ COMPLIANCE = f"""
 
 @query("gld8_gpt_compliance_stats", COMPLIANCE)
 def _(t):
-    # Written first: the size of the largest tournament is measured on the same rows.
+    # Written first: slices are found, summed and sorted on the same rows.
     return advice.gpt_compliance_stats(d.stored(t, d.decision_base(t)), t.hand_actions)
 
 
 @query("gld8_gpt_compliance_stats_split", COMPLIANCE)
 def _(t):
-    return advice.gpt_compliance_stats(d.decision_base(t), t.hand_actions, split=True)
+    return advice.gpt_compliance_stats(d.decision_base(t), t.hand_actions, slice_rows=2_000)
 
 
 @query("gld9_deviation_outcome_analysis", f"""
@@ -285,7 +287,7 @@ def _(t):
 
 @query("gld10_tilt_detection_split", TILT)
 def _(t):
-    return advice.tilt_detection(t.screenshots, d.mapping(t), t.hands, t.hand_players, t.hand_actions, split=True)
+    return advice.tilt_detection(t.screenshots, d.mapping(t), t.hands, t.hand_players, t.hand_actions, slice_rows=2_000)
 
 
 STREAKS = f"""
@@ -306,7 +308,7 @@ def _(t):
 
 @query("gld11_tilt_consecutive_losses_split", STREAKS)
 def _(t):
-    return advice.tilt_consecutive_losses(t.hands, d.mapping(t), t.screenshots, t.hand_actions, split=True)
+    return advice.tilt_consecutive_losses(t.hands, d.mapping(t), t.screenshots, t.hand_actions, slice_rows=2_000)
 
 
 @query("gld12_headsup_analysis", f"""
@@ -514,4 +516,8 @@ def kinds(*names: str) -> str:
            string_agg(hand_notation, ', ' ORDER BY hand_notation) AS hands_shown
     FROM fx_shoves GROUP BY ALL""")
 def _(t):
-    return players.player_shove_summary(players.player_shove_profile(d.player_hand_stats(t)))
+    profile = d.stored(t, players.player_shove_profile(d.player_hand_stats(t)))
+    spelled = players.shoves_spelled(profile).drop("part")
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in players.SHOVE_GROUP]
+    summary = players.player_shove_summary(profile).drop("hands")
+    return summary.alias("s").join(spelled.alias("p"), on, "left").select("s.*", F.coalesce("hands_shown", F.lit("")).alias("hands_shown"))

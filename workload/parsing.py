@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.times import capture_time
 from pokerlake.operators import captures, hand_text, tournament_text
+from workload import derived as d
 from workload import render
 from workload.registry import cte, dbl, pct, query, rnd
 
@@ -292,7 +293,8 @@ cte("fx_first", "SELECT * FROM fx_spots QUALIFY row_number() OVER (PARTITION BY
 
 
 def keyed(t) -> DataFrame:
-    return captures.with_spot_key(captures.parse_screenshots(render.capture_files(t)))
+    """Parsed captures, written once; the tables are derived from them."""
+    return d.stored(t, captures.with_spot_key(captures.parse_screenshots(render.capture_files(t))))
 
 
 def spots(t) -> DataFrame:
@@ -370,7 +372,9 @@ cte("fx_lists", """
 
 @query("lnk4_recommendations_of_spot", "SELECT spot_key, n AS recommendation_count, actions AS all_recommendations, texts AS all_recommendations_full FROM fx_lists")
 def _(t):
-    return captures.build_screenshots(spots(t)).select(
+    rows = keyed(t)
+    counted = captures.build_screenshots(captures.first_of_spots(rows)).select("spot_key", "recommendation_count")
+    return counted.join(captures.spot_lists(rows), "spot_key").select(
         "spot_key", "recommendation_count", F.array_join("all_recommendations", ",").alias("all_recommendations"),
         F.array_join("all_recommendations_full", ",").alias("all_recommendations_full"),
     )
@@ -390,7 +394,7 @@ def _(t):
            CAST(NULL AS VARCHAR) AS gpt_prompt_system, spot_key, n AS recommendation_count
     FROM fx_first JOIN fx_lists USING (spot_key)""")
 def _(t):
-    df = captures.build_screenshots(spots(t)).drop("ingested_at", "all_recommendations", "all_recommendations_full")
+    df = captures.build_screenshots(spots(t)).drop("ingested_at")
     return df.withColumns({"board": F.array_join("board", ","), "actions": F.array_join("actions", ",")})
 
 
