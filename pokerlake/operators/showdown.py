@@ -163,12 +163,11 @@ def with_showdown(df: DataFrame, hero: str, opponents: str, board: str, out: str
         def strength(cards: Column) -> Column:
             return F.when(F.size(cards) >= 2, hand_strength(F.concat(cards, held["board"])))
 
-        scored = F.struct(
-            strength(held["hero"]).alias("hero"),
-            F.transform(held["opponents"], strength).alias("opponents"),
-        )
+        # The hero is item 0 of the hands, so that the ranking is built once.
+        everyone = F.transform(F.concat(F.array(held["hero"]), held["opponents"]), strength)
+        split = lambda hands: F.struct(hands[0].alias("hero"), F.slice(hands, 2, F.size(hands) - 1).alias("opponents"))
         enough = (F.size(held["hero"]) >= 2) & (F.size(held["board"]) >= 5)
-        return F.when(enough, let(scored, verdict)).otherwise(invalid)
+        return F.when(enough, let(let(everyone, split), verdict)).otherwise(invalid)
 
     def verdict(scored: Column) -> Column:
         rival = F.array_max(scored["opponents"])

@@ -47,7 +47,8 @@ def _read(text: Column) -> dict[str, Column]:
     }
 
 
-def _all_read(df: DataFrame) -> DataFrame:
+def read_summaries(df: DataFrame) -> DataFrame:
+    """All fields of every summary, readable or not, with ``is_valid``; parsed once for both sides."""
     text = F.regexp_replace("raw_content", "\r\n", "\n")
     fields = _read(F.col("_text"))
     read = df.withColumn("_text", text).withColumns(fields).drop("_text")
@@ -57,11 +58,11 @@ def _all_read(df: DataFrame) -> DataFrame:
 
 def parse_tournaments(bronze: DataFrame) -> DataFrame:
     """One row per readable summary; files without a header line are left out."""
-    return _all_read(bronze).filter("is_valid").drop("is_valid", "raw_content")
+    return read_summaries(bronze).filter("is_valid").drop("is_valid", "raw_content")
 
 
 def rejected_tournaments(bronze: DataFrame) -> DataFrame:
-    return _all_read(bronze).filter("NOT is_valid").select("file_name", "raw_content")
+    return read_summaries(bronze).filter("NOT is_valid").select("file_name", "raw_content")
 
 
 def roi(prize: Column, buyin: Column) -> Column:

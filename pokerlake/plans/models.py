@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -104,13 +105,17 @@ def _kmeans(k: int, seed: int) -> KMeans:
 
 
 def _best_kmeans(points: DataFrame, k: int, starts: int) -> KMeansModel:
-    """The model of lowest cost among several random starts."""
-    fitted = [_kmeans(k, SEED + i).fit(points) for i in range(starts)]
+    """The model of lowest cost among several random starts, fitted side by side."""
+    with ThreadPoolExecutor(starts) as pool:
+        fitted = list(pool.map(lambda i: _kmeans(k, SEED + i).fit(points), range(starts)))
     return min(fitted, key=lambda m: m.summary.trainingCost)
 
 
-def k_search(features: DataFrame, ks: Iterable[int] = K_VALUES, starts: int = 1) -> DataFrame:
-    """Inertia and silhouette for each number of clusters; one row per k."""
+def k_search(features: DataFrame, ks: Iterable[int] = K_VALUES, starts: int = 10) -> DataFrame:
+    """Inertia and silhouette for each number of clusters; one row per k.
+
+    The silhouette is the one of squared Euclidean distances, which needs no pairs of rows.
+    """
     spark = features.sparkSession
     scaler = Pipeline(stages=_scaling_stages(PLAYER_FEATURES)).fit(features)
     points = scaler.transform(features).select("features").persist()
@@ -208,14 +213,19 @@ def name_clusters(centroids: DataFrame) -> DataFrame:
 
 def cluster_definitions(model: PipelineModel, features: DataFrame, model_version: str = "1") -> DataFrame:
     """Name, centroid, size and share of each cluster of the training players."""
-    spark = features.sparkSession
-    sizes = model.transform(features).groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("player_count"))
+    centroids = _centers(features.sparkSession, model).drop("center")
+    return definitions_of(centroids, model.transform(features).select("cluster_id"), model_version)
+
+
+def definitions_of(centroids: DataFrame, assigned: DataFrame, model_version: str = "1") -> DataFrame:
+    """The definitions table of given centroids (one row each) and assignments."""
+    sizes = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("player_count"))
     everyone = F.sum("player_count").over(Window.partitionBy())
     short = {
         "vpip_pct": "vpip", "pfr_pct": "pfr", "three_bet_pct": "three_bet", "aggression_factor": "af",
         "wtsd_pct": "wtsd", "wsd_pct": "wsd", "allin_pct": "allin",
     }
-    named = name_clusters(_centers(spark, model).drop("center"))
+    named = name_clusters(centroids)
     return (
         named.join(sizes, "cluster_id", "left")
         .withColumn("player_count", F.coalesce("player_count", F.lit(0)))
@@ -241,7 +251,8 @@ def score_players(
     spark = features.sparkSession
     scored = model.transform(impute_median(features, PLAYER_FEATURES))
     centers = _centers(spark, model).select("cluster_id", "center")
-    labels = definitions.select("cluster_id", "cluster_name", "cluster_description", "strategy_vs")
+    own = definitions.filter(F.col("model_version") == model_version)  # one row per cluster
+    labels = own.select("cluster_id", "cluster_name", "cluster_description", "strategy_vs")
     squares = F.zip_with(vector_to_array("features"), "center", lambda a, b: (a - b) * (a - b))
     distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
     to_population = (training_rows / (training_rows - 1)) ** 0.5
@@ -283,7 +294,8 @@ def train_test(df: DataFrame, key: str = "hand_id", test_share: float = 0.2, see
 
 
 def _ready(features: DataFrame) -> DataFrame:
-    return features.fillna(0.0, subset=[*HAND_FEATURES, "profit_bb"])
+    """Copies of the features for the model, 0 where one is missing; the features stay as they are."""
+    return features.withColumns({f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in HAND_FEATURES})
 
 
 def fit_ev(train: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
@@ -296,13 +308,13 @@ def fit_ev(train: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Pipeline
         featuresCol="raw", labelCol="profit_bb", predictionCol="predicted_ev_bb",
         numTrees=trees, maxDepth=depth, minInstancesPerNode=MIN_SPLIT // 2, seed=SEED,
     )
-    stages = [VectorAssembler(inputCols=HAND_FEATURES, outputCol="raw"), forest]
-    return Pipeline(stages=stages).fit(_ready(train))
+    stages = [VectorAssembler(inputCols=[f"_in_{c}" for c in HAND_FEATURES], outputCol="raw"), forest]
+    return Pipeline(stages=stages).fit(_ready(train).fillna(0.0, subset=["profit_bb"]))
 
 
 def predict_ev(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Features with the predicted profit; missing values count as 0."""
-    return model.transform(features.fillna(0.0, subset=HAND_FEATURES)).drop("raw")
+    """Features as they are with the predicted profit; for the model missing values count as 0."""
+    return model.transform(_ready(features)).drop("raw", *[f"_in_{c}" for c in HAND_FEATURES])
 
 
 def score_hands(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.numbers import count_where, pct
 
+UPSERT_PARTS = 64
+PART = "_part"
+
 
 def _save(df: DataFrame, name: str, mode: str, folder: str | None) -> None:
     """Write a table, in ``folder`` if one is given and in the warehouse otherwise."""
@@ -30,7 +33,8 @@ def new_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
 def insert_new_rows(
     spark: SparkSession, name: str, source: DataFrame, keys: list[str], folder: str | None = None
 ) -> DataFrame:
-    """Append the rows with new keys; the table is created on the first run."""
+    """Append the rows with new keys, stamped ``created_at``; the table is created on the first run."""
+    source = source.withColumn("created_at", F.current_timestamp())
     if spark.catalog.tableExists(name):
         added = new_rows(spark.read.table(name), source, keys)
         added.write.mode("append").saveAsTable(name)
@@ -46,19 +50,52 @@ def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(source)
 
 
+def _finish(spark: SparkSession, name: str) -> None:
+    """Bring the partitions staged by an upsert into the table; may be repeated."""
+    staged = f"{name}__staged"
+    if spark.catalog.tableExists(staged):
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            spark.read.table(staged).write.mode("overwrite").insertInto(name)
+        finally:
+            spark.conf.set(mode, before)
+        spark.sql(f"DROP TABLE {staged}")
+        spark.catalog.refreshTable(name)
+
+
 def upsert(
-    spark: SparkSession, name: str, source: DataFrame, keys: list[str], folder: str | None = None
+    spark: SparkSession,
+    name: str,
+    source: DataFrame,
+    keys: list[str],
+    folder: str | None = None,
+    parts: int = UPSERT_PARTS,
 ) -> DataFrame:
-    """Update by key. The new state is written beside the table before it takes its place,
-    since a table cannot be read and overwritten in one job."""
+    """Update by key; the table without its partition column is returned.
+
+    The table is partitioned by a hash of the key, and only partitions with keys of the
+    source are rewritten. Their new state is staged as a table of its own first, since a
+    table cannot be read and overwritten in one job: a run that breaks off before the
+    staging is complete has changed nothing, and one that breaks off later is finished by the
+    next. Keys that occur twice in the source are refused.
+    """
+    if not source.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError("a key occurs more than once in the source")
+    _finish(spark, name)
+    dealt = source.withColumn(PART, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
     if not spark.catalog.tableExists(name):
-        return overwrite_table(source, name, folder)
-    staged = f"{name}_{uuid4().hex[:8]}"
-    overwrite_table(upserted(spark.read.table(name), source, keys), staged, folder)
-    spark.sql(f"DROP TABLE {name}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
-    spark.catalog.refreshTable(name)
-    return spark.read.table(name)
+        writer = dealt.write.partitionBy(PART)
+        (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(name)
+    else:
+        target = spark.read.table(name)
+        touched = F.broadcast(dealt.select(PART).distinct())  # at most ``parts`` numbers
+        state = upserted(target.join(touched, PART, "left_semi"), dealt, [*keys, PART]).select(*target.columns)
+        place = f"{folder}/{name}__staged-{uuid4().hex[:8]}" if folder else None
+        (state.write.option("path", place) if place else state.write).saveAsTable(f"{name}__staged")
+        _finish(spark, name)
+    return spark.read.table(name).drop(PART)
 
 
 def upsert_stream(stream: DataFrame, name: str, keys: list[str], checkpoint: str, folder: str | None = None):

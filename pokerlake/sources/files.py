@@ -28,6 +28,16 @@ def read_text_files(spark: SparkSession, path: str, pattern: str | None = None)
     return envelope(reader.load(path))
 
 
+def preview_text_files(spark: SparkSession, path: str, n: int, pattern: str | None = None) -> DataFrame:
+    """The first n files of a folder in the order of their paths; the others are listed, not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if pattern:
+        listed = listed.option("pathGlobFilter", pattern)
+    paths = [r.path for r in listed.load(path).select("path").orderBy("path").limit(n).collect()]
+    empty = read_text_files(spark, path, pattern).limit(0)
+    return envelope(spark.read.format("text").option("wholetext", True).load(paths)) if paths else empty
+
+
 def scan(spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:
     """Table scan; only the named columns are read."""
     table = spark.read.table(name)

@@ -1,7 +1,11 @@
 """Streams and sinks run twice change nothing more."""
 
-from pokerlake.sinks.tables import insert_new_rows, latest, match_report, overwrite_table, upsert
-from pokerlake.sources.files import read_text_files
+import pytest
+from pyspark.sql import functions as F
+
+from pokerlake.sinks import tables
+from pokerlake.sinks.tables import insert_new_rows, latest, match_report, overwrite_table, upsert, upsert_stream
+from pokerlake.sources.files import preview_text_files, read_text_files
 from pokerlake.streaming.ingest import ingest_text_stream
 
 
@@ -17,6 +21,8 @@ def test_stream_takes_every_file_once(spark, tmp_path):
     assert sorted((r.file_name, r.raw_content) for r in table.collect()) == [("a.txt", "one\ntwo"), ("b.txt", "three")]
     assert ingest_text_stream(*args, **options).count() == 2
     assert read_text_files(spark, str(source), "b*").first().file_name == "b.txt"
+    assert [r.file_name for r in preview_text_files(spark, str(source), 1).collect()] == ["a.txt"]
+    assert preview_text_files(spark, str(source), 5, "c*").collect() == []
 
 
 def test_insert_only_and_upsert(spark, tmp_path):
@@ -26,15 +32,52 @@ def test_insert_only_and_upsert(spark, tmp_path):
     insert_new_rows(spark, "only_new", old, ["id"], folder)
     for _ in range(2):
         kept = insert_new_rows(spark, "only_new", new, ["id"], folder)
-    assert sorted(map(tuple, kept.collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted((r.id, r.v) for r in kept.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert kept.filter("created_at IS NULL").isEmpty()
     upsert(spark, "by_key", old, ["id"], folder)
     for _ in range(2):
         state = upsert(spark, "by_key", new, ["id"], folder)
     assert sorted(map(tuple, state.collect())) == [(1, "a"), (2, "x"), (3, "c")]
+    with pytest.raises(ValueError):
+        upsert(spark, "by_key", new.unionAll(new), ["id"], folder)
     # A refresh replaces the schema as well.
     assert overwrite_table(old.select("id"), "by_key", folder).columns == ["id"]
 
 
+def test_upsert_survives_a_crash_and_rewrites_touched_parts_only(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    rows = spark.range(200).select("id", F.lit("old").alias("v"))
+    upsert(spark, "crashing", rows, ["id"], folder, parts=8)
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    one = spark.createDataFrame([(5, "new")], "id bigint, v string")
+    with monkeypatch.context() as m:
+        calls = iter([tables._finish, broken])
+        m.setattr(tables, "_finish", lambda *a: next(calls)(*a))
+        with pytest.raises(RuntimeError):
+            upsert(spark, "crashing", one, ["id"], folder, parts=8)
+    assert spark.read.table("crashing").count() == 200
+    two = spark.createDataFrame([(300, "new")], "id bigint, v string")
+    state = {r.id: r.v for r in upsert(spark, "crashing", two, ["id"], folder, parts=8).collect()}
+    assert len(state) == 201 and state[5] == state[300] == "new" and state[6] == "old"
+    untouched = [p for p in files if p.exists() and p.stat().st_mtime_ns == files[p]]
+    assert len(untouched) >= 6
+
+
+def test_stream_upserts_twice(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.json(str(source))
+    for batch in (None, [(2, "x"), (3, "c")]):
+        if batch:
+            spark.createDataFrame(batch, "id int, v string").write.mode("append").json(str(source))
+        stream = spark.readStream.schema("id int, v string").json(str(source))
+        upsert_stream(stream, "streamed", ["id"], str(tmp_path / "checkpoint"), str(tmp_path / "tables")).awaitTermination()
+    assert sorted((r.id, r.v) for r in spark.read.table("streamed").collect()) == [(1, "a"), (2, "x"), (3, "c")]
+
+
 def test_reports(spark):
     mapping = spark.createDataFrame([("h", "high"), ("h", "unmatched"), (None, "unmatched")], "hand_id string, match_confidence string")
     assert match_report(mapping).first().asDict() == {

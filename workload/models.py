@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pokerlake.functions.numbers import rounded
 from pokerlake.plans import features, models
 from pokerlake.plans.players import player_statistics
 from workload import derived as d
-from workload.registry import cte, query, rnd
+from workload.registry import cte, pct, query, rnd
 
 FEATURES = features.PLAYER_FEATURES
 
@@ -105,6 +108,11 @@ def training(t):
     return d.stored(t, models.impute_median(models.trainable(player_features(t)), FEATURES))
 
 
+def fitted(rows):
+    """k from the elbow of the search, then the best of ten starts."""
+    return models.fit_clusters(rows, models.elbow_k(models.k_search(rows)))
+
+
 @query("ml6_k_search")
 def _(t):
     return models.k_search(training(t))
@@ -118,7 +126,36 @@ def _(t):
 @query("ml8_fit_clusters")
 def _(t):
     rows = training(t)
-    return models.fit_clusters(rows, 4, starts=1).transform(rows).select("player_name", "cluster_id")
+    return fitted(rows).transform(rows).select("player_name", "cluster_id")
+
+
+@query("ml7_elbow_of_table", """
+    WITH s AS (SELECT (o_custkey % 7 + 2)::BIGINT AS k, SUM(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE AS inertia FROM orders GROUP BY 1),
+         b AS (SELECT *, abs(lead(inertia, 2) OVER w - 2 * lead(inertia) OVER w + inertia) AS bend, lead(k) OVER w AS next_k FROM s WINDOW w AS (ORDER BY k))
+    SELECT k, inertia, k = (SELECT greatest(next_k, 3) FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1) AS is_chosen FROM s""")
+def _(t):
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    search = t.orders.groupBy((F.col("o_custkey") % 7 + 2).cast("int").alias("k")).agg(F.sum(cents).cast("double").alias("inertia"))
+    return models.elbow(search)
+
+
+TRAINABLE = "(SELECT COUNT(*) FROM fx_statistics WHERE total_hands >= 10)"
+
+
+@query("ml6_ml8_cluster_checks", f"SELECT {TRAINABLE} AS players, {TRAINABLE} AS with_nearest_centre, true AS all_clusters_used, 7::BIGINT AS ks, true AS inertia_falls, true AS silhouettes_in_range")
+def _(t):
+    """Search, choice of k, fit: every trainable player sits with the nearest centre, every cluster has players."""
+    rows = training(t)
+    search = models.k_search(rows)
+    model = models.fit_clusters(rows, models.elbow_k(search))
+    centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.stages[2].clusterCenters()])
+    gap = lambda p: F.transform(centres, lambda c: F.aggregate(F.zip_with(p, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
+    placed = model.transform(rows).withColumn("gaps", gap(vector_to_array("features")))
+    nearest = F.col("gaps")[F.col("cluster_id")] <= F.array_min("gaps") + 1e-9
+    counts = placed.agg(F.count(F.lit(1)).alias("players"), F.count_if(nearest).alias("with_nearest_centre"), (F.count_distinct("cluster_id") == len(model.stages[2].clusterCenters())).alias("all_clusters_used"))
+    falls = F.col("inertia") <= F.coalesce(F.lag("inertia").over(Window.orderBy("k")), F.col("inertia")) * 1.1
+    checks = search.withColumn("falls", falls).agg(F.count(F.lit(1)).alias("ks"), F.bool_and("falls").alias("inertia_falls"), F.bool_and(F.abs("silhouette") <= 1).alias("silhouettes_in_range"))
+    return counts.crossJoin(checks)
 
 
 cte("fx_centroids", """
@@ -145,16 +182,58 @@ def _(t):
     return models.name_clusters(centroids).select("cluster_id", "cluster_name")
 
 
+@query("ml10_definitions_of_table", f"""
+    SELECT c.cluster_id, {rnd('vpip_pct', 4)} AS centroid_vpip, COUNT(p.player_name) AS player_count, {pct('COUNT(p.player_name)', 'SUM(COUNT(p.player_name)) OVER ()')} AS pct_of_total, '7' AS model_version
+    FROM fx_centroids c LEFT JOIN (SELECT DISTINCT player_name FROM fx_hand_players WHERE NOT is_hero) p ON length(p.player_name) % 16 = c.cluster_id GROUP BY c.cluster_id, vpip_pct""")
+def _(t):
+    price = F.col("o_totalprice")
+    centroids = t.orders.groupBy((F.col("o_custkey") % 8).alias("cluster_id")).agg(
+        F.avg(price).alias("vpip_pct"), F.max(price).alias("pfr_pct"), F.min(price).alias("aggression_factor"),
+        F.count(F.lit(1)).cast("double").alias("allin_pct"), *[F.lit(0.0).alias(c) for c in ("three_bet_pct", "wtsd_pct", "wsd_pct")],
+    )
+    assigned = clusters(t).withColumn("cluster_id", F.col("cluster_id") % 16)
+    named = models.definitions_of(centroids, assigned, "7")
+    return named.select("cluster_id", rounded(F.col("centroid_vpip"), 4).alias("centroid_vpip"), "player_count", "pct_of_total", "model_version")
+
+
+@query("ml11_jn12_score_checks", f"""
+    SELECT (SELECT COUNT(*) FROM fx_statistics) AS players, (SELECT COUNT(*) FROM fx_statistics) AS named, true AS distances_positive,
+           COUNT(*) FILTER (WHERE total_hands >= 10) AS with_enough_hands FROM fx_statistics""")
+def _(t):
+    """Search, choice of k, fit, save, load, score: the chain of the two jobs."""
+    rows, players_ = training(t), d.stored(t, player_features(t))
+    folder = d.fresh_dir(t)
+    fitted(rows).write().save(f"{folder}/model")
+    model = PipelineModel.load(f"{folder}/model")
+    definitions = d.stored(t, models.cluster_definitions(model, rows, "2"))
+    older = definitions.withColumn("model_version", F.lit("1"))
+    scored_ = models.score_players(model, players_, definitions.unionByName(older), rows.count(), "2")
+    return scored_.agg(
+        F.count(F.lit(1)).alias("players"), F.count("cluster_name").alias("named"),
+        F.bool_and(F.col("distance_to_centroid") >= 0).alias("distances_positive"),
+        F.count_if(F.col("total_hands") >= 10).alias("with_enough_hands"),
+    )
+
+
+@query("snk6_cluster_overview", """
+    SELECT repeat('x', length(player_name) % 4) AS cluster_name, COUNT(*) AS players, CAST(ROUND(CAST(AVG(n) AS DECIMAL(38,10)), 0) AS DOUBLE) AS avg_hands, COUNT(*) FILTER (WHERE n >= 40) AS high_confidence
+    FROM (SELECT player_name, COUNT(*) AS n FROM fx_hand_players GROUP BY 1) x GROUP BY 1""")
+def _(t):
+    hands = t.hand_players.groupBy("player_name").agg(F.count(F.lit(1)).alias("total_hands"))
+    named = hands.select(F.repeat(F.lit("x"), F.length("player_name") % 4).alias("cluster_name"), "total_hands", F.when(F.col("total_hands") >= 40, "high").alias("confidence"))
+    return models.cluster_overview(named)
+
+
 @query("ml10_cluster_definitions")
 def _(t):
     rows = training(t)
-    return models.cluster_definitions(models.fit_clusters(rows, 4, starts=1), rows).drop("created_at")
+    return models.cluster_definitions(fitted(rows), rows).drop("created_at")
 
 
 @query("ml11_jn12_score_players")
 def _(t):
     players_, rows = d.stored(t, player_features(t)), training(t)
-    model = models.fit_clusters(rows, 4, starts=1)
+    model = fitted(rows)
     return models.score_players(model, players_, models.cluster_definitions(model, rows), rows.count()).drop("scored_at")
 
 
@@ -165,19 +244,63 @@ def _(t):
     return models.trim_outliers(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 1.5)
 
 
+@query("ml12_trim_outliers_at_three", """
+    SELECT event_id, value FROM (SELECT event_id, value * value * value * value * value * value AS value FROM events) e,
+           (SELECT AVG(value * value * value * value * value * value) AS m, stddev_samp(value * value * value * value * value * value) AS s FROM events) WHERE abs(value - m) < 3 * s""")
+def _(t):
+    v = F.col("value")
+    return models.trim_outliers(t.events.select("event_id", (v * v * v * v * v * v).alias("value")), "value")
+
+
+@query("ml13_split_checks", "SELECT COUNT(*) AS hands, COUNT(DISTINCT hand_id) AS distinct_hands, true AS a_fifth FROM fx_hands")
+def _(t):
+    train, test = models.train_test(t.hands.select("hand_id"))
+    both = train.withColumn("is_test", F.lit(0)).unionByName(test.withColumn("is_test", F.lit(1)))
+    return both.agg(F.count(F.lit(1)).alias("hands"), F.count_distinct("hand_id").alias("distinct_hands"), F.avg("is_test").between(0.15, 0.25).alias("a_fifth"))
+
+
 @query("ml13_train_test_split")
 def _(t):
     train, test = models.train_test(t.hands.select("hand_id"))
     return train.select("hand_id", F.lit("train").alias("part")).unionByName(test.select("hand_id", F.lit("test").alias("part")))
 
 
-def scored(t, trees: int = 10, depth: int = 5):
+def scored(t):
     rows = d.stored(t, models.trim_outliers(hand_features(t), "profit_bb"))
     train, test = models.train_test(rows)
-    model = models.fit_ev(train, trees, depth)
+    model = models.fit_ev(train)
     return model, models.predict_ev(model, test), rows
 
 
+@query("ml15_regression_report_of_table", f"""
+    SELECT COUNT(*) AS rows, {rnd('AVG(abs(predicted_ev_bb - profit_bb))', 6)} AS mae, {rnd('sqrt(AVG((predicted_ev_bb - profit_bb) ** 2))', 6)} AS rmse,
+           {rnd('1 - SUM((predicted_ev_bb - profit_bb) ** 2) / (var_pop(profit_bb) * COUNT(profit_bb))', 6)} AS r2,
+           {rnd('AVG(((predicted_ev_bb > 0) = (profit_bb > 0))::INT)', 6)} AS directional_accuracy FROM fx_scored""")
+def _(t):
+    report = models.regression_report(fake_scores(t))
+    return report.select("rows", *[rounded(F.col(c), 6).alias(c) for c in report.columns[1:]])
+
+
+RAW = "hand_id, high_card_rank, low_card_rank, is_suited, is_pocket_pair, is_final_stage, position_encoded, is_late_position, opponent_count, won_hand"
+
+
+@query("ml14_ml16_ml17_forest_checks", f"SELECT {RAW}, true AS in_label_range, true AS forest_as_set, true AS importances_add_up FROM fx_features")
+def _(t):
+    """The forest scores every hand inside the range of its labels and hands the raw features through."""
+    rows = d.stored(t, hand_features(t))
+    train, _ = models.train_test(d.stored(t, models.trim_outliers(rows, "profit_bb")))
+    folder = d.fresh_dir(t)
+    models.fit_ev(train).write().save(f"{folder}/forest")
+    model = PipelineModel.load(f"{folder}/forest")
+    low, high = train.agg(F.least(F.min("profit_bb"), F.lit(0.0)), F.greatest(F.max("profit_bb"), F.lit(0.0))).first()
+    weights = models.importances(model, t.spark).agg(F.abs(F.sum("importance") - 1) < 1e-6).first()[0]
+    forest = model.stages[-1]
+    as_set = forest.getNumTrees == models.TREES and max(tree.depth for tree in forest.trees) <= models.DEPTH
+    names = RAW.split(", ")
+    inside = F.col("predicted_ev_bb").between(low - 1e-9, high + 1e-9)
+    return models.score_hands(model, rows).select(*names, inside.alias("in_label_range"), F.lit(as_set).alias("forest_as_set"), F.lit(weights).alias("importances_add_up"))
+
+
 @query("ml14_ml15_regression_report")
 def _(t):
     return models.regression_report(scored(t)[1])

@@ -334,8 +334,8 @@ def _(t):
         "block", F.when(F.col("k") % 97 == 3, F.regexp_replace("block", r"Level(\d+)\(([^)]+)\)", "Level$1(x/y)")).otherwise(F.col("block"))
     )
     read = hand_text.read_blocks(broken.select(F.lit("f").alias("file_name"), F.lit(0).alias("block_no"), "block"))
-    summary = tournament_text._all_read(render.summary_files(t))
-    capture = render.capture_files(t).withColumn("is_valid", F.from_json("raw_content", captures.DOCUMENT)["gpt_advice"].isNotNull())
+    summary = tournament_text.read_summaries(render.summary_files(t))
+    capture = captures.read_captures(render.capture_files(t))
     return (
         read.select(F.lit("hand").alias("kind"), "is_valid")
         .unionByName(summary.select(F.lit("tournament").alias("kind"), "is_valid"))

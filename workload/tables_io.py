@@ -11,7 +11,7 @@ from pokerlake.operators import hand_text, tournament_text
 from pokerlake.plans.features import player_features
 from pokerlake.plans.players import player_statistics
 from pokerlake.sinks import tables as sinks
-from pokerlake.sources.files import base_name, read_text_files, scan
+from pokerlake.sources.files import base_name, preview_text_files, read_text_files, scan
 from pokerlake.streaming.ingest import ingest_captures, ingest_hand_histories, ingest_tournament_summaries
 from workload import derived as d
 from workload import render
@@ -103,6 +103,15 @@ def table_of(t, df: DataFrame) -> str:
     return table
 
 
+@query("src6_preview_of_n_files", """
+    SELECT 'lang=' || lang || '/' AS folder, 5 AS files FROM documents WHERE lang = (SELECT MIN(lang) FROM documents) GROUP BY 1""")
+def _(t):
+    folder = f"{fresh_dir(t)}/in"
+    t.documents.select(F.col("text").alias("raw_content"), "lang", "doc_id").repartition(8, "doc_id").select("raw_content", "lang").write.partitionBy("lang").text(folder)
+    files = preview_text_files(t.spark, folder, 5)
+    return files.groupBy(F.regexp_extract("file_path", "lang=[^/]+/", 0).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("src7_scan_table", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def _(t):
     table = table_of(t, t.orders)
@@ -152,7 +161,7 @@ def _(t):
     table, rows = fresh_table("player_identity"), d.identity(t)
     keys = ["player_name", "hand_id"]
     sinks.insert_new_rows(t.spark, table, rows.filter("seat < 4"), keys, fresh_dir(t))
-    return sinks.insert_new_rows(t.spark, table, rows, keys)
+    return sinks.insert_new_rows(t.spark, table, rows, keys).filter("created_at IS NOT NULL").drop("created_at")
 
 
 @query("snk4_upsert", "SELECT o_custkey AS id, CASE WHEN o_custkey % 3 = 0 THEN MAX(o_totalprice) ELSE MIN(o_totalprice) END AS price FROM orders GROUP BY 1")
