@@ -33,11 +33,8 @@ COVERAGE = 0.8
 FOUND = "doc_id long, template string, license string, matched long, template_words long, coverage double, start long, end long, start_byte long, end_byte long"
 
 
-def fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places of the fingerprints, ascending; none reaches over a border of ``first``.
-
-    A text with fewer than ``SPAN`` hashes gives its smallest.
-    """
+def fingerprints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the fingerprints, places of all runs of ``GRAM`` words), none over a border of ``first``."""
     grams = rolling_hashes(hashes, GRAM)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(grams)
@@ -45,12 +42,24 @@ def fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     picked = sliding_argmin(grams, SPAN)
     m = len(picked)
     inside = whole[:m] & whole[SPAN - 1 : SPAN - 1 + m] & (owner[:m] == owner[SPAN - 1 : SPAN - 1 + m])
-    places = [picked[inside]]
-    sizes = np.diff(first)
-    for i in np.flatnonzero((sizes >= GRAM) & (sizes < GRAM + SPAN - 1)):
-        a, b = first[i], first[i + 1] - GRAM + 1
-        places.append(np.array([a + int(grams[a:b].argmin())]))
-    return np.unique(np.concatenate(places))
+    return np.unique(picked[inside]), np.flatnonzero(whole)
+
+
+class Postings:
+    """Sorted hashes with the places they stand for."""
+
+    def __init__(self, grams: np.ndarray, places: np.ndarray):
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.places = grams[order], places[order]
+        self.near = np.zeros(1 << 16, bool)
+        self.near[self.grams >> U64(48)] = True
+
+    def join(self, grams: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place on the other side, place here) of all equal hashes."""
+        at = np.flatnonzero(self.near[grams >> U64(48)])
+        low, high = (np.searchsorted(self.grams, grams[at], side) for side in ("left", "right"))
+        n = high - low
+        return places[np.repeat(at, n)], self.places[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -96,22 +105,19 @@ class Index:
         self.templates = templates
         words = words_of(pa.array([t[2] for t in templates], pa.string()), PLAIN_SPACE, PLAIN_LOWER)
         self.hashes, self.first = word_hashes(words), words.first
-        places = fingerprints(self.hashes, self.first)
-        grams = rolling_hashes(self.hashes, GRAM)[places]
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.places = grams[order], places[order]
-        self.near = np.zeros(1 << 16, bool)
-        self.near[self.grams >> U64(48)] = True
+        grams = rolling_hashes(self.hashes, GRAM)
+        marked, every = fingerprints(self.hashes, self.first)
+        # A template shorter than a fingerprint's reach is looked up by all of its runs.
+        size = np.diff(self.first)[np.searchsorted(self.first, every, "right") - 1]
+        short = every[size < GRAM + SPAN - 1]
+        self.marked, self.short = Postings(grams[marked], marked), Postings(grams[short], short)
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (text, template, diagonal)."""
-        places = fingerprints(hashes, first)
-        grams = rolling_hashes(hashes, GRAM)[places] if len(places) else np.zeros(0, U64)
-        at = np.flatnonzero(self.near[grams >> U64(48)])
-        low, high = (np.searchsorted(self.grams, grams[at], side) for side in ("left", "right"))
-        n = high - low
-        spot = self.places[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        place = places[np.repeat(at, n)]
+        grams = rolling_hashes(hashes, GRAM)
+        marked, every = fingerprints(hashes, first)
+        hits = [self.marked.join(grams[marked], marked), self.short.join(grams[every], every)]
+        place, spot = (np.concatenate(side) for side in zip(*hits, strict=True))
         text, template = (np.searchsorted(f, p, "right") - 1 for f, p in ((first, place), (self.first, spot)))
         diagonal = (place - first[text]) - (spot - self.first[template])
         return np.unique(np.stack([text, template, diagonal], axis=1), axis=0)
@@ -124,13 +130,14 @@ class Index:
         offsets -= offsets[0]
         last = None
         for text, template, diagonal in self.candidates(hashes, words.first).tolist():
-            if last and last[:2] == (text, template) and diagonal - last[2] <= BAND // 2:
+            own = self.hashes[self.first[template] : self.first[template + 1]]
+            band = min(BAND, len(own) // 2)  # so that the band does not reach the next place
+            if last and last[:2] == (text, template) and diagonal - last[2] <= band // 2:
                 continue  # within the band of the candidate before
             last = (text, template, diagonal)
-            own = self.hashes[self.first[template] : self.first[template + 1]]
             low, high = int(words.first[text]), int(words.first[text + 1])
-            around = max(0, diagonal - 2 * BAND), min(high - low, diagonal + len(own) + 2 * BAND)
-            matched, start, end = align(own, hashes[low + around[0] : low + around[1]], diagonal - around[0])
+            around = max(0, diagonal - 2 * band), min(high - low, diagonal + len(own) + 2 * band)
+            matched, start, end = align(own, hashes[low + around[0] : low + around[1]], diagonal - around[0], band)
             if matched >= coverage * len(own) and matched > 0:
                 best.append((text, template, matched, len(own), start + around[0], end + around[0]))
         kept: list[tuple] = []
