@@ -71,8 +71,8 @@ def table_sql(engine: str) -> dict[str, str]:
                CAST(300 + (k * 53 + seat * 977) % 6000 AS DOUBLE) AS chips_start,
                CASE WHEN seat = 1 OR (k + seat) % 2 = 0
                     THEN {_cards('(2 * seat - 2)', '(2 * seat - 1)')} END AS hole_cards,
-               (k + seat) % 2 = 0 AS went_to_showdown, seat = 2 + k % 5 AS won_hand,
-               CASE WHEN seat = 2 + k % 5 THEN total_pot ELSE CAST(0 AS DOUBLE) END AS amount_won,
+               (k + seat) % 2 = 0 AS went_to_showdown, seat = CASE WHEN hero_result = 'won' THEN 1 ELSE 2 + k % 5 END AS won_hand,
+               CASE WHEN seat = CASE WHEN hero_result = 'won' THEN 1 ELSE 2 + k % 5 END THEN total_pot ELSE CAST(0 AS DOUBLE) END AS amount_won,
                CAST((k * 37 + seat * 101) % 4001 - 2000 AS DOUBLE) AS net_profit,
                (k * 3 + seat * 5) % 10 < 4 AS vpip, (k * 3 + seat * 5) % 10 < 2 AS pfr,
                (k * 3 + seat * 5) % 10 < 1 AS three_bet,
@@ -100,9 +100,12 @@ def table_sql(engine: str) -> dict[str, str]:
         SELECT 'screenshot_' || CAST(k AS VARCHAR(20)) || '_' || CAST(shot AS VARCHAR(4)) AS file_name, k, shot,
                hand_timestamp + ((k * 37 + shot * 41) % 701 - 350) * INTERVAL '1' SECOND AS screenshot_at,
                CASE WHEN k % 7 < 4 THEN 'rush' ELSE 'final' END AS stage,
-               CASE WHEN shot = 0 THEN 'preflop' ELSE 'flop' END AS street,
+               CASE WHEN shot = 0 THEN 'preflop' WHEN k % 9 = 3 THEN 'turn' WHEN k % 9 = 6 THEN 'river' ELSE 'flop' END AS street,
                CASE WHEN k % 2 = 0 THEN hero_cards ELSE substr(hero_cards, 3, 2) || substr(hero_cards, 1, 2) END AS hero_cards,
-               CASE WHEN k % 11 = 0 THEN CAST(NULL AS VARCHAR(8)) WHEN k % 7 = 0 THEN 'P3' ELSE hero_position END AS hero_pos,
+               CASE WHEN k % 11 = 0 THEN CAST(NULL AS VARCHAR(8)) WHEN k % 7 = 0 THEN 'P3'
+                    WHEN k % 13 < 2 AND hero_position = 'BTN' THEN 'BU' WHEN k % 13 = 2 AND hero_position = 'BTN' THEN 'D'
+                    WHEN k % 13 < 3 AND hero_position = 'UTG' THEN 'EP' WHEN k % 13 = 3 THEN 'HJ' WHEN k % 13 = 4 THEN 'UTG+1'
+                    ELSE hero_position END AS hero_pos,
                CAST(5 + (k * 17) % 30 AS DOUBLE) AS hero_stack, CAST(2 + (k * 5 + shot) % 20 AS DOUBLE) AS pot,
                CAST((k * 3) % 25 AS DOUBLE) AS to_call,
                {advice.format(raised="'raise'")} AS gpt_action,

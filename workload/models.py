@@ -104,29 +104,43 @@ def _(t):
     )
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(t, name: str, make):
+    """What several queries over the same tables need is made by the first of them."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def training(t):
-    return d.stored(t, models.impute_median(models.trainable(player_features(t)), FEATURES))
+    return once(t, "training", lambda: d.stored(t, models.impute_median(models.trainable(player_features(t)), FEATURES)))
+
+
+def searched(t):
+    return once(t, "search", lambda: models.k_search(training(t)))
 
 
-def fitted(rows):
+def fitted(t):
     """k from the elbow of the search, then the best of ten starts."""
-    return models.fit_clusters(rows, models.elbow_k(models.k_search(rows)))
+    return once(t, "clusters", lambda: models.fit_clusters(training(t), models.elbow_k(searched(t))))
 
 
 @query("ml6_k_search")
 def _(t):
-    return models.k_search(training(t))
+    return searched(t)
 
 
 @query("ml7_elbow")
 def _(t):
-    return models.elbow(models.k_search(training(t)))
+    return models.elbow(searched(t))
 
 
 @query("ml8_fit_clusters")
 def _(t):
-    rows = training(t)
-    return fitted(rows).transform(rows).select("player_name", "cluster_id")
+    return fitted(t).transform(training(t)).select("player_name", "cluster_id")
 
 
 @query("ml7_elbow_of_table", """
@@ -146,8 +160,7 @@ TRAINABLE = "(SELECT COUNT(*) FROM fx_statistics WHERE total_hands >= 10)"
 def _(t):
     """Search, choice of k, fit: every trainable player sits with the nearest centre, every cluster has players."""
     rows = training(t)
-    search = models.k_search(rows)
-    model = models.fit_clusters(rows, models.elbow_k(search))
+    search, model = searched(t), fitted(t)
     centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.stages[2].clusterCenters()])
     gap = lambda p: F.transform(centres, lambda c: F.aggregate(F.zip_with(p, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
     placed = model.transform(rows).withColumn("gaps", gap(vector_to_array("features")))
@@ -203,7 +216,7 @@ def _(t):
     """Search, choice of k, fit, save, load, score: the chain of the two jobs."""
     rows, players_ = training(t), d.stored(t, player_features(t))
     folder = d.fresh_dir(t)
-    fitted(rows).write().save(f"{folder}/model")
+    fitted(t).write().save(f"{folder}/model")
     model = PipelineModel.load(f"{folder}/model")
     definitions = d.stored(t, models.cluster_definitions(model, rows, "2"))
     older = definitions.withColumn("model_version", F.lit("1"))
@@ -227,13 +240,13 @@ def _(t):
 @query("ml10_cluster_definitions")
 def _(t):
     rows = training(t)
-    return models.cluster_definitions(fitted(rows), rows).drop("created_at")
+    return models.cluster_definitions(fitted(t), rows).drop("created_at")
 
 
 @query("ml11_jn12_score_players")
 def _(t):
     players_, rows = d.stored(t, player_features(t)), training(t)
-    model = fitted(rows)
+    model = fitted(t)
     return models.score_players(model, players_, models.cluster_definitions(model, rows), rows.count()).drop("scored_at")
 
 
@@ -265,10 +278,15 @@ def _(t):
     return train.select("hand_id", F.lit("train").alias("part")).unionByName(test.select("hand_id", F.lit("test").alias("part")))
 
 
-def scored(t):
+def forest(t):
+    """(model, training rows, test rows, all rows) of the profit of a hand."""
     rows = d.stored(t, models.trim_outliers(hand_features(t), "profit_bb"))
     train, test = models.train_test(rows)
-    model = models.fit_ev(train)
+    return models.fit_ev(train), train, test, rows
+
+
+def scored(t):
+    model, _, test, rows = once(t, "forest", lambda: forest(t))
     return model, models.predict_ev(model, test), rows
 
 
@@ -288,9 +306,9 @@ RAW = "hand_id, high_card_rank, low_card_rank, is_suited, is_pocket_pair, is_fin
 def _(t):
     """The forest scores every hand inside the range of its labels and hands the raw features through."""
     rows = d.stored(t, hand_features(t))
-    train, _ = models.train_test(d.stored(t, models.trim_outliers(rows, "profit_bb")))
+    fitted_, train, _, _ = once(t, "forest", lambda: forest(t))
     folder = d.fresh_dir(t)
-    models.fit_ev(train).write().save(f"{folder}/forest")
+    fitted_.write().save(f"{folder}/forest")
     model = PipelineModel.load(f"{folder}/forest")
     low, high = train.agg(F.least(F.min("profit_bb"), F.lit(0.0)), F.greatest(F.max("profit_bb"), F.lit(0.0))).first()
     weights = models.importances(model, t.spark).agg(F.abs(F.sum("importance") - 1) < 1e-6).first()[0]

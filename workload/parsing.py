@@ -147,7 +147,7 @@ cte("fx_hero_seat", "SELECT * FROM fx_hand_players WHERE is_hero")
 
 
 @query("par16_derived_fields", """
-    SELECT hand_id, h.hero_cards, p.position AS hero_position, CAST(p.chips_start AS BIGINT) AS hero_stack, false AS hero_won, true AS went_to_showdown
+    SELECT hand_id, h.hero_cards, p.position AS hero_position, CAST(p.chips_start AS BIGINT) AS hero_stack, p.won_hand AS hero_won, true AS went_to_showdown
     FROM fx_hands h JOIN fx_hero_seat p USING (hand_id)""")
 def _(t):
     return hand_text.hands_flat(parsed(t)).select(
@@ -182,7 +182,7 @@ def _(t):
 
 
 @query("par19_hero_result", """
-    SELECT CASE WHEN went_to_showdown THEN 'lost' ELSE 'folded' END AS hero_result, COUNT(*) AS hands FROM fx_hero_seat GROUP BY 1""")
+    SELECT CASE WHEN won_hand THEN 'won' WHEN went_to_showdown THEN 'lost' ELSE 'folded' END AS hero_result, COUNT(*) AS hands FROM fx_hero_seat GROUP BY 1""")
 def _(t):
     return hand_text.build_hands(parsed(t)).groupBy("hero_result").agg(F.count(F.lit(1)).alias("hands"))
 
@@ -191,7 +191,7 @@ def _(t):
     SELECT h.hand_id, h.tournament_id, e.tournament_name, e.game_type, e.level, h.small_blind, h.big_blind, h.big_blind / 10 AS ante, e.table_name,
            e.max_seats, e.button_seat, h.hand_timestamp, {SHOWN.replace('k %', 'h.k %')} AS board, h.total_pot, {dbl('h.k % 3')} AS rake,
            CAST(1 AS BIGINT) AS hero_seat, p.position AS hero_position, h.hero_cards, p.chips_start AS hero_chips_start,
-           CASE WHEN p.went_to_showdown THEN 'lost' ELSE 'folded' END AS hero_result, e.file_name
+           CASE WHEN p.won_hand THEN 'won' WHEN p.went_to_showdown THEN 'lost' ELSE 'folded' END AS hero_result, e.file_name
     FROM fx_hands h JOIN fx_header e USING (hand_id) JOIN fx_hero_seat p USING (hand_id)""")
 def _(t):
     return hand_text.build_hands(parsed(t)).withColumn("board", F.array_join("board", "")).drop("ingested_at")

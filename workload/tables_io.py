@@ -104,7 +104,7 @@ def table_of(t, df: DataFrame) -> str:
 
 
 @query("src6_preview_of_n_files", """
-    SELECT 'lang=' || lang || '/' AS folder, 5 AS files FROM documents WHERE lang = (SELECT MIN(lang) FROM documents) GROUP BY 1""")
+    SELECT 'lang=' || lang || '/' AS folder, 5::BIGINT AS files FROM documents WHERE lang = (SELECT MIN(lang) FROM documents) GROUP BY 1""")
 def _(t):
     folder = f"{fresh_dir(t)}/in"
     t.documents.select(F.col("text").alias("raw_content"), "lang", "doc_id").repartition(8, "doc_id").select("raw_content", "lang").write.partitionBy("lang").text(folder)
