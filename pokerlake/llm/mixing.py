@@ -88,7 +88,8 @@ def _draws(seed: int):
             if words[at] <= missing:
                 picked.append(at)
                 missing -= words[at]
-        left = [at for at in order if at not in set(picked) and words[at] < 2 * missing] if whole < 2 and missing > 0 and len(order) > len(picked) else []
+        taken = set(picked)
+        left = [at for at in order if at not in taken and words[at] < 2 * missing] if whole < 2 else []
         if left:  # one more block, if it brings the sum nearer
             picked.append(min(left, key=lambda at: abs(words[at] - missing)))
         parts.append(rows.block.to_numpy()[np.array(picked, np.int64)])

@@ -12,8 +12,10 @@ where all runs weigh alike.
    shares most buckets is the centre, and every other member is verified against it on the
    whole texts. Big families of copies are tied to their origin this way.
 3. Members that are not similar to their centre are compared with all members of the bucket
-   outside their component: by registers inside bounded blocks, and where these leave a
-   similarity of ``SIMILARITY`` possible (four standard deviations), on the whole texts.
+   outside their component, inside bounded blocks. One minus the probability Jaccard is a
+   metric, so two members whose distances from the centre differ too much cannot be similar;
+   the others are compared by ``FINE`` registers, and where these leave a similarity of
+   ``SIMILARITY`` possible (four standard deviations), on the whole texts.
 4. Connected components of the verified links are the result.
 
 Links have a probability Jaccard of at least ``SIMILARITY``, computed exactly. Texts without
@@ -38,6 +40,7 @@ from pokerlake.llm.words import U64, Words, mixed, rolling_hashes, text_slices,
 RUN = 5
 SIMILARITY = 0.8
 REGISTERS = 160
+FINE = 1024
 BANDS = 32
 BLOCK = 512
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -95,7 +98,7 @@ def probability_jaccard(a_runs, a_weights, b_runs, b_weights) -> float:
     return float(sum(n / np.maximum(a / x, b / y).sum() for (x, y), n in zip(ratios.T, times, strict=True)))
 
 
-SIGNED = "doc_id long, first long, second long, bands array<long>, marks binary"
+SIGNED = "doc_id long, first long, second long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,18 +115,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = mixed(bands * GOLDEN + holder[:, i::rows])
             bands = mixed(bands + np.arange(BANDS, dtype=U64))
             offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS)
-            marks = (holder & U64(255)).astype(np.uint8)
             yield pa.record_batch(
                 [
                     batch.column("doc_id").take(pa.array(some + low)),
                     *(batch.column(c).take(pa.array(some + low)) for c in ("first", "second")),
                     pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64))),
-                    pa.array([m.tobytes() for m in marks], pa.binary()),
                 ],
-                names=["doc_id", "first", "second", "bands", "marks"],
+                names=["doc_id", "first", "second", "bands"],
             )
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each of ``FINE`` registers, for texts that need a closer look."""
+    for batch in batches:
+        for low, part in text_slices(batch.column("text")):
+            words = words_of(part)
+            holder = prob_min_hash(len(part), *weighted_runs(words, word_hashes(words)), FINE)
+            marks = [m.tobytes() for m in (holder & U64(255)).astype(np.uint8)]
+            yield pa.record_batch([batch.column("id").slice(low, len(part)), pa.array(marks, pa.binary())], names=["rep", "marks"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sets(texts: pa.Array):
         """Weighted runs of each text; neighbours with one text share the work."""
@@ -148,21 +159,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long, similarity double")
 
 
-def _plausible(low_similarity: float):
+def _plausible(similarity: float):
+    least = similarity - 4 * (similarity * (1 - similarity) / FINE) ** 0.5
+
     def run(rows: pa.Table) -> pa.Table:
-        ids, component, block = (rows.column(c).to_numpy() for c in ("rep", "component", "block"))
+        ids, component, block, to_centre = (rows.column(c).to_numpy() for c in ("rep", "component", "block", "to_centre"))
         left = rows.column("left").to_numpy()
         low, high, key = (rows.column(c)[0].as_py() for c in ("low", "high", "key"))
-        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(len(ids), REGISTERS)
+        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(len(ids), FINE)
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
         out = [np.zeros((0, 2), np.int64)]
         for i in np.flatnonzero(left):
-            same = (marks == marks[i]).mean(axis=1)
-            near = (same - 1 / 256) / (1 - 1 / 256) >= low_similarity
-            near &= (component != component[i]) & ~(left & (ids <= ids[i]))
+            able = (component != component[i]) & ~(left & (ids <= ids[i]))
+            able &= np.abs(to_centre - to_centre[i]) <= 1 - similarity + 1e-9
             if low != high:
-                near &= block != block[i]
-            at = np.flatnonzero(near)
+                able &= block != block[i]
+            at = np.flatnonzero(able)
+            same = (marks[at] == marks[i]).mean(axis=1)
+            at = at[(same - 1 / 256) / (1 - 1 / 256) >= least]
             # The pair belongs to the first bucket that it shares.
             at = at[[bands[i, np.argmax(bands[i] == bands[j])] == key for j in at]] if len(at) else at
             out.append(np.stack([np.minimum(ids[i], ids[at]), np.maximum(ids[i], ids[at])], axis=1))
@@ -177,9 +191,8 @@ def _representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hashes = F.xxhash64("text").alias("first"), F.xxhash64(F.lit(1), "text").alias("second")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes, "text").filter("doc_id IS NOT NULL")
     signed = stored(rows.mapInArrow(_sign, SIGNED), "signed")
-    first = F.min_by(F.struct("bands", "marks"), "doc_id").alias("_s")
-    reps = signed.groupBy("first", "second").agg(F.min("doc_id").alias("rep"), first)
-    return rows, signed, stored(reps.select("rep", "first", "second", "_s.bands", "_s.marks"), "classes")
+    reps = signed.groupBy("first", "second").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    return rows, signed, stored(reps.select("rep", "first", "second", "bands"), "classes")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -202,16 +215,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = first_round.filter(F.col("similarity") >= similarity - 1e-12).select("a", "b")
     labels = components(links)
 
-    failed = first_round.filter(F.col("similarity") < similarity - 1e-12).select(F.col("a").alias("rep"), F.col("b").alias("centre"))
-    left = stored(tied.join(failed, ["rep", "centre"]).select("key", "rep"), "left")
-    open_keys = stored(left.select("key").distinct(), "open")
+    outcome = first_round.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "similarity")
+    measured = stored(tied.join(outcome, ["rep", "centre"]).select("key", "rep", "similarity"), "measured")
+    open_keys = stored(measured.filter(F.col("similarity") < similarity - 1e-12).select("key").distinct(), "open")
     labelled = labels.select(F.col("id").alias("rep"), "component")
-    again = members.join(open_keys, "key").join(left.withColumn("left", F.lit(True)), ["key", "rep"], "left")
-    again = again.join(labelled, "rep", "left").join(reps.select("rep", "bands", "marks"), "rep")
-    again = again.withColumns({"left": F.coalesce("left", F.lit(False)), "component": F.coalesce("component", "rep")})
-    low = similarity - 4 * (similarity * (1 - similarity) / REGISTERS) ** 0.5
-    blocks = in_blocks(again, "key", "n", "rep", BLOCK)
-    pairs = stored(blocks.groupBy("key", "low", "high").applyInArrow(_plausible(low), "a long, b long").distinct(), "pairs")
+    again = members.join(open_keys, "key").join(measured, ["key", "rep"], "left").join(labelled, "rep", "left")
+    again = again.withColumns(
+        {
+            "to_centre": 1 - F.coalesce("similarity", F.lit(1.0)),  # the centre itself has no row
+            "left": F.coalesce(F.col("similarity") < similarity - 1e-12, F.lit(False)),
+            "component": F.coalesce("component", "rep"),
+        }
+    )
+    again = stored(again.select("key", "n", "rep", "to_centre", "left", "component"), "again")
+    closer = texts.join(again.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text")
+    marks = stored(closer.mapInArrow(_mark, "rep long, marks binary"), "marks")
+    blocks = in_blocks(again.join(marks, "rep").join(reps.select("rep", "bands"), "rep"), "key", "n", "rep", BLOCK)
+    pairs = stored(blocks.groupBy("key", "low", "high").applyInArrow(_plausible(similarity), "a long, b long").distinct(), "pairs")
     second_round = verified(pairs, texts).filter(F.col("similarity") >= similarity - 1e-12).select("a", "b")
     labels = components(links.unionByName(stored(second_round, "links")))
 
