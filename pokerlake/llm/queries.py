@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import decontamination, embedding_links, license_scan, mixing, near_duplicates, sharding, substring_dedup, token_counts, token_files, toxicity
+from pokerlake.llm import decontamination, embedding_links, license_scan, mixing, near_duplicates, oracles, sharding, substring_dedup, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,17 +71,17 @@ def _(spark, sf_dir):
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", oracles.SUBSTRING_DEDUP)
 def _(spark, sf_dir):
     return substring_dedup.dedupe_substrings(table(spark, sf_dir, "documents"))
 
 
-@query("op6_near_duplicates")
+@query("op6_near_duplicates", oracles.NEAR_DUPLICATES)
 def _(spark, sf_dir):
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
-@query("op2_embedding_links")
+@query("op2_embedding_links", oracles.EMBEDDING_LINKS)
 def _(spark, sf_dir):
     return embedding_links.links(table(spark, sf_dir, "embeddings"))
 
