@@ -44,18 +44,22 @@ def screenshot_hand_analysis(
 ) -> DataFrame:
     """Each linked capture: advice, the hero's deed on that street, verdict and outcome."""
     won_row = lambda column: F.max(F.when(F.col("won_hand"), F.col(column)))
-    showdowns = hand_players.groupBy("hand_id").agg(
+    hero_row = lambda column: F.max(F.when(F.col("is_hero"), F.col(column)))
+    # One pass over the seats gives the winner and the hero of each hand.
+    seats = hand_players.groupBy("hand_id").agg(
         F.max(F.col("went_to_showdown").cast("int")).alias("had_showdown"),
         won_row("result_description").alias("winner_hand_description"),
         won_row("hole_cards").alias("winner_hole_cards"),
         won_row("amount_won").alias("showdown_pot_won"),
+        hero_row("amount_won").alias("hero_amount_won"),
+        hero_row("chips_start").alias("chips_start"),
+        hero_row("vpip").alias("hero_vpip"),
+        hero_row("pfr").alias("hero_pfr"),
+        F.max("is_hero").alias("_with_hero"),
     )
-    dealt = hands_with_hero(
-        hands,
-        hand_players.withColumnsRenamed({"vpip": "hero_vpip", "pfr": "hero_pfr", "amount_won": "hero_amount_won"}),
-        ["hand_timestamp", "tournament_id", "big_blind", "board", "total_pot", "hero_result"],
-        ["hero_amount_won", "chips_start", "hero_vpip", "hero_pfr"],
-    )
+    dealt = hands.select(
+        "hand_id", "hand_timestamp", "tournament_id", "big_blind", "board", "total_pot", "hero_result"
+    ).join(seats.filter("_with_hero").drop("_with_hero"), "hand_id")
     shots = screenshots.select(
         "file_name", "screenshot_at", "stage", "street", "hero_cards", "hero_pos", "hero_stack", "pot", "to_call",
         "gpt_recommendation", "gpt_action", "gpt_amount",
@@ -63,7 +67,6 @@ def screenshot_hand_analysis(
     df = (
         shots.join(linked(mapping).select("file_name", "hand_id", "match_confidence"), "file_name")
         .join(dealt, "hand_id")
-        .join(showdowns, "hand_id", "left")
         .join(_street_actions(hand_actions), ["hand_id", "street"], "left")
     )
     advice, result = F.col("gpt_action"), F.col("hero_result")

@@ -169,21 +169,8 @@ def final_raise_then_fold_details(
         "NOT is_hero AND street = 'preflop' AND action_type = 'raise' AND is_allin"
     ).select("hand_id", "player_name", "action_order")
     players = hand_players.select("hand_id", "player_name", "position", "chips_start", "vpip")
-    shover = (
-        given_up.select("hand_id", "big_blind")
-        .distinct()
-        .join(shoves, "hand_id")
-        .join(players, ["hand_id", "player_name"])
-        .groupBy("hand_id")
-        .agg(
-            F.min_by(
-                F.struct(
-                    "position", rounded(ratio(F.col("chips_start"), F.col("big_blind")), 1).alias("stack"), "vpip"
-                ),
-                F.struct("action_order", "position"),
-            ).alias("shover")
-        )
-    )
+    first = F.min_by(F.struct("position", "chips_start", "vpip"), F.struct("action_order", "position"))
+    shover = shoves.join(players, ["hand_id", "player_name"]).groupBy("hand_id").agg(first.alias("shover"))
 
     def one_decimal(name: str) -> Column:
         return rounded(F.col(name), 1).alias(name)
@@ -195,7 +182,7 @@ def final_raise_then_fold_details(
         one_decimal("hero_stack"),
         one_decimal("max_stack_behind"),
         F.col("shover.position").alias("shover_pos"),
-        F.col("shover.stack").alias("shover_stack"),
+        rounded(ratio(F.col("shover.chips_start"), F.col("big_blind")), 1).alias("shover_stack"),
         F.col("shover.vpip").alias("shover_vpip"),
         one_decimal("net_bb"),
         spot_stack(F.col("hero_stack")).alias("hero_stack_cat"),
