@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 from uuid import uuid4
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,21 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex[:12]}"
 
 
+def storage(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a place in the shared folder, as tasks can open it."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends, lost executors cost nothing."""
     spark, path = df.sparkSession, fresh_folder(df.sparkSession, name)
@@ -77,15 +93,19 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, through the shared folder."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in package.rglob("*.py"):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
+        package, data = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(data, "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        folder = fresh_folder(spark, "package")
+        system, inner = storage(folder)
+        system.create_dir(inner, recursive=True)
+        with system.open_output_stream(f"{inner}/{package.name}.zip") as out:
+            out.write(data.getvalue())
+        context.addPyFile(f"{folder}/{package.name}.zip")
         _shipped.add(context.applicationId)
 
 

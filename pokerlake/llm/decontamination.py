@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from pokerlake.llm.common import stored
+from pokerlake.llm.common import free_name, stored
 from pokerlake.llm.words import _BASES, PLAIN_LOWER, PLAIN_SPACE, U64, mixed, text_slices, word_hashes, words_of
 
 #: Eight or nine marked words in 12 to 14.
@@ -154,10 +154,12 @@ def best_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return ranked.withColumn("coverage", F.col("matched") / F.col("item_words"))
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` and ``_contaminated``; a column of that name in the input is replaced."""
-    docs = docs.drop("_contaminated").withColumn("_contaminated", F.lit(False))
-    schema = StructType([*docs.schema.fields[:-1], StructField("_contaminated", BooleanType())])
+def marked(docs: DataFrame, benchmark: DataFrame, column: str = "_contaminated", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """All columns of ``docs`` and the mark as ``column``, a name that ``docs`` must not have."""
+    if column != free_name(docs, column):
+        raise ValueError(f"the input has a column {column}")
+    docs = docs.withColumn(column, F.lit(False))
+    schema = StructType([*docs.schema.fields[:-1], StructField(column, BooleanType())])
     at = docs.columns.index("text")
 
     def against(items):

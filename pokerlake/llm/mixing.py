@@ -146,18 +146,17 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, once per draw, with ``_shard`` and ``_place`` (order inside the shard)."""
+    """The mix itself, a row per draw: ``row`` (a row of ``docs``), ``shard`` and ``place`` (order inside the shard)."""
     _, draws, _ = draw_blocks(docs, seed=seed, **options)
-    keyed = docs.withColumns({"_source_key": source_key("source"), "_block": block_of("doc_id", seed)})
-    to = draws.select(F.col("source_key").alias("_source_key"), F.col("block").alias("_block"), F.col("turn").alias("_turn"), F.col("shard").alias("_shard"))
-    place = F.xxhash64(F.lit(seed), "doc_id", "_turn")
-    return keyed.join(to, ["_source_key", "_block"]).withColumn("_place", place).drop("_source_key", "_block", "_turn")
+    keyed = docs.select(source_key("source").alias("source_key"), block_of("doc_id", seed).alias("block"), F.struct(*docs.columns).alias("row"))
+    place = F.xxhash64(F.lit(seed), "row.doc_id", "turn")
+    return keyed.join(draws, ["source_key", "block"]).select("row", "shard", place.alias("place"))
 
 
 def write_shards(mix: DataFrame, folder: str) -> None:
     """One folder per shard, each shard in its local order; large shards become several files."""
-    ordered = mix.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place")
-    ordered.write.partitionBy("_shard").parquet(folder)
+    ordered = mix.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    ordered.write.partitionBy("shard").parquet(folder)
 
 
 def shard_sizes(draws: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ SIGNED = "doc_id long, first long, second long, bands array<long>"
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, part in text_slices(batch.column("text"), 8 << 20):
+        for low, part in text_slices(batch.column("text"), 4 << 20):
             words = words_of(part)
             hashes = word_hashes(words)
             holder = prob_min_hash(len(part), *weighted_runs(words, hashes))

@@ -31,8 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pokerlake.llm.common import fresh_folder, stored
-from pokerlake.llm.token_files import storage
+from pokerlake.llm.common import fresh_folder, storage, stored
 
 CHUNK_BYTES = 24 << 20
 SIGN = "▁"

@@ -30,20 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pokerlake.llm.common import fresh_folder, slices_of, stored
+from pokerlake.llm.common import fresh_folder, slices_of, storage, stored
 from pokerlake.llm.subwords import ChunkEncoder
 
 SEQUENCES_PER_BATCH = 512
 MANIFEST = "slice long, file string, documents_file string, documents long, tokens long, sequences long"
 
 
-def storage(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a place in the shared folder."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
     """Reader of an Arrow file; local files are mapped, not read."""
     system, inner = storage(path)

@@ -13,7 +13,7 @@ Scoring runs over all texts in the executors, a few megabytes at a time.
 
 Null texts count as empty. Labels that are null are not used; several labels of an id count
 each. Without rows of both classes the score is the share of toxic labels (0.5 without
-any). Rows with equal or null ids give a row each. Columns of the input other than those
+any), and no threshold is ever reached. Rows with equal or null ids give a row each. Columns of the input other than those
 named are passed through or not read, as stated at each function.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from pokerlake.llm.common import free_name
 from pokerlake.llm.words import PLAIN_LOWER, PLAIN_SPACE, U64, text_slices, word_hashes, words_of
 
 MOST_PER_CLASS = 4_000
@@ -206,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
         model.top[:] = 0
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         model.top_bias = float(np.log(share / (1 - share)))
+        model.threshold = 2.0
         return model
     check = np.random.default_rng(seed).permutation(len(rows)) < len(rows) // 5
     texts = [r.text for r in rows]
@@ -219,9 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     return model
 
 
-def scored(docs: DataFrame, model: TextCnn) -> DataFrame:
-    """All columns of ``docs`` and ``_score``; a column of that name in the input is replaced."""
-    docs = docs.drop("_score")
+def scored(docs: DataFrame, model: TextCnn, column: str = "_score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``column``, a name that ``docs`` must not have."""
+    if column != free_name(docs, column):
+        raise ValueError(f"the input has a column {column}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     at = docs.columns.index("text")
 
@@ -229,9 +232,9 @@ def scored(docs: DataFrame, model: TextCnn) -> DataFrame:
         for batch in batches:
             parts = [shared.value.scores(part) for _, part in text_slices(batch.column(at))]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def is_toxic(model: TextCnn, score: str = "_score", lang: str = "lang") -> Column:

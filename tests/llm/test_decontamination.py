@@ -39,9 +39,9 @@ def test_finds_planted_items_and_no_others(spark):
         assert found.keys() == truth.keys()
         for doc, (item, start, end) in truth.items():
             assert found[doc][0] == item and start <= found[doc][1] <= start + 3 and end - 3 <= found[doc][2] <= end
-        marked = dc.marked(documents(spark, rows), table(spark, items()), block_words)
-        assert {r.doc_id for r in marked.filter("_contaminated").collect()} == truth.keys()
-        assert marked.columns == [c for c in documents(spark, rows).columns if c != "_contaminated"] + ["_contaminated"]
+        marked = dc.marked(documents(spark, rows), table(spark, items()), "mark", block_words)
+        assert {r.doc_id for r in marked.filter("mark").collect()} == truth.keys()
+        assert marked.columns == [*documents(spark, rows).columns, "mark"]
 
 
 def test_equals_brute_force_alignment(spark):
@@ -60,7 +60,7 @@ def test_edge_rows(spark):
     assert dc.matches(documents(spark, EDGES).limit(0), table(spark, items())).collect() == []
     nothing = table(spark, items()).limit(0)
     assert dc.matches(documents(spark, EDGES), nothing).collect() == []
-    assert dc.marked(documents(spark, EDGES), nothing).filter("_contaminated").collect() == []
+    assert dc.marked(documents(spark, EDGES), nothing, "mark").filter("mark").collect() == []
 
 
 def test_best_stretch():

@@ -41,8 +41,8 @@ def test_mix_has_the_draws(spark):
     docs = documents(spark, rows())
     taken = {r.doc_id: r.taken // r.size for r in mixing.taken_words(docs).collect()}
     mix = mixing.mixed(docs, shards=4).collect()
-    assert {i: n for i, n in taken.items() if n} == {i: sum(r.doc_id == i for r in mix) for i in {r.doc_id for r in mix}}
-    assert {r._shard for r in mix} == {0, 1, 2, 3}
+    assert {i: n for i, n in taken.items() if n} == {i: sum(r.row.doc_id == i for r in mix) for i in {r.row.doc_id for r in mix}}
+    assert {r.shard for r in mix} == {0, 1, 2, 3}
 
 
 def test_edge_rows(spark):

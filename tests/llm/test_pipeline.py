@@ -6,12 +6,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pokerlake.llm import mixing, queries, toxicity
 from pokerlake.llm.common import stored
-from tests.llm.frames import components, probability_jaccard, weighted, words
+from tests.llm.frames import EDGES, components, documents, probability_jaccard, weighted, words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -82,5 +83,22 @@ def test_token_files_hold_the_mix(steps):
     assert sorted(map(tuple, after), key=lambda r: r[1]) == expected
 
 
+def test_stages_take_edge_rows_and_keep_all_columns(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns; then no rows at all."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(5, 1, 1), (6, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "six little words stand right here and some more of them")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    given = documents(spark, EDGES)
+    for docs in (given, given.limit(0)):
+        docs = docs.withColumn("_score", F.col("size"))
+        columns, rows = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, folder))
+            assert name == "token_files" or docs.columns == columns
+            assert docs.count() <= 2 * rows
+            if name == "near_duplicates" and rows:
+                assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, 2, 3, 4, 5, 6, 8, None]
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in queries.QUERIES if name != "pipeline"}

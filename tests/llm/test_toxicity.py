@@ -33,16 +33,16 @@ def test_held_out_accuracy_and_inputs(spark, labelled):
     rows, labels = labelled
     model = tx.train(documents(spark, rows), label_table(spark, labels))
     held = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5 == 0]
-    got = {r.doc_id: r for r in tx.scored(documents(spark, rows), model).withColumn("bad", tx.is_toxic(model)).collect()}
+    got = {r.doc_id: r for r in tx.scored(documents(spark, rows), model, "p").withColumn("bad", tx.is_toxic(model, "p")).collect()}
     truth = np.array([labels[i][2] for i in held])
-    for decided in (np.array([got[i]._score >= 0.5 for i in held]), np.array([got[i].bad for i in held])):
+    for decided in (np.array([got[i].p >= 0.5 for i in held]), np.array([got[i].bad for i in held])):
         assert (decided == truth).mean() > 0.95
     # Labels of held-out rows and columns other than the text change nothing.
     other = [(i, t, "xx", "zz") for i, t, *_ in rows]
     flipped = [(i, q, 1 - t if i in set(held) else t) for i, q, t in labels]
     again = tx.train(documents(spark, rows, 5), label_table(spark, flipped))
-    scores = {r.doc_id: r._score for r in tx.scored(documents(spark, other), again).collect()}
-    assert all(abs(scores[i] - got[i]._score) < 1e-9 for i in scores)
+    scores = {r.doc_id: r.p for r in tx.scored(documents(spark, other), again, "p").collect()}
+    assert all(abs(scores[i] - got[i].p) < 1e-9 for i in scores)
 
 
 def test_scores_of_a_text_do_not_depend_on_its_neighbours():
@@ -69,9 +69,9 @@ def test_thresholds():
 def test_edge_rows(spark):
     none = label_table(spark, [(1, 1, None)])
     model = tx.train(documents(spark, EDGES), none)
-    got = tx.scored(documents(spark, EDGES), model)
-    assert got.columns == [c for c in documents(spark, EDGES).columns if c != "_score"] + ["_score"]
-    assert len(got.collect()) == len(EDGES) and all(abs(r._score - 0.5) < 1e-9 for r in got.collect())
-    assert tx.scored(documents(spark, EDGES).limit(0), model).collect() == []
+    got = tx.scored(documents(spark, EDGES), model, "p")
+    assert got.columns == [*documents(spark, EDGES).columns, "p"]
+    assert len(got.collect()) == len(EDGES) and all(abs(r.p - 0.5) < 1e-9 for r in got.collect())
+    assert tx.scored(documents(spark, EDGES).limit(0), model, "p").collect() == []
     one = tx.train(documents(spark, EDGES), label_table(spark, [(i, 1, 1) for i in (4, 5, 6, 7, 8)]))
-    assert all(r._score > 0.9 for r in tx.scored(documents(spark, EDGES), one).collect())
+    assert all(r.p > 0.9 for r in tx.scored(documents(spark, EDGES), one, "p").collect())
