@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pokerlake.llm import decontamination, mixing, near_duplicates, token_files, toxicity
-from pokerlake.llm.common import ship, stored
+from pokerlake.llm.common import free_name, ship, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,28 +25,31 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that score below the threshold of their language stay."""
     ship(spark)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(~toxicity.is_toxic(model)).select(docs.columns)
+    score = free_name(docs, "_score")
+    return toxicity.scored(docs, model, score).filter(~toxicity.is_toxic(model, score)).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id; of equal rows one."""
     ship(spark)
-    kept = near_duplicates.classes(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    one = docs.withColumn("_text_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_text_hash"]).select(docs.columns)
+    kept_id, text_hash = free_name(docs, "_kept_id"), free_name(docs, "_text_hash")
+    kept = near_duplicates.classes(docs).filter("kept").select(F.col("doc_id").alias(kept_id))
+    one = docs.withColumn(text_hash, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return one.dropDuplicates(["doc_id", text_hash]).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage stay."""
     ship(spark)
-    marked = decontamination.marked(docs, _table(spark, sf_dir, "benchmark"))
-    return marked.filter(~F.col("_contaminated")).select(docs.columns)
+    mark = free_name(docs, "_contaminated")
+    marked = decontamination.marked(docs, _table(spark, sf_dir, "benchmark"), mark)
+    return marked.filter(~F.col(mark)).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document that the mix takes twice is there twice, one that it leaves out is gone."""
     ship(spark)
-    return mixing.mixed(docs).select(docs.columns)
+    return mixing.mixed(docs).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
