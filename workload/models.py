@@ -312,8 +312,8 @@ def _(t):
     model = PipelineModel.load(f"{folder}/forest")
     low, high = train.agg(F.least(F.min("profit_bb"), F.lit(0.0)), F.greatest(F.max("profit_bb"), F.lit(0.0))).first()
     weights = models.importances(model, t.spark).agg(F.abs(F.sum("importance") - 1) < 1e-6).first()[0]
-    forest = model.stages[-1]
-    as_set = forest.getNumTrees == models.TREES and max(tree.depth for tree in forest.trees) <= models.DEPTH
+    grown = model.stages[-1]
+    as_set = grown.getNumTrees == models.TREES and max(tree.depth for tree in grown.trees) <= models.DEPTH
     names = RAW.split(", ")
     inside = F.col("predicted_ev_bb").between(low - 1e-9, high + 1e-9)
     return models.score_hands(model, rows).select(*names, inside.alias("in_label_range"), F.lit(as_set).alias("forest_as_set"), F.lit(weights).alias("importances_add_up"))
