@@ -3,9 +3,13 @@
 Words are compared in lower case and without ASCII punctuation. A seed is a fixed mask over
 consecutive words; its hash covers the marked words only, so a substitution at an ignored
 place does not hide a copy. Hashes of all test items are joined with those of every window
-of every document; around a hit, document and item are laid side by side and the best
-stretch (a match gains one, a substitution costs one) is verified word by word. A stretch counts
-if its matching words are at least ``LEAST_WORDS`` and at least half of the item's.
+of every document; around a hit, document and item are laid side by side and every best
+stretch (a match gains one, a substitution costs one) is verified word by word. A run of
+``LEAST_WORDS`` words is a seed as well, so each unbroken run of that length is found. The
+stretches of ``LEAST_WORDS`` matching words or more count if one of them has ``LONG_WORDS``,
+whatever its share of the item, or if all of them, wherever they lie in the document, make up
+half of the item; words that were inserted or left out only cut a copy into stretches.
+The share of the item that the stretches of a document cover is reported as its coverage.
 
 The test side is taken in blocks of a bounded number of words, so what is broadcast has a
 proven size; each block meets all documents in a pass without a shuffle. Items with fewer
@@ -21,6 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,10 @@ from pokerlake.llm.words import _BASES, PLAIN_LOWER, PLAIN_SPACE, U64, mixed, te
 MASKS = ("111011011001", "1101100101111", "11110010110001")
 SHORTEST = 5
 LEAST_WORDS = 8
+LONG_WORDS = 13
+RUN = "1" * LEAST_WORDS
 BLOCK_WORDS = 1_000_000
-MATCH = "doc_id long, item_id long, start long, end long, matched long, item_words long"
+MATCH = "doc_id long, item_id long, start long, end long, matched long, item_words long, coverage double"
 
 
 def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -60,7 +68,7 @@ class TestItems:
         self.words, self.first = word_hashes(words), words.first
         sizes = np.diff(words.first)
         longest = max(map(len, MASKS))
-        plan = {mask: sizes >= longest for mask in MASKS}
+        plan = {mask: sizes >= longest for mask in (*MASKS, RUN)}
         for n in sorted(set(sizes[(sizes >= SHORTEST) & (sizes < longest)].tolist())):
             plan["1" * n] = sizes == n
         self.seeds = {}
@@ -93,22 +101,46 @@ class TestItems:
             found.append(np.unique(np.stack([document, item, offset], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
-    def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, first word, word after the last, matching words, words of the item)."""
+    def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int, float]]:
+        """(text, item, first word, word after the last, matching words, words of the item, coverage of the item by the text)."""
         words = words_of(texts, PLAIN_SPACE, PLAIN_LOWER)
         hashes = word_hashes(words)
         out = []
-        for document, item, offset in self.hits(hashes, words.first).tolist():
+        for (document, item), hits in groupby(self.hits(hashes, words.first).tolist(), itemgetter(0, 1)):
             text, test = hashes[words.first[document] : words.first[document + 1]], self.words[self.first[item] : self.first[item + 1]]
-            low, high = max(0, offset), min(len(text), offset + len(test))
-            same = text[low:high] == test[low - offset : high - offset]
-            start, end = best_stretch(same)
-            matched = int(same[start:end].sum())
-            if matched >= min(LEAST_WORDS, len(test)) and 2 * matched >= len(test):
-                out.append((document, item, low + start, low + end, matched, len(test)))
+            found, covered = [], np.zeros(len(test), bool)
+            for _, _, offset in hits:
+                low, high = max(0, offset), min(len(text), offset + len(test))
+                same = text[low:high] == test[low - offset : high - offset]
+                for start, end, matched in stretches(same, least_words(len(test))):
+                    found.append((low + start, low + end, matched))
+                    covered[low - offset + start : low - offset + end] |= same[start:end]
+            if found and (max(f[2] for f in found) >= LONG_WORDS or 2 * covered.sum() >= len(test)):
+                out += [(document, item, *f, len(test), float(covered.mean())) for f in found]
         return out
 
 
+def least_words(item_words: int) -> int:
+    """Matching words that a stretch needs."""
+    return min(LEAST_WORDS, item_words)
+
+
+def stretches(same: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start, end, matches) of the best stretch, of the best ones on both sides of it and so on, down to ``least`` matches."""
+    out, open_parts = [], [(0, len(same))]
+    while open_parts:
+        low, high = open_parts.pop()
+        if np.count_nonzero(same[low:high]) < least:
+            continue
+        start, end = best_stretch(same[low:high])
+        matched = int(np.count_nonzero(same[low + start : low + end]))
+        if matched >= least:
+            out.append((low + start, low + end, matched))
+        if end > start:
+            open_parts += [(low, low + start), (low + end, high)]
+    return sorted(out)
+
+
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
     """The stretch with the largest number of matches less substitutions."""
     total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(same, 1, -1))])
@@ -138,8 +170,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
                     if found:
                         text, item, *rest = zip(*found, strict=True)
                         ids = batch.column("doc_id").take(pa.array([at + t for t in text]))
-                        columns = [ids, pa.array([items.value.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.int64()) for x in rest)]
-                        yield pa.record_batch(columns, names=["doc_id", "item_id", "start", "end", "matched", "item_words"])
+                        columns = [ids, pa.array([items.value.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.int64()) for x in rest[:-1]), pa.array(rest[-1], pa.float64())]
+                        yield pa.record_batch(columns, names=["doc_id", "item_id", "start", "end", "matched", "item_words", "coverage"])
 
         return rows.mapInArrow(run, MATCH)
 
@@ -148,10 +180,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
 
 
 def best_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The longest match of each document and item, with the share of the item it covers."""
+    """The longest match of each document and item, with the share of the item that all its stretches cover."""
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), "start", "end")
-    ranked = matches(docs, benchmark).withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
-    return ranked.withColumn("coverage", F.col("matched") / F.col("item_words"))
+    return matches(docs, benchmark).withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, column: str = "_contaminated", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -68,3 +68,26 @@ def test_best_stretch():
 
     assert dc.best_stretch(np.array([0, 1, 1, 0, 1, 1, 0, 0, 1], bool)) == (1, 6)
     assert dc.best_stretch(np.zeros(0, bool)) == (0, 0)
+
+
+def test_long_passages_and_pieces_count_whatever_their_share(spark):
+    draw = random.Random(8)
+    text = lambda n, mark: [f"{mark}{draw.randint(0, 9_999)}x{i}" for i in range(n)]
+    long, middle, cut = text(300, "a"), text(59, "b"), text(40, "c")
+    benchmark = table(spark, [(1, " ".join(long)), (2, " ".join(middle)), (3, " ".join(cut))])
+    pad = text(20, "f")
+    pieces = lambda n: [w for i in range(0, 40, n) for w in [*cut[i : i + n], f"new{i}"]]
+    rows = [
+        (1, pad + long[80:220] + pad, 1, 140, 140 / 300),
+        (2, pad + middle[30:55], 2, 25, 25 / 59),
+        (3, pad + pieces(14) + pad, 3, 14, 1.0),
+        (4, pad + pieces(8) + pad, 3, 8, 1.0),
+        (5, long[:30] + text(150, "z") + long[180:], 1, 120, 0.5),
+        (6, pad + long[:12] + pad, None, 0, 0.0),
+    ]
+    docs = documents(spark, [(r[0], " ".join(r[1])) for r in rows])
+    got = {r.doc_id: (r.item_id, r.matched, round(r.coverage, 9)) for r in dc.best_matches(docs, benchmark).collect()}
+    assert got == {r[0]: (r[2], r[3], round(r[4], 9)) for r in rows if r[2]}
+    assert {r.doc_id for r in dc.marked(docs, benchmark, "mark").filter("mark").collect()} == got.keys()
+    ends = [(r.start, r.end) for r in dc.matches(docs, benchmark).filter("doc_id = 5").orderBy("start").collect()]
+    assert ends == [(0, 30), (180, 300)]
