@@ -12,9 +12,12 @@ half of the item; words that were inserted or left out only cut a copy into stre
 The share of the item that the stretches of a document cover is reported as its coverage.
 
 The test side is taken in blocks of a bounded number of words, so what is broadcast has a
-proven size; each block meets all documents in a pass without a shuffle. Items with fewer
-words than the longest mask are searched by all their words in a row; those below
-``SHORTEST`` words say nothing and match nothing.
+proven size; each block meets all documents in a pass without a shuffle. Every mask that fits
+an item is used. Items of ``SHORTEST`` to ``SHORT`` words have masks of their own, which leave
+out one word (below ``LEAST_WORDS`` words) or two neighbours at every place, so that a copy
+with any one word replaced, or cut off at an end, is found; nothing less than all words but
+one counts for items of up to ``LEAST_WORDS`` words. Those below ``SHORTEST`` words say
+nothing and match nothing.
 
 Null and empty texts, on either side, match nothing. Several equal or null ids give their
 rows each. Without items or documents there are no matches. Columns other than those named
@@ -40,6 +43,7 @@ from pokerlake.llm.words import _BASES, PLAIN_LOWER, PLAIN_SPACE, U64, mixed, te
 #: Eight or nine marked words in 12 to 14.
 MASKS = ("111011011001", "1101100101111", "11110010110001")
 SHORTEST = 5
+SHORT = 12
 LEAST_WORDS = 8
 LONG_WORDS = 13
 RUN = "1" * LEAST_WORDS
@@ -59,6 +63,13 @@ def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out)
 
 
+def short_masks(item_words: int) -> list[str]:
+    """Masks of which one fits an item with any single word replaced."""
+    gap = 1 if item_words < LEAST_WORDS else 2
+    masks = ("1" * at + "0" * gap + "1" * (item_words - at - gap) for at in range(0, item_words, gap))
+    return sorted({mask[:item_words].strip("0") for mask in masks})
+
+
 class TestItems:
     """Seeds of a block of test items, sorted by hash for each mask."""
 
@@ -67,10 +78,10 @@ class TestItems:
         words = words_of(pa.array([r[1] or "" for r in rows], pa.string()), PLAIN_SPACE, PLAIN_LOWER)
         self.words, self.first = word_hashes(words), words.first
         sizes = np.diff(words.first)
-        longest = max(map(len, MASKS))
-        plan = {mask: sizes >= longest for mask in (*MASKS, RUN)}
-        for n in sorted(set(sizes[(sizes >= SHORTEST) & (sizes < longest)].tolist())):
-            plan["1" * n] = sizes == n
+        plan = {mask: sizes >= len(mask) for mask in (*MASKS, RUN)}
+        for n in sorted(set(sizes[(sizes >= SHORTEST) & (sizes <= SHORT)].tolist())):
+            for mask in short_masks(n):
+                plan[mask] = plan.get(mask, False) | (sizes == n)
         self.seeds = {}
         for mask, used in plan.items():
             at = np.concatenate([np.arange(a, b - len(mask) + 1) for a, b, u in zip(words.first, words.first[1:], used, strict=False) if u] or [np.zeros(0, np.int64)])
@@ -122,7 +133,7 @@ class TestItems:
 
 def least_words(item_words: int) -> int:
     """Matching words that a stretch needs."""
-    return min(LEAST_WORDS, item_words)
+    return min(LEAST_WORDS, item_words - 1)
 
 
 def stretches(same: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -142,10 +153,10 @@ def stretches(same: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """The stretch with the largest number of matches less substitutions."""
+    """The stretch with the largest number of matches less substitutions, of equal ones the last and longest."""
     total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(same, 1, -1))])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
+    gain = total - np.minimum.accumulate(total)
+    end = len(same) - int(np.argmax(gain[::-1]))
     return int(np.argmin(total[: end + 1])), end
 
 

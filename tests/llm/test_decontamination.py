@@ -91,3 +91,20 @@ def test_long_passages_and_pieces_count_whatever_their_share(spark):
     assert {r.doc_id for r in dc.marked(docs, benchmark, "mark").filter("mark").collect()} == got.keys()
     ends = [(r.start, r.end) for r in dc.matches(docs, benchmark).filter("doc_id = 5").orderBy("start").collect()]
     assert ends == [(0, 30), (180, 300)]
+
+
+def test_short_items_with_one_word_replaced(spark):
+    benchmark, rows, expected = [], [], {}
+    for n in range(4, 16):
+        item = [f"i{n}w{k}" for k in range(n)]
+        benchmark.append((n, " ".join(item)))
+        for at in range(n):
+            rows.append((100 * n + at, " ".join(["before", *item[:at], "other", *item[at + 1 :], "after"])))
+            expected[100 * n + at] = n
+        rows.append((100 * n + 50, " ".join(item)))
+        rows.append((100 * n + 51, " ".join(item[1:])))
+        rows.append((100 * n + 52, " ".join(item[:-1])))
+        expected |= {100 * n + k: n for k in (50, 51, 52)}
+        rows.append((100 * n + 60, " ".join(["other", *item[1:3], "other", *item[4:5]])))  # three words
+    got = {r.doc_id: r.item_id for r in dc.best_matches(documents(spark, rows), table(spark, benchmark)).collect()}
+    assert got == {doc: item for doc, item in expected.items() if item >= dc.SHORTEST}
