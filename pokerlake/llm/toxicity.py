@@ -7,9 +7,13 @@ not reach from one text into the next; a text has padding around it, so an empty
 score as well.
 
 The model is fitted on a bounded sample of labelled rows: at most ``MOST_PER_CLASS`` of each
-class, those with the smallest hash of their id, with their whole texts. A fifth of the
-sample sets the thresholds by language; a language with too few rows takes the common one.
-Scoring runs over all texts in the executors, a few megabytes at a time.
+class, those with the smallest hash of their id, with their whole texts; a fifth of the
+sample is not fitted. The thresholds by language are set on all labelled rows that are
+neither fitted nor held out, scored on the executors and counted in ``BINS`` bins by language
+and label; each label of a language weighs as many rows as it has, fitted ones included, so
+the classes keep their true shares however many the fit took. A language with too few rows
+takes the common threshold. Scoring runs over all texts in the executors, a few megabytes at
+a time.
 
 Null texts count as empty. Labels that are null are not used; several labels of an id count
 each. Without rows of both classes the score is the share of toxic labels (0.5 without
@@ -23,15 +27,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pokerlake.llm.common import free_name
+from pokerlake.llm.common import free_name, stored
 from pokerlake.llm.words import PLAIN_LOWER, PLAIN_SPACE, U64, text_slices, word_hashes, words_of
 
 MOST_PER_CLASS = 4_000
+LEAST_TOXIC = 20
+BINS = 1 << 14
 ROWS = 1 << 17
 DIM = 8
 WIDTHS = (1, 2, 3)
@@ -165,12 +172,13 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 64,
     return model
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
     """Middle between the scores where F1 is largest; of equal ones the one nearest 0.5."""
     order = np.argsort(-scores, kind="stable")
+    weights = np.ones(len(scores)) if weights is None else weights[order]
     scores, labels = scores[order], labels[order]
-    hits = np.cumsum(labels)
-    f1 = 2 * hits / (np.arange(1, len(labels) + 1) + labels.sum())
+    hits = np.cumsum(labels * weights)
+    f1 = 2 * hits / (np.cumsum(weights) + (labels * weights).sum())
     after = np.append(scores[1:], 0.0)
     usable = np.flatnonzero((scores > after) & (f1 >= f1[scores > after].max() - 1e-12)) if (scores > after).any() else np.zeros(0, int)
     if not len(usable):
@@ -179,7 +187,7 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(middle[np.argmin(np.abs(middle - 0.5))])
 
 
-def calibrate(model: TextCnn, scores: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 20) -> None:
+def calibrate(model: TextCnn, scores: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = LEAST_TOXIC) -> None:
     """Thresholds by language; below ``least`` toxic rows of a language the common threshold holds."""
     model.threshold = best_threshold(scores, labels) if 0 < labels.sum() < len(labels) else 0.5
     names = [str(x) for x in langs]
@@ -189,12 +197,45 @@ def calibrate(model: TextCnn, scores: np.ndarray, labels: np.ndarray, langs: lis
             model.thresholds[name] = best_threshold(scores[own], labels[own])
 
 
+def _threshold_of(bins: pd.DataFrame) -> pd.DataFrame:
+    """A row (lang, threshold, toxic, clean) for the bins of a language: threshold and unfitted rows of each label."""
+    free = bins.groupby("toxic").free.sum().reindex([0, 1], fill_value=0)
+    threshold = 0.5
+    if free.min() > 0:
+        own = bins[bins.free > 0]
+        labels = own.toxic.to_numpy()
+        weight = (bins.groupby("toxic").rows.sum() / free)[[0, 1]].to_numpy()[labels]
+        threshold = best_threshold((own.bin.to_numpy() + 0.5) / BINS, labels, own.free.to_numpy() * weight)
+    return pd.DataFrame({"lang": [bins.lang.iloc[0]], "threshold": [threshold], "toxic": [int(free[1])], "clean": [int(free[0])]})
+
+
+def calibrate_on(model: TextCnn, docs: DataFrame, usable: DataFrame, fitted: list[int], least: int = LEAST_TOXIC) -> None:
+    """As ``calibrate``, on all rows of ``docs`` that ``usable`` labels, except those with an id that was fitted.
+
+    A row per language comes back to the driver.
+    """
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(i,) for i in sorted(set(fitted))], StructType([StructField("_fitted", docs.schema["doc_id"].dataType)]))  # at most 2 * most_per_class
+    rows = scored(docs.filter(remainder() != 0).select("doc_id", "text", F.coalesce("lang", F.lit("None")).alias("lang")), model).drop("text")
+    number = F.least(F.floor(F.col("_score") * BINS), F.lit(BINS - 1)).cast("int")
+    joined = rows.join(usable, "doc_id").join(F.broadcast(known), F.col("doc_id") == F.col("_fitted"), "left")
+    bins = joined.groupBy("lang", "toxic", number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.isnull("_fitted")).alias("free"))
+    bins = stored(bins, "bins")
+    whole = bins.groupBy(F.lit(None).cast("string").alias("lang"), "toxic", "bin").agg(F.sum("rows").alias("rows"), F.sum("free").alias("free"))
+    found = bins.unionByName(whole).groupBy("lang").applyInPandas(_threshold_of, "lang string, threshold double, toxic long, clean long")
+    for r in found.filter(F.isnull("lang") | ((F.col("toxic") >= least) & (F.col("clean") > 0))).orderBy("lang").collect():
+        if r.lang is None:
+            model.threshold = r.threshold
+        else:
+            model.thresholds[r.lang] = r.threshold
+
+
 def remainder(doc_id: str = "doc_id", parts: int = 5) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
 def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS, seed: int = 11) -> TextCnn:
-    """Fit on labelled rows whose id has a CRC not divisible by five."""
+    """Fit on a sample of the labelled rows whose id has a CRC not divisible by five, thresholds on the others."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(remainder() != 0).filter("toxic IN (0, 1)")
     order = F.xxhash64(F.lit(seed), "doc_id")
     picked = [usable.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(most_per_class) for c in (0, 1)]
@@ -215,9 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     if y[learn].min() == y[learn].max():
         learn = np.arange(len(rows))
     model = fit([texts[i] for i in learn], y[learn], seed=seed)
-    held = np.flatnonzero(check) if check.any() else learn
-    scores = np.concatenate([model.scores(pa.array([texts[i] for i in held[a : a + 200]], pa.string())) for a in range(0, len(held), 200)])
-    calibrate(model, scores, y[held], [rows[i].lang for i in held])
+    fitted = [rows[i].doc_id for i in learn] if len(learn) < len(rows) else []  # where all were fitted, all are counted
+    calibrate_on(model, docs, usable, fitted)
     return model
 
 

@@ -75,3 +75,33 @@ def test_edge_rows(spark):
     assert tx.scored(documents(spark, EDGES).limit(0), model, "p").collect() == []
     one = tx.train(documents(spark, EDGES), label_table(spark, [(i, 1, 1) for i in (4, 5, 6, 7, 8)]))
     assert all(r.p > 0.9 for r in tx.scored(documents(spark, EDGES), one, "p").collect())
+
+
+def test_thresholds_follow_the_true_shares_of_the_classes(spark):
+    """A third of the toxic rows look like a fifth of the clean ones, which are nine times as many."""
+    draw = random.Random(4)
+    rows, labels = [], []
+    for i in range(2_000):
+        words = [f"w{draw.randint(0, 300)}" for _ in range(draw.randint(5, 20))]
+        toxic = i % 10 == 0
+        if toxic and i % 30:
+            words.append("snark")
+        elif toxic or i % 5 == 1:
+            words.append("murky")
+        draw.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    used = [i for i in range(len(rows)) if zlib.crc32(str(i).encode()) % 5]
+    for most in (100, 4_000):  # capped classes of one size, all rows
+        model = tx.train(documents(spark, rows), label_table(spark, labels), most)
+        scores = model.scores(pa.array([rows[i][1] for i in used]))
+        truth = np.array([labels[i][2] for i in used])
+        f1 = lambda limit: 2 * truth[scores >= limit].sum() / ((scores >= limit).sum() + truth.sum())
+        assert model.thresholds.keys() == {"en"} and model.thresholds["en"] == model.threshold
+        assert f1(model.threshold) > 0.95 * max(f1(s) for s in scores)
+
+
+def test_weights_and_bins():
+    scores, y = np.array([0.9, 0.5, 0.5, 0.1]), np.array([1, 1, 0, 0])
+    assert tx.best_threshold(scores, y, np.array([2, 1, 1, 9])) == pytest.approx(0.3)
+    assert tx.best_threshold(scores, y, np.array([2, 1, 9, 9])) == pytest.approx(0.7)
