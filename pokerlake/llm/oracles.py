@@ -41,3 +41,37 @@ NEAR_DUPLICATES = r"""
          reach(id, other) AS (SELECT a, b FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
          component AS (SELECT id, MIN(other) AS smallest FROM reach GROUP BY 1)
     SELECT doc_id, LEAST(doc_id, COALESCE(smallest, doc_id)) AS class_id, doc_id <= COALESCE(smallest, doc_id) AS kept FROM documents LEFT JOIN component ON id = doc_id"""
+
+HOST_REPUTATION = r"""
+    WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+         h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+         p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+         outcome AS (SELECT doc_id, MAX(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+         hosts AS (SELECT host, COUNT(bad) AS n, COALESCE(SUM(bad), 0) AS k, list_last(string_split(host, '.')) AS suffix,
+                          array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain
+                   FROM p LEFT JOIN outcome ON TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]+)', 1) AS BIGINT) = doc_id GROUP BY 1),
+         total AS (SELECT (SUM(k) + 0.5) / (SUM(n) + 1.0) AS m0 FROM hosts),
+         s AS (SELECT suffix, SUM(n) AS n, SUM(k) AS k, ANY_VALUE(m0) AS m FROM hosts, total GROUP BY 1),
+         s_strength AS (SELECT 1 / least(greatest(COALESCE((SUM((k - n * m) ** 2) - SUM(n * m * (1 - m))) / NULLIF(SUM((n - 1) * n * m * (1 - m)), 0), 1.0 / 3), 1.0 / 1001), 1.0 / 3) - 1 AS w FROM s),
+         d AS (SELECT x.*, (s.k - x.k + w * m0) / (s.n - x.n + w) AS m
+               FROM (SELECT suffix, domain, SUM(n) AS n, SUM(k) AS k FROM hosts GROUP BY 1, 2) x JOIN s ON s.suffix = x.suffix, s_strength, total),
+         d_strength AS (SELECT 1 / least(greatest(COALESCE((SUM((k - n * m) ** 2) - SUM(n * m * (1 - m))) / NULLIF(SUM((n - 1) * n * m * (1 - m)), 0), 1.0 / 3), 1.0 / 1001), 1.0 / 3) - 1 AS w FROM d),
+         x AS (SELECT host, hosts.n, hosts.k, (d.k - hosts.k + w * d.m) / (d.n - hosts.n + w) AS m
+               FROM hosts JOIN d ON d.suffix = hosts.suffix AND d.domain = hosts.domain, d_strength),
+         x_strength AS (SELECT 1 / least(greatest(COALESCE((SUM((k - n * m) ** 2) - SUM(n * m * (1 - m))) / NULLIF(SUM((n - 1) * n * m * (1 - m)), 0), 1.0 / 3), 1.0 / 1001), 1.0 / 3) - 1 AS w FROM x),
+         posterior AS (SELECT host, n, m * w + k AS a, (1 - m) * w + n - k AS b FROM x, x_strength),
+         scaled AS (SELECT *, ln(a / b) AS u0, sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) AS sd FROM posterior),
+         cells AS (SELECT host, n, a, b, u0, sd, u0 + sd * i / 20 AS u FROM scaled, (SELECT unnest(generate_series(-400, 400)) AS i) g),
+         dense AS (SELECT host, n, least(greatest(u / (sd / 20) + 0.5, 0), 1) AS share,
+                          exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - (a * u0 - (a + b) * (greatest(u0, 0) + ln(1 + exp(-abs(u0)))))) AS f FROM cells),
+         tail AS (SELECT host, n, SUM(share * f) / SUM(f) AS p_bad FROM dense GROUP BY 1, 2),
+         ruled AS (SELECT page_id, host, path,
+                          CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                               WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                               WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                               WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN p_bad >= 0.95 THEN 'block' ELSE 'allow' END AS verdict,
+           n AS n_labelled, round(p_bad, 6) AS p_bad
+    FROM ruled JOIN tail USING (host)"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import decontamination, embedding_links, license_scan, mixing, near_duplicates, oracles, sharding, substring_dedup, token_counts, token_files, toxicity
+from pokerlake.llm import decontamination, embedding_links, host_reputation, license_scan, mixing, near_duplicates, oracles, sharding, substring_dedup, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,16 @@ def _(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op13_host_reputation", oracles.HOST_REPUTATION)
+def _(spark, sf_dir):
+    pages = host_reputation.outcomes_of(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return host_reputation.filter_urls(pages, URL_RULES)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
