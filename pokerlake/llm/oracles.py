@@ -115,3 +115,22 @@ MERKLE_MANIFEST = r"""
     "xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT), "
     "lambda c, ch: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, ch)), 4294967295))",
 )
+
+PERIODIC_RUNS = r"""
+    WITH w AS (SELECT ROW_NUMBER() OVER () AS nr, doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                      xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+                          lambda c, ch: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, ch)), 4294967295)) AS h FROM documents),
+         seeded AS (SELECT nr, doc_id, ws, len(ws) AS n, COALESCE(h % 10 = 0, FALSE) AND len(ws) > 0 AS plant, h // 10 AS g FROM w),
+         planted AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM seeded),
+         items AS (SELECT nr, n, i, ws[1 + CASE WHEN plant AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM planted) x),
+         pairs AS (SELECT x.nr, x.i, y.i - x.i AS q FROM items x JOIN items y ON y.nr = x.nr AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+         stretches AS (SELECT nr, q, MIN(i) AS start, COUNT(*) + q AS length FROM (SELECT *, i - ROW_NUMBER() OVER (PARTITION BY nr, q ORDER BY i) AS block FROM pairs) x
+                       GROUP BY nr, q, block HAVING COUNT(*) + q >= greatest(6, 4 * q)),
+         runs AS (SELECT nr, start, length, MIN(q) AS period FROM stretches GROUP BY 1, 2, 3),
+         best AS (SELECT * FROM runs QUALIFY ROW_NUMBER() OVER (PARTITION BY nr ORDER BY length / period DESC, start, period) = 1),
+         listed AS (SELECT nr, COUNT(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS text FROM runs GROUP BY 1),
+         gone AS (SELECT DISTINCT nr, unnest(range(start + period, start + length)) AS i FROM runs),
+         kept AS (SELECT nr, string_agg(word, ' ' ORDER BY i) AS text FROM items ANTI JOIN gone USING (nr, i) GROUP BY 1)
+    SELECT w.doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+           sha256(COALESCE(listed.text, '')) AS runs_sha256, sha256(COALESCE(kept.text, '')) AS collapsed_sha256
+    FROM w LEFT JOIN best USING (nr) LEFT JOIN listed USING (nr) LEFT JOIN kept USING (nr)"""

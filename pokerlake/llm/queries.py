@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pokerlake.llm import decontamination, embedding_links, host_reputation, license_scan, merkle, mixing, near_duplicates, oracles, sharding, substring_dedup, token_counts, token_files, toxicity
+from pokerlake.llm import decontamination, embedding_links, host_reputation, license_scan, merkle, mixing, near_duplicates, oracles, periodic_runs, sharding, substring_dedup, token_counts, token_files, toxicity
 from pokerlake.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def _(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op11_periodic_runs", oracles.PERIODIC_RUNS)
+def _(spark, sf_dir):
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")))
+
+
 @query("op12_merkle_manifest", oracles.MERKLE_MANIFEST)
 def _(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_rows())
