@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,13 @@ def weighted_mean(value: Column, weight: Column, condition: Column | None = None
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it several times inside ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A generator of one row keeps the optimizer from pasting their expressions into the
+    lambdas that use them, where they would run once per array item.
+    """
+    packed = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    return df.select("*", F.inline_outer(packed))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.cards import SEAT_NAMES
 from pokerlake.functions.labels import PLAY, STREETS
-from pokerlake.functions.numbers import let, rounded
+from pokerlake.functions.numbers import let, settled
+from pokerlake.operators import chips
 
 # The shapes of the lines of a hand history.
 HEADER = (
@@ -28,7 +29,7 @@ DEED = (
 )
 DEED_AMOUNT = r"(?:calls|bets|raises [\d,]+ to|posts the ante|posts small blind|posts big blind) ([\d,]+)"
 RETURNED = r"^Uncalled bet \(([\d,]+)\) returned to (\S+)"
-COLLECTED = r"^(\S+) collected ([\d,]+) from (?:main |side )?pot"
+COLLECTED = r"^(\S+) collected ([\d,]+) from (main |side )?pot"
 FLOP = r"\*\*\* FLOP \*\*\* \[(.+?)\]"
 TURN = r"\*\*\* TURN \*\*\* \[.+?\] \[(.+?)\]"
 RIVER = r"\*\*\* RIVER \*\*\* \[.+?\] \[(.+?)\]"
@@ -70,16 +71,6 @@ def _groups(text: Column, pattern: str, count: int) -> Column:
     return let(replaced, lambda r: F.when(r.endswith(mark), F.split(r, mark)))
 
 
-def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are computed once per row.
-
-    A generator of one row keeps the optimizer from pasting their expressions into the
-    lambdas that use them, where they would run once per array item.
-    """
-    packed = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
-    return df.select("*", F.inline_outer(packed))
-
-
 def _chips(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("bigint")
 
@@ -117,7 +108,7 @@ def hand_headers(blocks: DataFrame) -> DataFrame:
     line means table "", nine seats and the button in seat 1.
     """
     split = F.split("block", "\n")
-    lines = _settled(
+    lines = settled(
         blocks,
         {
             "lines": split,
@@ -135,7 +126,7 @@ def hand_headers(blocks: DataFrame) -> DataFrame:
     blinds = F.split(F.regexp_replace(head(7), ",", ""), "/")
     small = F.trim(_first(blinds)).try_cast("int")
     big = F.when(F.size(blinds) > 1, F.trim(F.get(blinds, F.lit(1))).try_cast("int")).otherwise(small * 2)
-    fields = _settled(
+    fields = settled(
         lines,
         {
             "hand_id": head(1),
@@ -194,7 +185,7 @@ def _classified(line: Column) -> Column:
         return found(RETURNED, 2, lambda amount, name: row("return", name, amount), collected)
 
     def collected() -> Column:
-        return found(COLLECTED, 2, lambda name, amount: row("win", name, amount), lambda: F.lit(None))
+        return found(COLLECTED, 3, lambda name, amount, pot: row("win", name, amount, F.nullif(F.trim(pot), F.lit(""))), lambda: F.lit(None))
 
     return seat()
 
@@ -212,14 +203,14 @@ def line_streets(headers: DataFrame) -> DataFrame:
         _classified,
     )
     numbered = F.transform(body, lambda x, i: F.when(x.isNotNull(), x.withField("nr", i)))
-    df = _settled(headers, {"_events": F.filter(numbered, lambda x: x.isNotNull())})
-    df = _settled(df, {"_markers": F.filter("_events", lambda x: x["kind"] == "marker")})
+    df = settled(headers, {"_events": F.filter(numbered, lambda x: x.isNotNull())})
+    df = settled(df, {"_markers": F.filter("_events", lambda x: x["kind"] == "marker")})
     stop = _first(F.filter("_markers", lambda m: m["name"] == "summary"))["nr"]
-    df = _settled(df, {"_stop": F.coalesce(stop, F.lit(2**31 - 1))})
+    df = settled(df, {"_stop": F.coalesce(stop, F.lit(2**31 - 1))})
     above = lambda x: _last(F.filter("_markers", lambda m: m["nr"] < x["nr"]))["name"]
     kept = F.filter("_events", lambda x: x["nr"] < F.col("_stop"))
     events = F.transform(kept, lambda x: x.withField("street", F.coalesce(above(x), F.lit("preflop"))))
-    return _settled(df, {"events": events}).drop("_events", "_markers", "_stop", "lines")
+    return settled(df, {"events": events}).drop("_events", "_markers", "_stop", "lines")
 
 
 def _of_kind(*kinds: str):
@@ -244,11 +235,11 @@ def hand_seats(df: DataFrame) -> DataFrame:
             _last(F.filter(F.col("_dealt"), lambda d: d["name"] == x["name"]))["detail"].alias("cards"),
         ),
     )
-    df = _settled(_settled(df, {"_dealt": dealt}), {"_seats": F.array_sort(seats)})
+    df = settled(settled(df, {"_dealt": dealt}), {"_seats": F.array_sort(seats)})
     button = F.array_position(F.transform("_seats", lambda p: p["seat"]), F.col("button_seat"))
     names = F.create_map(*[c for n, row in SEAT_NAMES.items() for c in (F.lit(n), F.array(*map(F.lit, row)))])
     players = F.size("_seats")
-    df = _settled(
+    df = settled(
         df,
         {
             "_button": F.nullif(button, F.lit(0)) - 1,
@@ -258,7 +249,7 @@ def hand_seats(df: DataFrame) -> DataFrame:
     )
     place = lambda i: F.pmod(i - F.col("_button"), F.col("_players")).cast("int")
     placed = F.transform("_seats", lambda p, i: p.withField("position", F.get("_names", place(i))))
-    return _settled(df, {"seats": placed}).drop("_dealt", "_seats", "_button", "_players", "_names")
+    return settled(df, {"seats": placed}).drop("_dealt", "_seats", "_button", "_players", "_names")
 
 
 def boards(df: DataFrame) -> DataFrame:
@@ -271,10 +262,10 @@ def boards(df: DataFrame) -> DataFrame:
         )
         return _last(F.array_compact(shown))
 
-    df = _settled(df, {"flop": cards("flop", FLOP), "turn": cards("turn", TURN), "river": cards("river", RIVER)})
+    df = settled(df, {"flop": cards("flop", FLOP), "turn": cards("turn", TURN), "river": cards("river", RIVER)})
     words = [F.coalesce(_words(F.col(c)), F.array().cast("array<string>")) for c in ("flop", "turn", "river")]
     board = let(F.concat(*words), lambda c: F.when(F.size(c) > 0, c))
-    return _settled(df, {"board": board})
+    return settled(df, {"board": board})
 
 
 def actions(df: DataFrame) -> DataFrame:
@@ -284,7 +275,7 @@ def actions(df: DataFrame) -> DataFrame:
     count; what happens under the showdown marker does not.
     """
     everything = F.filter("events", lambda x: ~x["kind"].isin("seat", "dealt", "marker"))
-    df = _settled(df, {"_all": everything})
+    df = settled(df, {"_all": everything})
 
     def of_street(street: str) -> Column:
         mine = F.filter("_all", lambda x: x["street"] == street)
@@ -300,7 +291,7 @@ def actions(df: DataFrame) -> DataFrame:
             (x["kind"].isin(*PLAY) & x["all_in"]).alias("is_all_in"),
         ),
     )
-    found = _settled(
+    found = settled(
         df,
         {
             "actions": ordered,
@@ -339,17 +330,31 @@ def _result(line: Column) -> Column:
 def results(df: DataFrame) -> DataFrame:
     """Add total pot, rake and ``results``, the player lines of the summary."""
     at = F.instr("block", SUMMARY)
-    df = _settled(df, {"_summary": F.when(at > 0, F.substring(F.col("block"), at, F.length("block")))})
+    df = settled(df, {"_summary": F.when(at > 0, F.substring(F.col("block"), at, F.length("block")))})
     from_pot = F.regexp_replace("_summary", r"(?s)^.*?(?=Total pot [\d,]+ \| Rake \d)", "")
     lines = F.filter(F.split("_summary", "\n"), lambda x: x.rlike(r"^Seat (\d+): (\S+)"))
-    df = _settled(df, {"_pot": _groups(from_pot, f"^{POT}", 2), "_results": F.transform(lines, _result)})
+    df = settled(df, {"_pot": _groups(from_pot, f"^{POT}", 2), "_results": F.transform(lines, _result)})
     none = F.array().cast(df.schema["_results"].dataType)
     totals = {
         "total_pot": F.coalesce(_chips(F.get("_pot", F.lit(0))), F.lit(0)),
         "rake": F.coalesce(F.get("_pot", F.lit(1)).try_cast("int"), F.lit(0)),
         "results": F.coalesce("_results", none),
     }
-    return _settled(df, totals).drop("_summary", "_pot", "_results")
+    return settled(df, totals).drop("_summary", "_pot", "_results")
+
+
+def summary_wins(df: DataFrame) -> DataFrame:
+    """Add ``paid``: player_name and amount of the summary's "won (n)" and "collected (n)"."""
+    at = F.instr("block", SUMMARY)
+    lines = F.filter(F.split(F.substr("block", F.greatest(at, F.lit(1))), "\n"), lambda x: x.rlike(r"^Seat (\d+): (\S+)"))
+    paid = F.transform(
+        lines,
+        lambda x: F.struct(
+            _part(x, r"^Seat (\d+): (\S+)", 2).alias("player_name"), _chips(_part(x, r"(?:won|collected) \(([\d,]+)\)", 1)).alias("amount")
+        ),
+    )
+    none = F.array().cast("array<struct<player_name:string,amount:bigint>>")
+    return settled(df, {"paid": F.when(at > 0, paid).otherwise(none)})
 
 
 def _invalid() -> Column:
@@ -361,21 +366,21 @@ def _invalid() -> Column:
     return missing | F.col("bad_amount")
 
 
-def read_blocks(blocks: DataFrame) -> DataFrame:
-    """All fields of every block, valid or not, with ``is_valid``."""
+def read_blocks(blocks: DataFrame, strict: bool = False) -> DataFrame:
+    """All fields of every block, valid or not, with ``is_valid``; with ``strict`` also ledger, pots and shares."""
     df = hand_headers(blocks)
-    for step in (line_streets, hand_seats, boards, actions, results):
+    for step in (line_streets, hand_seats, boards, actions, results, *([summary_wins, chips.with_ledger, chips.with_pots] if strict else [])):
         df = step(df)
     hero = _first(F.filter("seats", lambda p: p["is_hero"]))
     hero_result = _first(F.filter("results", lambda r: r["player_name"] == "Hero"))
-    df = _settled(df, {"hero": hero, "_hero_result": hero_result, "is_valid": ~_invalid()})
+    df = settled(df, {"hero": hero, "_hero_result": hero_result, "is_valid": ~_invalid()})
     hero_won = F.col("hero").isNotNull() & F.array_contains("winners", "Hero")
     hero_cards = _last(
         F.filter("events", lambda x: (x["kind"] == "dealt") & (x["name"] == "Hero") & x["detail"].isNotNull())
     )["detail"]
     shown = F.exists("results", lambda r: r["cards"].isNotNull() & ~r["folded"])
     hero_folded = F.col("hero").isNotNull() & F.coalesce(F.col("_hero_result.folded"), F.lit(False))
-    known = _settled(
+    known = settled(
         df,
         {
             "hero_cards": F.when(F.col("hero").isNotNull(), _words(hero_cards)),
@@ -384,12 +389,12 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
             "hero_result": F.when(hero_won, "won").when(hero_folded, "folded").otherwise("lost"),
         },
     )
-    return known.drop("events", "_hero_result", "bad_amount", "showdown_actions")
+    return known.drop("events", "_hero_result", "bad_amount", "showdown_actions", "paid")
 
 
-def parse_hands(bronze: DataFrame) -> DataFrame:
-    """One nested row per readable hand of the raw files."""
-    return read_blocks(hand_blocks(bronze)).filter("is_valid").drop("is_valid", "block")
+def parse_hands(bronze: DataFrame, strict: bool = False) -> DataFrame:
+    """One nested row per readable hand of the raw files; ``strict`` adds the chips (``operators.chips``)."""
+    return read_blocks(hand_blocks(bronze), strict).filter("is_valid").drop("is_valid", "block")
 
 
 def rejected_hands(bronze: DataFrame) -> DataFrame:
@@ -397,9 +402,13 @@ def rejected_hands(bronze: DataFrame) -> DataFrame:
     return read_blocks(hand_blocks(bronze)).filter("NOT is_valid").select("file_name", "block_no", "block")
 
 
-def build_hands(parsed: DataFrame) -> DataFrame:
-    """The hands table."""
+def build_hands(parsed: DataFrame, strict: bool = False) -> DataFrame:
+    """The hands table; with ``strict`` the hero's result follows the chips and the fold line."""
     stack = F.col("hero.stack").cast("double")
+    result = F.col("hero_result")
+    if strict:
+        mine = _first(F.filter("ledger", lambda s: s["name"] == F.col("hero.name")))
+        result = F.when(mine["collected"] > 0, "won").when(mine["folded"], "folded").otherwise("lost")
     return parsed.select(
         "hand_id",
         "tournament_id",
@@ -420,20 +429,22 @@ def build_hands(parsed: DataFrame) -> DataFrame:
         F.col("hero.position").alias("hero_position"),
         F.array_join("hero_cards", "").alias("hero_cards"),
         F.nullif(stack, F.lit(0.0)).alias("hero_chips_start"),
-        "hero_result",
+        result.alias("hero_result"),
         "file_name",
         F.current_timestamp().alias("ingested_at"),
     )
 
 
-def build_players(parsed: DataFrame) -> DataFrame:
+def build_players(parsed: DataFrame, strict: bool = False) -> DataFrame:
     """The hand_players table: one row per seat with flags, money and counts.
 
     Money follows the printed lines: a raise counts with its total, blinds and antes do
-    not count, and only "won (n)" of the summary is a win.
+    not count, and only "won (n)" of the summary is a win. With ``strict`` money follows the
+    chips: what the seat put in, what it collected from all pots, and a showdown needs two
+    seats that did not fold.
     """
-    df = parsed.select("hand_id", "button_seat", "actions", "results", F.explode("seats").alias("p"))
-    df = _settled(
+    df = parsed.select("hand_id", "button_seat", "actions", "results", *(["ledger"] if strict else []), F.explode("seats").alias("p"))
+    df = settled(
         df,
         {
             "_mine": F.filter("actions", lambda a: a["name"] == F.col("p.name")),
@@ -441,7 +452,7 @@ def build_players(parsed: DataFrame) -> DataFrame:
             "_raises": F.filter("actions", lambda a: (a["street"] == "preflop") & (a["action"] == "raise")),
         },
     )
-    df = _settled(df, {"_preflop": F.filter("_mine", lambda a: a["street"] == "preflop")})
+    df = settled(df, {"_preflop": F.filter("_mine", lambda a: a["street"] == "preflop")})
 
     def count(condition) -> Column:
         return F.size(F.filter("_mine", condition))
@@ -452,6 +463,11 @@ def build_players(parsed: DataFrame) -> DataFrame:
         F.lit(0.0),
         lambda total, a: total + F.coalesce(a["amount"], F.lit(0)).cast("double"),
     )
+    showdown = F.coalesce(~F.col("_result.folded"), F.lit(False))
+    if strict:
+        df = settled(df, {"_own": _first(F.filter("ledger", lambda s: s["seat"] == F.col("p.seat")))})
+        won, invested = (F.col(f"_own.{c}").cast("double") for c in ("collected", "invested"))
+        showdown = F.col("_own.live") & (F.size(F.filter("ledger", lambda s: s["live"])) > 1)
     position, name = F.col("p.position"), F.col("p.name")
     later_raises = F.slice("_raises", 2, F.greatest(F.size("_raises"), F.lit(1)))
     spelled = F.transform(
@@ -472,7 +488,7 @@ def build_players(parsed: DataFrame) -> DataFrame:
         F.coalesce(position == "BB", F.lit(False)).alias("is_bb"),
         F.col("p.stack").cast("double").alias("chips_start"),
         F.array_join(_words(cards), "").alias("hole_cards"),
-        F.coalesce(~F.col("_result.folded"), F.lit(False)).alias("went_to_showdown"),
+        showdown.alias("went_to_showdown"),
         (won > 0).alias("won_hand"),
         won.alias("amount_won"),
         invested.alias("total_invested"),

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from workload import basics, gold, linking, models, parsing, tables_io  # noqa: F401
+from workload import basics, gold, ledger, linking, models, parsing, tables_io  # noqa: F401
