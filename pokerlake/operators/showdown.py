@@ -1,7 +1,9 @@
-"""Ranking poker hands over whole tables with array expressions."""
+"""Ranking poker hands over whole tables: sets of ranks as bits, looked up in constant tables."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,92 +27,120 @@ RANK_NAMES = [
 NO_RANK, NO_WINNER = 9999, -99
 
 
-def _values(cards: Column) -> Column:
-    return F.transform(cards, lambda c: F.instr(F.lit(RANKS), F.substring(c, 1, 1)) + 1)
+# A rank is a bit of 13 (the deuce is bit 0) and a digit of four bits (2 to 14).
+DIGIT = 4
+TOP = 16  # place of the first of five digits
 
 
-def _descending(values: Column) -> Column:
-    return F.sort_array(values, asc=False)
+def _ranks_of(mask: int) -> list[int]:
+    """Ranks of the bits of a mask, the highest first."""
+    return [bit + 2 for bit in range(12, -1, -1) if mask >> bit & 1]
 
 
-def _straight_high(values: Column) -> Column:
-    """Top rank of the best straight, NULL without one; the ace also counts as one.
+def _top_five(mask: int) -> int:
+    """The five highest ranks as digits, the first at the top."""
+    return sum(rank << (TOP - DIGIT * i) for i, rank in enumerate(_ranks_of(mask)[:5]))
 
-    Ranks are bits of one number; five set bits in a row survive four shifted ANDs.
-    """
-    bits = F.aggregate(
-        values,
-        F.lit(0),
-        lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1), v)).bitwiseOR(
-            F.when(v == 14, 2).otherwise(0)
-        ),
-    )
 
-    def runs(b: Column) -> Column:
-        for_all = b
-        for step in range(1, 5):
-            for_all = for_all.bitwiseAND(F.shiftright(b, step))
-        return for_all
+def _straight_top(mask: int) -> int:
+    """The top rank of the best straight, 0 without one; the ace also counts as one."""
+    held = {*_ranks_of(mask), *([1] if mask >> 12 & 1 else [])}
+    return max((top for top in range(5, 15) if held.issuperset(range(top - 4, top + 1))), default=0)
+
+
+@lru_cache(maxsize=None)
+def _spelled(rule) -> str:
+    return ",".join(str(rule(mask)) for mask in range(1 << 13))
+
+
+def _table(rule) -> Column:
+    """The rule for all sets of ranks, as an array that the optimizer folds into one constant."""
+    return F.split(F.lit(_spelled(rule)), ",").cast("array<int>")
+
+
+def _masks(cards: Column) -> Column:
+    """Sets of ranks held at least once to four times, ranks by suit (16 bits each) and cards by suit (a digit each)."""
+
+    def add(state: Column, card: Column) -> Column:
+        rank = F.instr(F.lit(RANKS), F.substring(card, 1, 1)) - 1
+        suit = F.instr(F.lit("cdhs"), F.substring(card, 2, 1)) - 1
+        bit = F.call_function("shiftleft", F.lit(1), rank)
+        held = [state[f"m{n}"] for n in range(1, 5)]
+        more = [below.bitwiseAND(bit).bitwiseOR(own).alias(f"m{n}") for n, (below, own) in enumerate(zip(held, held[1:], strict=False), 2)]
+        return F.struct(
+            held[0].bitwiseOR(bit).alias("m1"),
+            *more,
+            state["suited"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), suit * 16 + rank)).alias("suited"),
+            (state["count"] + F.call_function("shiftleft", F.lit(1), suit * DIGIT)).alias("count"),
+        )
 
-    return let(let(bits, runs), lambda r: F.when(r > 0, F.length(F.bin(r)) + 3))
+    none = F.struct(*[F.lit(0).alias(f"m{n}") for n in range(1, 5)], F.lit(0).cast("bigint").alias("suited"), F.lit(0).alias("count"))
+    return F.aggregate(cards, none, add)
 
 
 def hand_strength(cards: Column) -> Column:
-    """Comparable strength of the best five of the given cards.
+    """Comparable strength of the best five of the given cards, as one number.
 
-    A struct of ``-rank`` (rank 1 is best) and the ranks that break ties, so that the
-    larger struct is the better hand. Four of a kind compares by its rank alone: the
-    fifth card does not count.
+    ``10 - rank`` (rank 1 is best) stands above five digits with the ranks that break ties, so
+    that the larger number is the better hand. Four of a kind compares by its rank alone: the
+    fifth card does not count. Two tables over all sets of ranks, the five highest and the top
+    of the best straight, take the place of searches.
     """
+    top_five, straight = _table(_top_five), _table(_straight_top)
 
-    def by_groups(values: Column) -> Column:
-        groups = F.transform(
-            F.array_distinct(values),
-            lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), v.alias("v")),
-        )
-        return let(_descending(groups), lambda g: _grouped(values, g))
+    def at(table: Column, mask: Column) -> Column:
+        return F.get(table, mask.cast("int"))
 
-    def strength(rank: Column | int, ties: Column) -> Column:
-        rank = F.lit(rank) if isinstance(rank, int) else rank
-        return F.struct((-rank).cast("int").alias("order"), ties.cast("array<int>").alias("ties"))
-
-    def _grouped(values: Column, groups: Column) -> Column:
-        first, second = F.get(groups, F.lit(0)), F.get(groups, F.lit(1))
-        # Pair under a triple: the highest other rank held at least twice.
-        under = F.array_max(
-            F.transform(F.filter(groups, lambda g: (g["n"] >= 2) & (g["v"] != first["v"])), lambda g: g["v"])
+    def digit(rank: Column, place: int) -> Column:
+        return F.shiftleft(rank, TOP - DIGIT * place)
+
+    def made(m: Column) -> Column:
+        lanes = [F.shiftright(m["suited"], 16 * s).bitwiseAND(F.lit(8191)) for s in range(4)]
+        flushes = [F.when(F.shiftright(m["count"], DIGIT * s).bitwiseAND(F.lit(15)) >= 5, lane).otherwise(0) for s, lane in enumerate(lanes)]
+        return F.struct(
+            m["m1"].alias("all"),
+            m["m2"].alias("pairs"),
+            F.greatest(*[at(straight, f) for f in flushes]).alias("straight_flush"),
+            F.greatest(*[at(top_five, f) for f in flushes]).alias("flush"),
+            at(straight, m["m1"]).alias("straight"),
+            *[F.shiftright(at(top_five, m[f"m{n}"]), TOP).alias(name) for n, name in ((4, "four"), (3, "three"), (2, "two"))],
         )
 
-        def others(count: int, *used: Column) -> Column:
-            rest = F.filter(_descending(F.array_distinct(values)), lambda v: ~v.isin(*used))
-            return F.concat(F.array(*used), F.slice(rest, 1, count))
+    def without(mask: Column, *ranks: Column) -> Column:
+        for rank in ranks:
+            mask = mask.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1), rank - 2)))
+        return mask
 
-        def of_suit(suit: Column) -> Column:
-            return F.filter(cards, lambda c: F.substring(c, 2, 1) == suit)
+    def highest(mask: Column, count: int) -> Column:
+        """The highest ranks of a set as digits, the last at place 0."""
+        return F.shiftright(at(top_five, mask), TOP - DIGIT * (count - 1))
 
-        suited = F.filter(F.array(*map(F.lit, "cdhs")), lambda s: F.size(of_suit(s)) >= 5)
-        flushes = F.transform(suited, lambda s: _descending(_values(of_suit(s))))
-        return let(
-            F.struct(
-                F.array_max(F.transform(flushes, _straight_high)).alias("flush_top"),
-                F.array_max(F.transform(flushes, lambda ranks: F.slice(ranks, 1, 5))).alias("flush"),
-                _straight_high(values).alias("top"),
-            ),
-            lambda made: F.when(
-                made["flush_top"].isNotNull(),
-                strength(F.when(made["flush_top"] == 14, 1).otherwise(2), F.array(made["flush_top"])),
-            )
-            .when(first["n"] >= 4, strength(3, F.array(first["v"])))
-            .when((first["n"] == 3) & under.isNotNull(), strength(4, F.array(first["v"], under)))
-            .when(made["flush"].isNotNull(), strength(5, made["flush"]))
-            .when(made["top"].isNotNull(), strength(6, F.array(made["top"])))
-            .when(first["n"] == 3, strength(7, others(2, first["v"])))
-            .when((first["n"] == 2) & (second["n"] == 2), strength(8, others(1, first["v"], second["v"])))
-            .when(first["n"] == 2, strength(9, others(3, first["v"])))
-            .otherwise(strength(10, F.slice(_descending(values), 1, 5))),
+    def strength(rank: Column | int, ties: Column) -> Column:
+        return F.shiftleft(10 - (F.lit(rank) if isinstance(rank, int) else rank), TOP + DIGIT).bitwiseOR(ties)
+
+    def scored(m: Column) -> Column:
+        three, two = m["three"], m["two"]
+        # Further ranks held twice, below the triple and below the higher pair.
+        under, second = without(m["pairs"], three), without(m["pairs"], two)
+        low = highest(second, 1)
+        return (
+            F.when(m["straight_flush"] > 0, strength(F.when(m["straight_flush"] == 14, 1).otherwise(2), digit(m["straight_flush"], 0)))
+            .when(m["four"] > 0, strength(3, digit(m["four"], 0)))
+            .when((three > 0) & (under > 0), strength(4, digit(three, 0).bitwiseOR(digit(highest(under, 1), 1))))
+            .when(m["flush"] > 0, strength(5, m["flush"]))
+            .when(m["straight"] > 0, strength(6, digit(m["straight"], 0)))
+            .when(three > 0, strength(7, digit(three, 0).bitwiseOR(digit(highest(without(m["all"], three), 2), 2))))
+            .when((two > 0) & (second > 0), strength(8, digit(two, 0).bitwiseOR(digit(low, 1)).bitwiseOR(digit(highest(without(m["all"], two, low), 1), 2))))
+            .when(two > 0, strength(9, digit(two, 0).bitwiseOR(digit(highest(without(m["all"], two), 3), 3))))
+            .otherwise(strength(10, at(top_five, m["all"])))
         )
 
-    return let(_values(cards), by_groups)
+    return let(let(_masks(cards), made), scored)
+
+
+def rank_of(strength: Column) -> Column:
+    """Rank 1 (best) to 10 of a strength."""
+    return 10 - F.shiftright(strength, TOP + DIGIT)
 
 
 def _name(rank: Column, names: list[str] = RANK_NAMES) -> Column:
@@ -128,7 +158,7 @@ def with_hand_rank(df: DataFrame, hole: str, board: str, out: str = "evaluation"
 
     def evaluate(held: Column) -> Column:
         enough = (F.size(held["hole"]) >= 2) & (F.size(held["board"]) >= 3)
-        rank = let(hand_strength(F.concat(held["hole"], held["board"])), lambda s: -s["order"])
+        rank = rank_of(hand_strength(F.concat(held["hole"], held["board"])))
         valid = let(
             rank,
             lambda r: F.struct(
@@ -180,10 +210,10 @@ def with_showdown(df: DataFrame, hero: str, opponents: str, board: str, out: str
         )
         return F.struct(
             index.cast("int").alias("winner_index"),
-            (-hero["order"]).alias("hero_rank"),
-            _name(-hero["order"], names).alias("hero_hand"),
-            (-best["order"]).alias("winning_rank"),
-            _name(-best["order"], names).alias("winning_hand"),
+            rank_of(hero).alias("hero_rank"),
+            _name(rank_of(hero), names).alias("hero_hand"),
+            rank_of(best).alias("winning_rank"),
+            _name(rank_of(best), names).alias("winning_hand"),
             (hero >= best).alias("hero_would_win"),
         )
 

@@ -145,37 +145,34 @@ cte("fx_fold_rows", """
     WHERE h.hero_result = 'folded' AND length(h.board) = 10
       AND EXISTS (SELECT 1 FROM fx_hand_actions a WHERE a.hand_id = h.hand_id AND a.is_hero AND a.action_type = 'fold')""")
 def rank_ctes(prefix: str, hands: str) -> None:
-    """``<prefix>_rank`` (hand_id, side, rank, ties) of the texts in ``hands`` (hand_id, side, cards of seven)."""
-    seven, counts, flush, straight = (f"{prefix}_{x}" for x in ("seven", "counts", "flush", "straight"))
-    cte(seven, f"""
-        SELECT hand_id, side, strpos('23456789TJQKA', substr(cards, 2 * i - 1, 1)) + 1 AS r, substr(cards, 2 * i, 1) AS u
-        FROM ({hands}) x CROSS JOIN range(1, 8) t(i)""")
-    cte(counts, f"""
-        SELECT hand_id, side, list(struct_pack(c := c, r := r) ORDER BY c DESC, r DESC) AS g
-        FROM (SELECT hand_id, side, r, COUNT(*) AS c FROM {seven} GROUP BY ALL) x GROUP BY hand_id, side""")
-    cte(flush, f"SELECT hand_id, side, u, list(r ORDER BY r DESC)[1:5] AS top FROM {seven} GROUP BY ALL HAVING COUNT(*) >= 5")
-    cte(straight, f"""
-        SELECT hand_id, side, suit, MAX(top) AS top FROM (
-            SELECT v.hand_id, v.side, v.suit, t.top FROM (
-                SELECT hand_id, side, '*' AS suit, r FROM {seven} UNION SELECT hand_id, side, u, r FROM {seven}
-                UNION SELECT hand_id, side, '*', 1 FROM {seven} WHERE r = 14 UNION SELECT hand_id, side, u, 1 FROM {seven} WHERE r = 14) v
-            CROSS JOIN range(5, 15) t(top) WHERE v.r BETWEEN t.top - 4 AND t.top
-            GROUP BY ALL HAVING COUNT(DISTINCT v.r) = 5) x GROUP BY ALL""")
-    cte(f"{prefix}_rank", f"""
-        SELECT c.hand_id, c.side,
-               CASE WHEN sf.top = 14 THEN 1 WHEN sf.top IS NOT NULL THEN 2 WHEN g[1].c = 4 THEN 3
-                    WHEN g[1].c = 3 AND g[2].c >= 2 THEN 4 WHEN f.top IS NOT NULL THEN 5 WHEN s.top IS NOT NULL THEN 6
-                    WHEN g[1].c = 3 THEN 7 WHEN g[2].c = 2 THEN 8 WHEN g[1].c = 2 THEN 9 ELSE 10 END AS rank,
-               CASE WHEN sf.top IS NOT NULL THEN [sf.top] WHEN g[1].c = 4 THEN [g[1].r]
+    """``<prefix>_rank`` (hand_id, side, rank, strength) of the texts in ``hands`` (hand_id, side, cards of seven).
+
+    Lists within the row, no join. The strength packs the rank and the ranks that break ties in one number, the larger the better.
+    """
+    top = "list_max([t FOR t IN range(5, 15) IF len([1 FOR k IN range(t - 4, t + 1) IF list_contains({ranks}, CASE k WHEN 1 THEN 14 ELSE k END)]) = 5])"
+    cte(f"{prefix}_seven", f"""
+        SELECT hand_id, side, [strpos('23456789TJQKA', substr(cards, 2 * i - 1, 1)) + 1 FOR i IN range(1, 8)] AS rs, [substr(cards, 2 * i, 1) FOR i IN range(1, 8)] AS us
+        FROM ({hands}) x""")
+    cte(f"{prefix}_groups", f"""
+        SELECT hand_id, side, rs, list_reverse_sort([{{'c': len([1 FOR x IN rs IF x = r]), 'r': r}} FOR r IN list_distinct(rs)]) AS g,
+               list_reverse_sort([rs[i] FOR i IN range(1, 8) IF len([1 FOR u IN us IF u = us[i]]) >= 5]) AS f
+        FROM {prefix}_seven""")
+    cte(f"{prefix}_made", f"""
+        SELECT hand_id, side, g, f, {top.format(ranks='rs')} AS st, {top.format(ranks='f')} AS sf FROM {prefix}_groups""")
+    cte(f"{prefix}_ties", f"""
+        SELECT hand_id, side,
+               CASE WHEN sf = 14 THEN 1 WHEN sf IS NOT NULL THEN 2 WHEN g[1].c = 4 THEN 3 WHEN g[1].c = 3 AND g[2].c >= 2 THEN 4 WHEN len(f) > 0 THEN 5
+                    WHEN st IS NOT NULL THEN 6 WHEN g[1].c = 3 THEN 7 WHEN g[2].c = 2 THEN 8 WHEN g[1].c = 2 THEN 9 ELSE 10 END AS rank,
+               CASE WHEN sf IS NOT NULL THEN [sf] WHEN g[1].c = 4 THEN [g[1].r]
                     WHEN g[1].c = 3 AND g[2].c >= 2 THEN [g[1].r, list_max([x.r FOR x IN g[2:] IF x.c >= 2])]
-                    WHEN f.top IS NOT NULL THEN f.top WHEN s.top IS NOT NULL THEN [s.top]
+                    WHEN len(f) > 0 THEN f[1:5] WHEN st IS NOT NULL THEN [st]
                     WHEN g[1].c = 3 THEN [g[1].r, g[2].r, g[3].r]
                     WHEN g[2].c = 2 THEN [g[1].r, g[2].r, list_max([x.r FOR x IN g[3:]])]
                     ELSE [x.r FOR x IN g][1:CASE WHEN g[1].c = 2 THEN 4 ELSE 5 END] END AS ties
-        FROM {counts} c
-        LEFT JOIN {straight} s ON s.hand_id = c.hand_id AND s.side = c.side AND s.suit = '*'
-        LEFT JOIN {straight} sf ON sf.hand_id = c.hand_id AND sf.side = c.side AND sf.suit <> '*'
-        LEFT JOIN {flush} f ON f.hand_id = c.hand_id AND f.side = c.side""")
+        FROM {prefix}_made""")
+    cte(f"{prefix}_rank", f"""
+        SELECT hand_id, side, rank, list_reduce(list_concat([(10 - rank)::BIGINT], [COALESCE(ties[i], 0)::BIGINT FOR i IN range(1, 6)]), lambda x, y: 15 * x + y) AS strength
+        FROM {prefix}_ties""")
 
 
 rank_ctes("fx", """SELECT hand_id, 'hero' AS side, hero_cards || board AS cards FROM fx_fold_rows
@@ -184,9 +181,8 @@ cte("fx_sim", """
     SELECT w.hand_id, h.rank AS hero_rank, r.rank AS rival_rank,
            [NULL, 'Straight Flush', 'Straight Flush', 'Four of a Kind', 'Full House', 'Flush', 'Straight', 'Three of a Kind',
             'Two Pair', 'One Pair', 'High Card'][h.rank + 1] AS hero_hand,
-           CASE WHEN r.rank IS NULL THEN NULL ELSE h.rank < r.rank OR (h.rank = r.rank AND h.ties >= r.ties) END AS hero_wins,
-           CASE WHEN h.rank < r.rank OR (h.rank = r.rank AND h.ties > r.ties) THEN 0
-                WHEN h.rank = r.rank AND h.ties = r.ties THEN -1 WHEN r.rank IS NOT NULL THEN 1 END AS winner_index
+           CASE WHEN r.rank IS NULL THEN NULL ELSE h.strength >= r.strength END AS hero_wins,
+           CASE WHEN h.strength > r.strength THEN 0 WHEN h.strength = r.strength THEN -1 WHEN r.rank IS NOT NULL THEN 1 END AS winner_index
     FROM fx_fold_rows w JOIN fx_rank h ON h.hand_id = w.hand_id AND h.side = 'hero'
     LEFT JOIN fx_rank r ON r.hand_id = w.hand_id AND r.side = 'rival'""")
 

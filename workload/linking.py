@@ -93,12 +93,11 @@ def _(t):
 
 
 @query("udf3_showdown", f"""
-    SELECT h.hand_id, CASE WHEN r.rank < h.rank OR (r.rank = h.rank AND r.ties > h.ties) THEN r.side
-                           WHEN r.rank = h.rank AND r.ties = h.ties THEN -1 ELSE 0 END::BIGINT AS winner_index,
+    SELECT h.hand_id, CASE WHEN r.strength > h.strength THEN r.side WHEN r.strength = h.strength THEN -1 ELSE 0 END::BIGINT AS winner_index,
            h.rank::BIGINT AS hero_rank, {NAMES}[h.rank] AS hero_hand, least(h.rank, r.rank)::BIGINT AS winning_rank,
-           {NAMES}[least(h.rank, r.rank)] AS winning_hand, h.rank < r.rank OR (h.rank = r.rank AND h.ties >= r.ties) AS hero_would_win
+           {NAMES}[least(h.rank, r.rank)] AS winning_hand, h.strength >= r.strength AS hero_would_win
     FROM (SELECT * FROM fx_all_rank WHERE side = 0) h
-    JOIN (SELECT * FROM fx_all_rank WHERE side > 0 QUALIFY row_number() OVER (PARTITION BY hand_id ORDER BY rank, ties DESC, side) = 1) r USING (hand_id)""")
+    JOIN (SELECT * FROM fx_all_rank WHERE side > 0 QUALIFY row_number() OVER (PARTITION BY hand_id ORDER BY strength DESC, side) = 1) r USING (hand_id)""")
 def _(t):
     seats = t.hand_players.groupBy("hand_id").agg(
         F.transform(
