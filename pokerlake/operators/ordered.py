@@ -1,11 +1,14 @@
 """Ordered calculations per key that stay bounded when one key holds most rows.
 
 A plain window sends a whole key to one task. Here the order itself is cut into slices of
-about ``SLICE_ROWS`` rows of the whole table, at points of a sample of fixed size, and a key
-falls into one group per slice. Each group is summed, the sums of a key are accumulated (a
-row per slice), and only the rows of one group are ever sorted together. The number of
-slices follows the row count inside the plan: a small table is one slice, and the plan is
-the same for every size. Nothing runs while the DataFrame is built.
+about ``SLICE_ROWS`` rows of the whole table, and a key falls into one group per slice. Each
+group is summed, the sums of a key are accumulated (a row per slice), and only the rows of
+one group are ever sorted together.
+
+The input is evaluated once: it is written to the shared folder, where its rows are counted,
+and the rows whose hash falls below a threshold that follows from the count, about ``SAMPLE``
+of all partitions together, give the points at which slices begin. Everything after that reads
+the written rows.
 """
 
 from __future__ import annotations
@@ -13,31 +16,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pokerlake.sinks.scratch import stored
+
 SLICE_ROWS = 1_000_000
 SAMPLE = 50_000
 BLOCK_ROWS = 100_000
 
 
-def slice_bounds(df: DataFrame, order: list[str], slice_rows: int = SLICE_ROWS, sample: int = SAMPLE) -> DataFrame:
+def slice_bounds(df: DataFrame, order: list[str], slices: int, every: int) -> DataFrame:
     """One row: ``_bounds``, ascending, the places of the order at which slices 1 and up begin.
 
-    The sample holds the rows with the smallest hashes, so it is the same for every run; it
-    has at most ``sample`` rows whatever the size of the table.
+    One row in ``every`` is a point, chosen by its hash, so that every run has the same ones.
     """
     point = F.struct(*order)
-    picked = df.select(point.alias("_point")).orderBy(F.xxhash64("_point")).limit(sample)
-    points = picked.agg(F.array_sort(F.collect_list("_point")).alias("_points"))
-    rows = df.agg(F.count(F.lit(1)).alias("_n"))
-    slices = F.least(F.ceil(F.col("_n") / slice_rows), F.size("_points"))
-    at = lambda i: F.element_at("_points", (1 + F.floor(i * F.size("_points") / slices)).cast("int"))
+    points = df.select(point.alias("_point")).filter(F.pmod(F.xxhash64("_point"), F.lit(every)) == 0)
+    row = points.agg(F.array_sort(F.collect_list("_point")).alias("_points"))
+    at = lambda i: F.try_element_at("_points", (1 + F.floor(i * F.size("_points") / slices)).cast("int"))
     # Sequences cannot be empty, so the first item is left out afterwards.
-    bounds = F.transform(F.sequence(F.lit(0), F.greatest(slices - 1, F.lit(0))), lambda i: F.when(i > 0, at(i)))
-    return points.crossJoin(rows).select(F.array_distinct(F.filter(bounds, lambda b: b.isNotNull())).alias("_bounds"))
+    bounds = F.transform(F.sequence(F.lit(0), F.lit(max(slices - 1, 0))), lambda i: F.when(i > 0, at(i)))
+    return row.select(F.array_distinct(F.filter(bounds, lambda b: b.isNotNull())).alias("_bounds"))
 
 
-def slice_number(point: Column, bounds: Column) -> Column:
+def slice_number(point: Column, bounds: Column, slices: int) -> Column:
     """Number of bounds up to the point, by bisection."""
-    steps = F.array(*[F.lit(1 << i) for i in range(SAMPLE.bit_length(), -1, -1)])
+    steps = F.array(*[F.lit(1 << i) for i in range(slices.bit_length() - 1, -1, -1)])
 
     def step(passed: Column, width: Column) -> Column:
         further = passed + width
@@ -47,8 +49,14 @@ def slice_number(point: Column, bounds: Column) -> Column:
 
 
 def _sliced(df: DataFrame, order: list[str], slice_rows: int) -> DataFrame:
-    bounds = F.broadcast(slice_bounds(df, order, slice_rows))  # one row of at most SAMPLE points
-    return df.crossJoin(bounds).withColumn("_slice", slice_number(F.struct(*order), F.col("_bounds"))).drop("_bounds")
+    """The rows, written once, with ``_slice``."""
+    kept = stored(df, "ordered")
+    rows = kept.count()
+    slices = -(-rows // slice_rows)
+    if slices <= 1:  # no place to begin another slice at
+        return kept.withColumn("_slice", F.lit(0))
+    bounds = F.broadcast(stored(slice_bounds(kept, order, slices, max(1, rows // SAMPLE)), "bounds"))  # one row, at most a point per slice
+    return kept.crossJoin(bounds).withColumn("_slice", slice_number(F.struct(*order), F.col("_bounds"), slices)).drop("_bounds")
 
 
 def _group(keys: list[str]) -> Column:
@@ -62,16 +70,19 @@ def running(
     sums: dict[str, Column] | None = None,
     number: str | None = None,
     total: str | None = None,
+    lags: dict[str, str] | None = None,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Add running sums, the row number and the row count of each key, the latter two as bigint.
+    """Add running sums, the row number and the row count of each key (bigint), and values of the row before.
 
     ``order`` must end with a unique column, so that equal times have one order.
     """
-    sums = sums or {}
+    sums, lags = sums or {}, lags or {}
     sliced = _sliced(df, order, slice_rows).withColumn("_group", _group(keys))
     parts = sliced.groupBy("_group", "_slice").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()]
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()],
+        *[F.max_by(F.struct(F.col(source)), F.struct(*order)).alias(f"_last_{n}") for n, source in lags.items()],
     )
     before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
@@ -80,6 +91,7 @@ def running(
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.sum("_rows").over(Window.partitionBy("_group")).alias("_rows_all"),
         *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in sums],
+        *[F.lag(f"_last_{n}").over(Window.partitionBy("_group").orderBy("_slice"))[source].alias(f"_lag_{n}") for n, source in lags.items()],
     )
     inside = Window.partitionBy("_group", "_slice").orderBy(*order)
     rows = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -88,6 +100,9 @@ def running(
         # NULL only while no value has been seen, as in a plain window sum.
         here, earlier = F.sum(value).over(rows), F.col(f"_before_{name}")
         added[name] = F.coalesce(here + earlier, here, earlier)
+    for name, source in lags.items():
+        # The first row of a slice follows the last one of the key's slice before.
+        added[name] = F.when(F.row_number().over(inside) == 1, F.col(f"_lag_{name}")).otherwise(F.lag(source).over(inside))
     if number:
         added[number] = F.col("_rows_before") + F.row_number().over(inside)
     if total:

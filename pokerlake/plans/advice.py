@@ -273,8 +273,8 @@ def tilt_detection(
         hands, hand_players, ["tournament_id", "hand_timestamp", "hero_result", "big_blind"], ["net_profit"]
     )
     keys, order = ["tournament_id"], ["hand_timestamp", "hand_id"]
-    sessions = running(dealt, keys, order, {"running_profit": F.col("net_profit")}, number="nr", slice_rows=slice_rows)
-    sessions = lookback(sessions, keys, order, lags={"previous_profit": "net_profit"}, number="nr")
+    sums, lags = {"running_profit": F.col("net_profit")}, {"previous_profit": "net_profit"}
+    sessions = running(dealt, keys, order, sums, lags=lags, slice_rows=slice_rows)
     profit, big = F.col("running_profit"), F.col("big_blind")
     sessions = sessions.select(
         "hand_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.labels import sample_confidence
 from pokerlake.functions.numbers import pct, rounded
-from pokerlake.operators.ordered import SLICE_ROWS, running, top
+from pokerlake.operators.ordered import top
 from pokerlake.plans.features import HAND_FEATURES, PLAYER_FEATURES
+from pokerlake.sinks.scratch import stored
 
 # Training settings of the two models.
 MIN_HANDS = 10
@@ -25,6 +27,8 @@ MIN_K = 3
 K_VALUES = range(2, 9)
 SEED = 42
 TREES, DEPTH, MIN_SPLIT = 100, 10, 20
+#: Bins of a pass that narrows a median.
+BINS = 4096
 
 # Cluster names, descriptions and advice against them.
 PROFILES = {
@@ -43,32 +47,55 @@ def trainable(features: DataFrame, min_hands: int = MIN_HANDS) -> DataFrame:
     return features.filter(F.col("total_hands") >= min_hands)
 
 
-def medians(df: DataFrame, columns: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Exact medians, one row with a column each.
+def medians(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
+    """Exact medians, one row with a column each; NULL for a column without values.
 
-    Equal values are counted first; the middle ranks are then read off running counts, so
-    no task holds the values of a whole column.
+    The rank of a middle value is narrowed from the column's range to one bin of a histogram,
+    from that bin's range to a bin of it, and so on until the bin holds one value only. A pass is
+    one aggregation into ``bins`` rows per column and rank; no values are sorted or kept, and
+    two numbers per column and rank pass through the driver. NaN counts as missing, infinite
+    values as the largest finite ones.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
-    counted = (
-        df.select(F.explode(pairs).alias("p"))
-        .select("p.*")
-        .filter("value IS NOT NULL")
-        .groupBy("name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = running(counted, ["name"], ["value"], {"upto": F.col("n")}, slice_rows=slice_rows)
-    # One row per column name: safe to broadcast.
-    sizes = F.broadcast(counted.groupBy("name").agg(F.sum("n").alias("size")))
-
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= rank, F.col("value")))
-
-    size = F.col("size")
-    middle = upto.join(sizes, "name").groupBy("name").agg(
-        ((at_rank(F.floor((size + 1) / 2)) + at_rank(F.floor((size + 2) / 2))) / 2).alias("median")
-    )
-    return middle.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
+    if bins < 2:
+        raise ValueError("a pass needs two bins to narrow anything")
+    kept = stored(df.select(*[_finite(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)]), "values")
+    ends = kept.agg(*[f(f"c{i}").alias(f"{f.__name__}{i}") for i in range(len(columns)) for f in (F.count, F.min, F.max)]).first()
+    open_ranks, found = [], {}
+    for i in range(len(columns)):
+        n = ends[f"count{i}"]
+        for rank in {(n + 1) // 2, (n + 2) // 2} if n else ():
+            open_ranks.append((i, rank, ends[f"min{i}"], ends[f"max{i}"], 0))
+    ranks = {i: [r for j, r, *_ in open_ranks if j == i] for i in range(len(columns))}
+    while open_ranks:
+        found |= {(i, rank): low for i, rank, low, high, _ in open_ranks if low == high}
+        open_ranks = [x for x in open_ranks if x[2] < x[3]]
+        if open_ranks:
+            open_ranks = _narrowed(kept, open_ranks, bins)
+    values = [sum(found[i, r] / len(ranks[i]) for r in ranks[i]) if ranks[i] else None for i in range(len(columns))]
+    return df.sparkSession.createDataFrame([values], ", ".join(f"`{c}` double" for c in columns))
+
+
+def _finite(value: Column) -> Column:
+    value, largest = value.cast("double"), sys.float_info.max
+    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.least(value, F.lit(largest)), F.lit(-largest)))
+
+
+def _narrowed(kept: DataFrame, open_ranks: list[tuple], bins: int) -> list[tuple]:
+    """One pass: (column, rank, low, high, rows below) for the bins that hold the ranks."""
+    asked = []
+    for nr, (i, rank, low, high, below) in enumerate(open_ranks):
+        value = F.col(f"c{i}")
+        # Halves, so that the width of the whole range of doubles is finite.
+        share = (value / 2 - low / 2) / (high / 2 - low / 2)
+        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+        asked.append(F.when((value >= low) & (value <= high), F.struct(F.lit(nr).alias("nr"), bin_.alias("bin"), value.alias("value"))))
+    hits = kept.select(F.explode(F.array_compact(F.array(*asked))).alias("x")).select("x.*")
+    counted = hits.groupBy("nr", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    upto = F.sum("n").over(Window.partitionBy("nr").orderBy("bin"))  # at most ``bins`` rows each
+    wanted = F.element_at(F.array(*[F.lit(rank - below) for _, rank, _, _, below in open_ranks]), F.col("nr") + 1)
+    held = counted.withColumn("upto", upto).filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted))
+    rows = {r["nr"]: r for r in held.collect()}
+    return [(i, rank, rows[nr]["low"], rows[nr]["high"], below + rows[nr]["upto"] - rows[nr]["n"]) for nr, (i, rank, _, _, below) in enumerate(open_ranks)]
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:

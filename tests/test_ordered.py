@@ -1,7 +1,9 @@
 """Split and plain plans give the same rows, also when one key holds most of them."""
 
 import random
+import sys
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,41 @@ def test_running_split_equals_plain(spark):
 
 
 def test_slices_are_bounded(spark):
-    bounds = slice_bounds(rows(spark), ["at", "id"], slice_rows=50).first()[0]
+    bounds = slice_bounds(rows(spark), ["at", "id"], 10, 1).first()[0]
     assert len(bounds) == 9 and bounds == sorted(bounds, key=lambda b: (b.at, b.id))
     slices = _sliced(rows(spark), ["at", "id"], 50).groupBy("_slice").count().collect()
     assert len(slices) == 10 and max(r["count"] for r in slices) <= 60
-    assert slice_bounds(rows(spark).limit(0), ["at", "id"]).first()[0] == []
+    assert slice_bounds(rows(spark).limit(0), ["at", "id"], 10, 1).first()[0] == []
+
+
+def test_points_are_a_share_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr("pokerlake.operators.ordered.SAMPLE", 200)
+    df = spark.range(20_000, numPartitions=16).withColumn("at", F.col("id") % 97)
+    points = df.filter(F.pmod(F.xxhash64(F.struct("at", "id")), F.lit(100)) == 0).count()
+    assert 150 < points < 250  # of all partitions together
+    slices = _sliced(df, ["at", "id"], 1_000).groupBy("_slice").count().collect()
+    assert len(slices) == 20 and max(r["count"] for r in slices) < 2_500
+
+
+def test_the_input_is_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(300).select(watched("id").alias("id"), (F.col("id") % 3).alias("key"))
+    running(df, ["key"], ["id"], {"total": F.col("id")}, number="nr", total="n", lags={"before": "id"}, slice_rows=40).collect()
+    assert seen.value == 300
+
+
+def test_previous_values_across_slices(spark):
+    df = rows(spark)
+    window = Window.partitionBy("key").orderBy("at", "id")
+    plain = table(df.withColumn("before", F.lag("x").over(window)))
+    for size in (1, 7, 60, 1_000_000):
+        assert table(running(df, ["key"], ["at", "id"], lags={"before": "x"}, slice_rows=size)) == plain
 
 
 def test_lookback_split_equals_plain(spark):
@@ -81,11 +113,37 @@ def test_rank_filter_reaches_below_the_shuffle(spark):
 
 def test_medians(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (10.0, 3.0), (4.0, 2.0), (None, None)], "a double, b double")
-    for size in (1, 2, 1_000):
-        assert tuple(medians(df, ["a", "b"], size).first()) == (3.0, 2.0)
+    for bins in (2, 3, 1_000):
+        assert tuple(medians(df, ["a", "b"], bins).first()) == (3.0, 2.0)
     assert sorted(r.b for r in impute_median(df, ["a", "b"]).collect()) == [1.0, 2.0, 2.0, 2.0, 3.0]
 
 
+def test_medians_by_bisection(spark):
+    rng, nan, inf = random.Random(3), float("nan"), float("inf")
+    columns = {
+        "even": [float(x) for x in range(400)],
+        "ties": [rng.choice([1.0, 2.0, 2.0, 5.0]) for _ in range(400)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(400)],
+        "close": [1 + i * 2.0**-52 for i in range(400)],
+        "odd": [rng.choice([None, nan, 7.5, -3.0]) for _ in range(400)],
+        "ends": [rng.choice([inf, -inf, 0.0]) for _ in range(399)] + [0.0],
+        "none": [None] * 400,
+        "same": [4.0] * 400,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"`{c}` double" for c in columns)).repartition(5)
+
+    def middle(values):
+        held = sorted(max(min(v, sys.float_info.max), -sys.float_info.max) for v in values if v is not None and v == v)
+        return held[(len(held) - 1) // 2] / 2 + held[len(held) // 2] / 2 if held else None
+
+    want = [middle(v) for v in columns.values()]
+    for bins in (7, 4096):
+        assert list(medians(df, list(columns), bins).first()) == want
+    assert list(medians(df.limit(0), ["even"]).first()) == [None]
+    with pytest.raises(ValueError):
+        medians(df, ["even"], 1)
+
+
 def test_elbow_and_outliers(spark):
     inertia = [100, 60, 40, 38, 37, 36, 35]
     search = spark.createDataFrame(list(zip(range(2, 9), map(float, inertia))), "k int, inertia double")

@@ -93,7 +93,7 @@ def _(t):
 
 @query("agg20_median_split", "SELECT median(o_totalprice) AS o_totalprice, median(o_custkey::DOUBLE) AS o_custkey FROM orders")
 def _(t):
-    return models.medians(t.orders, ["o_totalprice", "o_custkey"], slice_rows=500)
+    return models.medians(t.orders, ["o_totalprice", "o_custkey"], bins=16)
 
 
 @query("ml5_standard_scaling", f"""
