@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -53,7 +54,8 @@ def medians(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
     The rank of a middle value is narrowed from the column's range to one bin of a histogram,
     from that bin's range to a bin of it, and so on until the bin holds one value only. A pass is
     one aggregation into ``bins`` rows per column and rank; no values are sorted or kept, and
-    two numbers per column and rank pass through the driver. NaN counts as missing, infinite
+    two numbers per column and rank pass through the driver. A range that spans orders of
+    magnitude is cut on a logarithmic scale, so that a handful of passes do for any doubles. NaN counts as missing, infinite
     values as the largest finite ones.
     """
     if bins < 2:
@@ -80,14 +82,22 @@ def _finite(value: Column) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.least(value, F.lit(largest)), F.lit(-largest)))
 
 
+def _share(value: Column, low: float, high: float, bins: int) -> Column:
+    """Place of the value between ``low`` (0) and ``high`` (1), rising, evenly or by its logarithm."""
+    if low * high > 0 and max(low / high, high / low) <= bins:
+        # Halves, so that the width of the whole range of doubles is finite.
+        return (value / 2 - low / 2) / (high / 2 - low / 2)
+    level = lambda x: math.copysign(math.log(abs(x)) + 750, x) if x else 0.0
+    at = F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.ln(F.abs(value)) + 750))
+    return (at - level(low)) / (level(high) - level(low))
+
+
 def _narrowed(kept: DataFrame, open_ranks: list[tuple], bins: int) -> list[tuple]:
     """One pass: (column, rank, low, high, rows below) for the bins that hold the ranks."""
     asked = []
     for nr, (i, rank, low, high, below) in enumerate(open_ranks):
         value = F.col(f"c{i}")
-        # Halves, so that the width of the whole range of doubles is finite.
-        share = (value / 2 - low / 2) / (high / 2 - low / 2)
-        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+        bin_ = F.greatest(F.least(F.floor(_share(value, low, high, bins) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
         asked.append(F.when((value >= low) & (value <= high), F.struct(F.lit(nr).alias("nr"), bin_.alias("bin"), value.alias("value"))))
     hits = kept.select(F.explode(F.array_compact(F.array(*asked))).alias("x")).select("x.*")
     counted = hits.groupBy("nr", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
