@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pokerlake.llm.common import components, in_blocks, stored
-from pokerlake.llm.words import U64, Words, mixed, rolling_hashes, text_slices, word_hashes, words_of
+from pokerlake.llm.words import U64, Words, mixed, rolling_hashes, text_slices, tidy, word_hashes, words_of
 
 RUN = 5
 SIMILARITY = 0.8
@@ -43,6 +43,8 @@ REGISTERS = 160
 FINE = 1024
 BANDS = 32
 BLOCK = 512
+#: Rows whose registers are held together: 16 bytes each.
+SIGNED_ROWS, MARKED_ROWS = 8_000, 1_250
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -101,9 +103,10 @@ def probability_jaccard(a_runs, a_weights, b_runs, b_weights) -> float:
 SIGNED = "doc_id long, first long, second long, bands array<long>"
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, part in text_slices(batch.column("text"), 4 << 20):
+        for low, part in text_slices(batch.column("text"), rows=SIGNED_ROWS):
             words = words_of(part)
             hashes = word_hashes(words)
             holder = prob_min_hash(len(part), *weighted_runs(words, hashes))
@@ -125,16 +128,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A byte of each of ``FINE`` registers, for texts that need a closer look."""
     for batch in batches:
-        for low, part in text_slices(batch.column("text")):
+        for low, part in text_slices(batch.column("text"), rows=MARKED_ROWS):
             words = words_of(part)
             holder = prob_min_hash(len(part), *weighted_runs(words, word_hashes(words)), FINE)
             marks = [m.tobytes() for m in (holder & U64(255)).astype(np.uint8)]
             yield pa.record_batch([batch.column("id").slice(low, len(part)), pa.array(marks, pa.binary())], names=["rep", "marks"])
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sets(texts: pa.Array):
         """Weighted runs of each text; neighbours with one text share the work."""

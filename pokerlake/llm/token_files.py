@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from pokerlake.llm.common import fresh_folder, slices_of, storage, stored
 from pokerlake.llm.subwords import ChunkEncoder
+from pokerlake.llm.words import tidy
 
 SEQUENCES_PER_BATCH = 512
 MANIFEST = "slice long, file string, documents_file string, documents long, tokens long, sequences long"
@@ -96,6 +97,7 @@ DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, length: int):
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = index = None
         documents = tokens = 0

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pokerlake.llm.common import free_name, stored
-from pokerlake.llm.words import PLAIN_LOWER, PLAIN_SPACE, U64, text_slices, word_hashes, words_of
+from pokerlake.llm.words import PLAIN_LOWER, PLAIN_SPACE, U64, text_slices, tidy, word_hashes, words_of
 
 MOST_PER_CLASS = 4_000
 LEAST_TOXIC = 20
@@ -44,6 +44,8 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 PAD = max(WIDTHS) - 1
+#: Text whose filter responses, about 200 bytes a word, are held together.
+SCORED_BYTES = 512 << 10
 
 
 def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -268,9 +270,10 @@ def scored(docs: DataFrame, model: TextCnn, column: str = "_score") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.scores(part) for _, part in text_slices(batch.column(at))]
+            parts = [shared.value.scores(part) for _, part in text_slices(batch.column(at), SCORED_BYTES)]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, column])
 

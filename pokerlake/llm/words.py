@@ -6,7 +6,9 @@ so memory does not follow the batch size; one text longer than a slice is a slic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +39,24 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) in slices of about ``size`` bytes; null texts are empty."""
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The step of a task, giving freed memory back to the system at its end: workers wait for their next task."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim:
+                trim(0)
+
+    return run
+
+
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) in slices of about ``size`` bytes and at most ``rows`` rows; null texts are empty."""
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())
     texts = texts.fill_null("")
@@ -46,7 +64,7 @@ def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int,
     at = 0
     while at < len(texts):
         stop = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
-        stop = min(max(stop, at + 1), len(texts))
+        stop = min(max(stop, at + 1), len(texts), at + (rows or len(texts)))
         yield at, texts.slice(at, stop - at)
         at = stop
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from pokerlake.llm import subwords, token_files
@@ -51,3 +52,25 @@ def test_forgotten_chunks_are_learnt_again(monkeypatch):
         ids, counts = encoder.encode(pa.array(part))
         assert ids.tolist() == [x for t in part for x in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
         assert counts.sum() == len(ids)
+
+
+def test_capitals_stops_and_added_tokens_as_the_library_has_them():
+    import pyarrow as pa
+
+    encoder = subwords.ChunkEncoder(PATH)
+    assert encoder.cut and encoder.lower
+    texts = ["A,b.C d.,e f.'s g,'S H...i", "<|STARTOFTEXT|> <|startoftext|>.", "ÉA.b \u212a \u0130X ΑΣ.", "x.<|endoftext|>,Y", "a.b" * 400, ". , .a ,b"]
+    for part in (texts, texts[1:2], texts[:1]):
+        ids, counts = encoder.encode(pa.array(part))
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_tokenizers_that_look_across_spaces_are_refused(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    level = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, merges=[]))
+    level.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    level.save(str(tmp_path / "level.json"))
+    with pytest.raises(ValueError):
+        subwords.ChunkEncoder(str(tmp_path / "level.json"))
