@@ -145,3 +145,34 @@ def player_identity(screen_players: DataFrame, mapping: DataFrame, hand_players:
     rows = named.join(linked, "file_name").join(anonymous, ["hand_id", "seat"])
     first = first_per_key(rows, ["player_name", "hand_id"], ["file_name", "seat", "anonymous_id"])
     return first.select("player_name", "hand_id", "anonymous_id", "seat", "file_name")
+
+
+def resolved_names(identity: DataFrame, hands: DataFrame, min_hands: int = 1) -> DataFrame:
+    """Real names of anonymous ids for whole tournaments: tournament_id, anonymous_id, player_name, hands.
+
+    An id stands for one player throughout a tournament, but only hands with a capture show a
+    name, and a capture can be linked to the wrong hand. So every hand of ``identity`` votes:
+
+    * an id takes a name that more than half of its hands show, in ``min_hands`` of them at least;
+    * where a name wins several ids of a tournament, the id with the most hands keeps it, and none
+      does if the first two have equally many.
+
+    Both rules are aggregations by keys of the tournament; no rows of a key meet unsummed.
+    """
+    voted = identity.join(hands.select("hand_id", "tournament_id"), "hand_id").select("tournament_id", "anonymous_id", "player_name", "hand_id")
+    votes = voted.distinct().groupBy("tournament_id", "anonymous_id", "player_name").agg(F.count(F.lit(1)).alias("hands"))
+    by_id = votes.groupBy("tournament_id", "anonymous_id").agg(F.max(F.struct("hands", "player_name")).alias("best"), F.sum("hands").alias("all"))
+    won = by_id.filter((F.col("best.hands") * 2 > F.col("all")) & (F.col("best.hands") >= min_hands))
+    won = won.select("tournament_id", "anonymous_id", F.col("best.player_name").alias("player_name"), F.col("best.hands").alias("hands"))
+    # Ids with equal numbers of hands become one row, so that a draw shows as a count above 1.
+    drawn = won.groupBy("tournament_id", "player_name", "hands").agg(F.min("anonymous_id").alias("anonymous_id"), F.count(F.lit(1)).alias("ids"))
+    kept = drawn.groupBy("tournament_id", "player_name").agg(F.max(F.struct("hands", "ids", "anonymous_id")).alias("best")).filter("best.ids = 1")
+    return kept.select("tournament_id", F.col("best.anonymous_id").alias("anonymous_id"), "player_name", F.col("best.hands").alias("hands"))
+
+
+def named_seats(hand_players: DataFrame, hands: DataFrame, names: DataFrame) -> DataFrame:
+    """``hand_players`` with the real name in place of the anonymous one wherever ``names`` has it, seen in a capture or not."""
+    keys = hands.select("hand_id", "tournament_id")
+    real = names.select("tournament_id", F.col("anonymous_id").alias("player_name"), F.col("player_name").alias("_real"))
+    named = hand_players.join(keys, "hand_id", "left").join(real, ["tournament_id", "player_name"], "left")
+    return named.withColumn("player_name", F.coalesce("_real", "player_name")).select(*hand_players.columns)

@@ -16,6 +16,7 @@ from pokerlake.functions.cards import (
 )
 from pokerlake.functions.labels import binned
 from pokerlake.functions.numbers import pct, ratio, rounded
+from pokerlake.operators.linking import named_seats
 from pokerlake.plans.parts import linked
 
 PLAYER_FEATURES = ["vpip_pct", "pfr_pct", "three_bet_pct", "aggression_factor", "wtsd_pct", "wsd_pct", "allin_pct"]
@@ -43,9 +44,13 @@ def hand_features(
     mapping: DataFrame,
     screenshots: DataFrame,
     player_clusters: DataFrame,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """One row per hand dealt to the hero: cards, seat, stack, table, raises and result.
 
+    Clusters go by real names, seats by anonymous ids, so that opponents mostly have the default
+    cluster; with ``names`` (``linking.resolved_names``) their seats carry the real names first.
+
     The hero sits in every hand and is left out before opponents meet their clusters.
     A hand seen in several captures has the stage of the earliest.
     """
@@ -55,9 +60,9 @@ def hand_features(
     )
     hero = hand_players.filter("is_hero").select("hand_id", "chips_start", "net_profit", "won_hand", "position")
     seats = hand_players.groupBy("hand_id").agg((F.count(F.lit(1)) - 1).alias("opponents"))
+    opponents = hand_players.filter("NOT is_hero").select("hand_id", "player_name")
     clustered = (
-        hand_players.filter("NOT is_hero")
-        .select("hand_id", "player_name")
+        (opponents if names is None else named_seats(opponents, hands, names))
         .join(player_clusters.select("player_name", "cluster_id"), "player_name")
         .groupBy("hand_id")
         .agg(F.avg("cluster_id").alias("mean_cluster"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pokerlake.operators.linking import interval_join, map_screenshots
+from pokerlake.operators.linking import interval_join, map_screenshots, named_seats, resolved_names
 
 START = 1_772_600_000
 
@@ -66,3 +66,22 @@ def test_interval_join_agrees_with_brute_force(spark):
         found = [(name, hand) for hand, hts, hhole, _ in hands if hole is not None and hole == hhole and abs(ts - hts) <= 40]
         want += found or [(name, "")]
     assert got == sorted(want)
+
+
+def test_names_spread_through_a_tournament(spark):
+    hands = spark.createDataFrame([(f"h{i}", i // 10) for i in range(40)], "hand_id string, tournament_id long")
+    seen = [
+        *[(f"h{i}", "a1", "ann") for i in (0, 1, 2)], ("h3", "a1", "bob"),  # three of four
+        ("h4", "a2", "bob"), ("h5", "a2", "cat"),  # no majority
+        *[(f"h{i}", "a3", "dan") for i in (6, 7)], ("h8", "a4", "dan"),  # a3 has more
+        ("h10", "a1", "eve"), ("h11", "a5", "eve"),  # a draw in another tournament
+        ("h20", "a1", "fay"), ("h20", "a1", "fay"),
+    ]
+    identity = spark.createDataFrame(seen, "hand_id string, anonymous_id string, player_name string")
+    names = resolved_names(identity, hands)
+    assert sorted(tuple(r) for r in names.collect()) == [(0, "a1", "ann", 3), (0, "a3", "dan", 2), (2, "a1", "fay", 1)]
+    assert sorted(tuple(r)[1:3] for r in resolved_names(identity, hands, min_hands=2).collect()) == [("a1", "ann"), ("a3", "dan")]
+    seats = spark.createDataFrame([("h9", 1, "a1"), ("h9", 2, "a2"), ("h19", 1, "a1"), ("h29", 1, "a1"), ("gone", 1, "a1")], "hand_id string, seat int, player_name string")
+    got = {(r.hand_id, r.seat): r.player_name for r in named_seats(seats, hands, names).collect()}
+    assert got == {("h9", 1): "ann", ("h9", 2): "a2", ("h19", 1): "a1", ("h29", 1): "fay", ("gone", 1): "a1"}
+    assert resolved_names(identity.limit(0), hands).collect() == []

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pokerlake.functions.cards import cards_to_array, norm_cards, norm_position
-from pokerlake.operators.linking import interval_join, match_confidence, match_method
+from pokerlake.operators.linking import interval_join, match_confidence, match_method, named_seats, resolved_names
 from pokerlake.operators.showdown import with_hand_rank, with_showdown
 from workload import derived as d
 from workload.gold import rank_ctes
-from workload.registry import query
+from workload.registry import cte, query
 
 CARDS = "least(substr(hero_cards, 1, 2), substr(hero_cards, 3, 2)) || greatest(substr(hero_cards, 1, 2), substr(hero_cards, 3, 2))"
 
@@ -68,6 +68,27 @@ def _(t):
     return d.identity(t)
 
 
+cte("fx_votes", """
+    SELECT h.tournament_id, i.anonymous_id, i.player_name, COUNT(DISTINCT i.hand_id) AS hands FROM fx_identity i JOIN fx_hands h USING (hand_id) GROUP BY 1, 2, 3""")
+cte("fx_names", """
+    SELECT tournament_id, anonymous_id, player_name, hands
+    FROM (SELECT *, RANK() OVER (PARTITION BY tournament_id, player_name ORDER BY hands DESC) AS place, COUNT(*) OVER (PARTITION BY tournament_id, player_name, hands) AS drawn
+          FROM (SELECT *, SUM(hands) OVER (PARTITION BY tournament_id, anonymous_id) AS all_hands FROM fx_votes) v WHERE 2 * hands > all_hands) w
+    WHERE place = 1 AND drawn = 1""")
+
+
+@query("lnk14_resolved_names", "SELECT * FROM fx_names")
+def _(t):
+    return resolved_names(d.identity(t), t.hands)
+
+
+@query("lnk14_named_seats", """
+    SELECT p.hand_id, p.seat::BIGINT AS seat, COALESCE(n.player_name, p.player_name) AS player_name
+    FROM fx_hand_players p JOIN fx_hands h USING (hand_id) LEFT JOIN fx_names n ON n.tournament_id = h.tournament_id AND n.anonymous_id = p.player_name""")
+def _(t):
+    return named_seats(t.hand_players.select("hand_id", "seat", "player_name"), t.hands, resolved_names(d.identity(t), t.hands))
+
+
 @query("udf1_cards_to_array", "SELECT hand_id, array_to_string([hero_cards[1:2], hero_cards[3:4], board_str[1:2], board_str[9:10]], ' ') AS cards FROM fx_hands")
 def _(t):
     # The same cards as upper case, spaced and JSON-list text.

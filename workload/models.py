@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pokerlake.functions.numbers import rounded
+from pokerlake.operators.linking import resolved_names
 from pokerlake.plans import features, models
 from pokerlake.plans.players import player_statistics
 from workload import derived as d
@@ -63,6 +64,19 @@ def _(t):
     return hand_features(t)
 
 
+@query("ml2_named_opponents", """
+    SELECT p.hand_id, COALESCE(AVG(c.cluster_id), 1)::DOUBLE AS avg_opponent_cluster
+    FROM fx_hand_players p JOIN fx_hands h USING (hand_id) LEFT JOIN fx_names n ON n.tournament_id = h.tournament_id AND n.anonymous_id = p.player_name
+    LEFT JOIN (SELECT DISTINCT name, substr(name, 7)::INT % 5 AS cluster_id FROM fx_screenshot_players) c ON c.name = n.player_name
+    WHERE NOT p.is_hero GROUP BY 1""")
+def _(t):
+    named = t.screenshot_players.select(F.col("name").alias("player_name")).distinct()
+    grouped = named.withColumn("cluster_id", F.substring("player_name", 7, 9).cast("int") % 5)
+    names = resolved_names(d.identity(t), t.hands)
+    rows = features.hand_features(t.hands, t.hand_players, t.hand_actions, d.mapping(t), t.screenshots, grouped, names)
+    return rows.select("hand_id", "avg_opponent_cluster")
+
+
 LETTER = "substr('23456789TJQKA', ({})::INT - 1, 1)"
 
 
