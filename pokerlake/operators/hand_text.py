@@ -394,7 +394,12 @@ def read_blocks(blocks: DataFrame, strict: bool = False) -> DataFrame:
 
 def parse_hands(bronze: DataFrame, strict: bool = False) -> DataFrame:
     """One nested row per readable hand of the raw files; ``strict`` adds the chips (``operators.chips``)."""
-    return read_blocks(hand_blocks(bronze), strict).filter("is_valid").drop("is_valid", "block")
+    return parse_blocks(hand_blocks(bronze), strict)
+
+
+def parse_blocks(blocks: DataFrame, strict: bool = False) -> DataFrame:
+    """As ``parse_hands``, from hand texts, such as ``sources.files.read_hand_blocks`` takes from large files."""
+    return read_blocks(blocks, strict).filter("is_valid").drop("is_valid", "block")
 
 
 def rejected_hands(bronze: DataFrame) -> DataFrame:

@@ -28,6 +28,35 @@ def read_text_files(spark: SparkSession, path: str, pattern: str | None = None)
     return envelope(reader.load(path))
 
 
+#: Fixed value: what a hand begins with, at the start of a line.
+HAND_START = "Poker Hand #"
+
+
+def read_hand_blocks(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """One row per hand text of large files: file_name, block_no, block.
+
+    A file is read by byte ranges, record by record, a record ending where the next line begins
+    with ``HAND_START``, so that neither a row nor a task grows with the file. A hand ends at its first
+    blank line. ``block_no`` is the byte at which the range begins plus the number of the record
+    within the task: it ascends along a file and is unique in it, but has gaps. Text in front of
+    the first hand of a file becomes a block that no parser accepts; blank ones are left out.
+    """
+    reader = spark.read.format("text").option("lineSep", f"\n{HAND_START}").option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    record = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"^[\s\uFEFF]+|\s+$", "")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # counts the rows of a task
+    rows = reader.load(path).select(
+        base_name(F.col("_metadata.file_path")).alias("file_name"),
+        (F.col("_metadata.file_block_start") + number).alias("block_no"),
+        record.alias("record"),
+    )
+    # Only the first record of a file still has its beginning.
+    whole = F.when(F.col("record").startswith(HAND_START), F.col("record")).otherwise(F.concat(F.lit(HAND_START), F.col("record")))
+    block = F.regexp_replace(F.get(F.split(whole, "\n\n+", 2), F.lit(0)), r"\s+$", "")
+    return rows.filter("record <> ''").select("file_name", "block_no", block.alias("block"))
+
+
 def preview_text_files(spark: SparkSession, path: str, n: int, pattern: str | None = None) -> DataFrame:
     """The first n files of a folder in the order of their paths; the others are listed, not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)

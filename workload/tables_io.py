@@ -11,7 +11,7 @@ from pokerlake.operators import hand_text, tournament_text
 from pokerlake.plans.features import player_features
 from pokerlake.plans.players import player_statistics
 from pokerlake.sinks import tables as sinks
-from pokerlake.sources.files import base_name, preview_text_files, read_text_files, scan
+from pokerlake.sources.files import base_name, preview_text_files, read_hand_blocks, read_text_files, scan
 from pokerlake.streaming.ingest import ingest_captures, ingest_hand_histories, ingest_tournament_summaries
 from workload import derived as d
 from workload import render
@@ -54,6 +54,16 @@ def _(t):
     return hand_ids(ingested(t, ingest_hand_histories, render.hand_files(t), "batch"))
 
 
+@query("src1_split_hand_files", """
+    SELECT hand_id, CAST(big_blind AS BIGINT) AS big_blind, CAST(total_pot AS BIGINT) AS total_pot, CAST(6 AS BIGINT) AS seats FROM fx_hands""")
+def _(t):
+    folder = f"{fresh_dir(t)}/histories"
+    # A few large files, cut by byte ranges when they are read.
+    render.hand_texts(t).select("block").repartition(3, "block").write.option("lineSep", "\n\n\n").text(folder)
+    parsed = hand_text.parse_blocks(read_hand_blocks(t.spark, folder, "*.txt"))
+    return parsed.select("hand_id", "big_blind", "total_pot", F.size("seats").alias("seats"))
+
+
 @query("src2_ingest_tournament_summaries", "SELECT * FROM fx_summaries".replace("*", "tournament_id, buyin_prize, hero_position, hero_prize, started_at"))
 def _(t):
     bronze = ingested(t, ingest_tournament_summaries, render.summary_files(t), "tournament_id")
