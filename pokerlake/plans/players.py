@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pokerlake.functions.cards import hand_category, hand_class, is_pair, is_suited, position_group
 from pokerlake.functions.labels import binned
 from pokerlake.functions.numbers import count_where, pct, rate, ratio, rounded
 from pokerlake.operators.lists import PART_ROWS, repeated_text
+from pokerlake.sinks.tables import write_batch
 
 
 def player_hand_stats(
@@ -54,71 +55,127 @@ def player_hand_stats(
     )
 
 
-def player_statistics(stats: DataFrame) -> DataFrame:
-    """All measures of a player in one aggregation, then the two labels."""
+def _shares() -> dict[str, tuple[Column, Column]]:
+    """Measures that are a share: the rows that count among the rows asked."""
     c = F.col
     rush, final = c("stage") == "rush", c("stage") == "final"
-    group = c("position_group")
-    stack = c("stack_bb")
-    shown = c("went_to_showdown")
-    measures = {
+    group, stack, shown, every = c("position_group"), c("stack_bb"), c("went_to_showdown"), F.lit(True)
+    of = {
+        "vpip_pct": (c("vpip"), every),
+        "pfr_pct": (c("pfr"), every),
+        "three_bet_pct": (c("three_bet"), every),
+        "wtsd_pct": (shown, every),
+        "wsd_pct": (c("won_hand"), shown),
+        "allin_pct": (c("went_allin"), every),
+        "open_raise_early_pct": (c("pfr"), group == "early"),
+        "open_raise_middle_pct": (c("pfr"), group == "middle"),
+        "open_raise_late_pct": (c("pfr"), group == "late"),
+        "sb_open_pct": (c("pfr"), c("position") == "SB"),
+        "bb_defend_pct": (c("vpip"), c("position") == "BB"),
+        "rush_vpip_pct": (c("vpip"), rush),
+        "rush_pfr_pct": (c("pfr"), rush),
+        "rush_3bet_pct": (c("three_bet"), rush),
+        "rush_allin_pct": (c("went_allin"), rush),
+        "rush_wtsd_pct": (shown, rush),
+        "rush_wsd_pct": (c("won_hand"), rush & shown),
+        "ft_vpip_pct": (c("vpip"), final),
+        "ft_pfr_pct": (c("pfr"), final),
+        "ft_allin_pct": (c("went_allin"), final),
+        "ft_shove_short_pct": (c("went_allin"), final & (stack <= 10)),
+        "ft_shove_medium_pct": (c("went_allin"), final & (stack > 10) & (stack <= 20)),
+        "ft_shove_deep_pct": (c("went_allin"), final & (stack > 20)),
+        "ft_shove_late_pct": (c("went_allin"), final & (group == "late")),
+        "ft_shove_blinds_pct": (c("went_allin"), final & (group == "blinds")),
+    }
+    shares = {name: (yes & base, base) for name, (yes, base) in of.items()}
+    # Shoves among opened hands; a shove does not have to be among them.
+    return shares | {"ft_open_shove_pct": (final & c("preflop_shove"), final & c("pfr"))}
+
+
+def player_sums(stats: DataFrame) -> DataFrame:
+    """Sums and counts per player from which all measures follow.
+
+    They add up: the sums of two sets of hands, added, are those of both together. Means are kept
+    as a sum of exact decimals and a count.
+    """
+    c = F.col
+    rush, final = c("stage") == "rush", c("stage") == "final"
+    exact = lambda name: F.sum(c(name).cast("decimal(18,4)"))
+    sums = {
         "total_hands": F.count(F.lit(1)),
-        "vpip_pct": rate(c("vpip")),
-        "pfr_pct": rate(c("pfr")),
-        "three_bet_pct": rate(c("three_bet")),
-        "aggression_factor": rounded(ratio(F.sum(c("total_bets") + c("total_raises")), F.sum("total_calls")), 2),
-        "wtsd_pct": rate(shown),
-        "wsd_pct": rate(c("won_hand"), shown),
-        "allin_pct": rate(c("went_allin")),
-        "avg_preflop_raise_bb": rounded(F.avg("preflop_raise_bb"), 1),
-        "avg_bet_size_bb": rounded(F.avg("avg_action_size_bb"), 1),
-        "total_net_profit": F.sum("net_profit"),
-        "open_raise_early_pct": rate(c("pfr"), group == "early"),
-        "open_raise_middle_pct": rate(c("pfr"), group == "middle"),
-        "open_raise_late_pct": rate(c("pfr"), group == "late"),
-        "sb_open_pct": rate(c("pfr"), c("position") == "SB"),
-        "bb_defend_pct": rate(c("vpip"), c("position") == "BB"),
         "rush_hands": count_where(rush),
-        "rush_vpip_pct": rate(c("vpip"), rush),
-        "rush_pfr_pct": rate(c("pfr"), rush),
-        "rush_3bet_pct": rate(c("three_bet"), rush),
-        "rush_allin_pct": rate(c("went_allin"), rush),
-        "rush_wtsd_pct": rate(shown, rush),
-        "rush_wsd_pct": rate(c("won_hand"), rush & shown),
-        "rush_net_profit": F.sum(F.when(rush, c("net_profit")).otherwise(0.0)),
         "ft_hands": count_where(final),
-        "ft_vpip_pct": rate(c("vpip"), final),
-        "ft_pfr_pct": rate(c("pfr"), final),
-        "ft_allin_pct": rate(c("went_allin"), final),
-        "ft_shove_short_pct": rate(c("went_allin"), final & (stack <= 10)),
-        "ft_shove_medium_pct": rate(c("went_allin"), final & (stack > 10) & (stack <= 20)),
-        "ft_shove_deep_pct": rate(c("went_allin"), final & (stack > 20)),
-        "ft_shove_late_pct": rate(c("went_allin"), final & (group == "late")),
-        "ft_shove_blinds_pct": rate(c("went_allin"), final & (group == "blinds")),
-        # Shoves among opened hands; a shove does not have to be among them.
-        "ft_open_shove_pct": pct(count_where(final & c("preflop_shove")), count_where(final & c("pfr"))),
+        "raising": F.sum((c("total_bets") + c("total_raises")).cast("bigint")),
+        "calling": F.sum(c("total_calls").cast("bigint")),
+        "raise_bb_sum": exact("preflop_raise_bb"),
+        "raise_bb_rows": F.count("preflop_raise_bb"),
+        "size_bb_sum": exact("avg_action_size_bb"),
+        "size_bb_rows": F.count("avg_action_size_bb"),
+        "total_net_profit": F.sum("net_profit"),
+        "rush_net_profit": F.sum(F.when(rush, c("net_profit")).otherwise(0.0)),
+    }
+    for name, (yes, base) in _shares().items():
+        sums |= {f"{name}_yes": count_where(yes), f"{name}_of": count_where(base)}
+    return stats.groupBy("player_name").agg(*[value.alias(name) for name, value in sums.items()])
+
+
+def added_sums(sums: DataFrame) -> DataFrame:
+    """One row per player for several rows of ``player_sums``, such as one per batch of hands."""
+    names = [c for c in sums.columns if c not in ("player_name", "batch")]
+    return sums.groupBy("player_name").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def statistics_of(sums: DataFrame) -> DataFrame:
+    """All measures of a player and the two labels, from one row of sums per player."""
+    c = F.col
+    shares = {name: pct(c(f"{name}_yes"), c(f"{name}_of")) for name in _shares()}
+    measures = {
+        "total_hands": c("total_hands"),
+        **{n: shares[n] for n in ("vpip_pct", "pfr_pct", "three_bet_pct")},
+        "aggression_factor": rounded(ratio(c("raising"), c("calling")), 2),
+        **{n: shares[n] for n in ("wtsd_pct", "wsd_pct", "allin_pct")},
+        "avg_preflop_raise_bb": rounded(ratio(c("raise_bb_sum"), c("raise_bb_rows")), 1),
+        "avg_bet_size_bb": rounded(ratio(c("size_bb_sum"), c("size_bb_rows")), 1),
+        "total_net_profit": c("total_net_profit"),
+        **{n: shares[n] for n in shares if n.startswith(("open_", "sb_", "bb_"))},
+        "rush_hands": c("rush_hands"),
+        **{n: shares[n] for n in shares if n.startswith("rush_")},
+        "rush_net_profit": c("rush_net_profit"),
+        "ft_hands": c("ft_hands"),
+        **{n: shares[n] for n in shares if n.startswith("ft_")},
     }
     vpip, pfr, factor = c("vpip_pct"), c("pfr_pct"), c("aggression_factor")
     loose, tight = vpip >= 40, vpip < 25
-    return (
-        stats.groupBy("player_name")
-        .agg(*[value.alias(name) for name, value in measures.items()])
-        .withColumns(
-            {
-                "player_type": F.when(loose & (pfr >= 25), "LAG")
-                .when(loose & (pfr < 25), "LP")
-                .when(tight & (pfr >= 18), "TAG")
-                .when(tight & (pfr < 18), "NIT")
-                .otherwise("REG"),
-                "aggression_style": F.when(factor >= 3, "very_aggressive")
-                .when(factor >= 2, "aggressive")
-                .when(factor >= 1, "neutral")
-                .otherwise("passive"),
-            }
-        )
+    return sums.select("player_name", *[value.alias(name) for name, value in measures.items()]).withColumns(
+        {
+            "player_type": F.when(loose & (pfr >= 25), "LAG")
+            .when(loose & (pfr < 25), "LP")
+            .when(tight & (pfr >= 18), "TAG")
+            .when(tight & (pfr < 18), "NIT")
+            .otherwise("REG"),
+            "aggression_style": F.when(factor >= 3, "very_aggressive")
+            .when(factor >= 2, "aggressive")
+            .when(factor >= 1, "neutral")
+            .otherwise("passive"),
+        }
     )
 
 
+def player_statistics(stats: DataFrame) -> DataFrame:
+    """All measures of a player in one aggregation, then the two labels."""
+    return statistics_of(player_sums(stats))
+
+
+def merge_hands(spark: SparkSession, name: str, stats: DataFrame, batch: str, folder: str | None = None) -> DataFrame:
+    """Statistics after a batch of hands: only its hands are summed, the others come from the table of sums.
+
+    The table ``name`` holds ``player_sums`` per batch. Running a batch again replaces its own sums,
+    so a repeat changes nothing and a corrected batch takes the place of the old one. A hand must
+    be in one batch only, as the insert-only merge of the hands table sees to.
+    """
+    return statistics_of(added_sums(write_batch(spark, name, player_sums(stats), batch, folder)))
+
+
 def player_shove_profile(stats: DataFrame) -> DataFrame:
     """All-ins before the flop whose cards are known."""
     cards = F.col("hole_cards")

@@ -44,6 +44,24 @@ def insert_new_rows(
     return spark.read.table(name)
 
 
+def write_batch(spark: SparkSession, name: str, rows: DataFrame, batch: str, folder: str | None = None) -> DataFrame:
+    """Put the rows of a batch into a table partitioned by ``batch``, in place of those it had before."""
+    dealt = rows.withColumn("batch", F.lit(batch))
+    if not spark.catalog.tableExists(name):
+        writer = dealt.write.partitionBy("batch")
+        (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(name)
+    else:
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            dealt.select(*spark.read.table(name).columns).write.mode("overwrite").insertInto(name)
+        finally:
+            spark.conf.set(mode, before)
+        spark.catalog.refreshTable(name)
+    return spark.read.table(name)
+
+
 def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows with the source rows put in their place or added."""
     kept = target.join(source.select(*keys), keys, "left_anti").select(*target.columns)

@@ -1,8 +1,11 @@
 """Streams and sinks run twice change nothing more."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from pokerlake.plans import players
 from pokerlake.sinks import tables
 from pokerlake.sinks.tables import insert_new_rows, latest, match_report, overwrite_table, upsert, upsert_stream
 from pokerlake.sources.files import preview_text_files, read_text_files
@@ -85,3 +88,26 @@ def test_reports(spark):
     }
     df = spark.createDataFrame([(i,) for i in range(30)], "ingested_at int")
     assert [r[0] for r in latest(df, 2).collect()] == [29, 28]
+
+
+def test_player_sums_of_batches_equal_a_full_run(spark, tmp_path):
+    rng = random.Random(6)
+    flags = ["vpip", "pfr", "three_bet", "went_to_showdown", "won_hand", "went_allin", "preflop_shove"]
+    schema = (
+        "player_name string, hand_id int, stage string, position string, position_group string, stack_bb double, total_bets int, total_raises int,"
+        "total_calls int, preflop_raise_bb double, avg_action_size_bb double, net_profit double, " + ", ".join(f"{f} boolean" for f in flags)
+    )
+    rows = [
+        (rng.choice("abc"), i, rng.choice(["rush", "final", None]), rng.choice(["SB", "BB", "CO", None]), rng.choice(["early", "late", "blinds"]), rng.choice([None, 5.0, 15.0, 40.0]),
+         rng.randrange(3), rng.randrange(3), rng.randrange(2), rng.choice([None, 2.1, 0.3, 7.7]), rng.choice([None, 0.1, 0.7]), float(rng.randrange(-900, 900)),
+         *[rng.choice([True, False, None]) for _ in flags])
+        for i in range(300)
+    ]
+    stats = spark.createDataFrame(rows, schema)
+    whole = sorted(map(tuple, players.player_statistics(stats).collect()))
+    parts = {"early": stats.filter("hand_id < 90"), "late": stats.filter("hand_id >= 90")}
+    players.merge_hands(spark, "sums", parts["late"].filter("hand_id < 200"), "late", str(tmp_path))  # corrected below
+    for batch in ("early", "late", "early", "early"):
+        merged = players.merge_hands(spark, "sums", parts[batch], batch, str(tmp_path))
+    assert sorted(map(tuple, merged.collect())) == whole and len(whole) == 3
+    assert players.statistics_of(players.added_sums(players.player_sums(stats.limit(0)))).collect() == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from pokerlake.plans import advice, folds, players, spots, tournaments
@@ -480,6 +482,15 @@ def _(t):
     return players.player_statistics(d.player_hand_stats(t))
 
 
+@query("gld19_player_statistics_in_batches", "SELECT * FROM fx_statistics")
+def _(t):
+    stats, name, folder = d.stored(t, d.player_hand_stats(t)), f"player_sums_{uuid4().hex[:12]}", d.fresh_dir(t)
+    number = F.pmod(F.xxhash64("hand_id"), F.lit(3))
+    for batch in (0, 1, 2, 1):  # the second one twice
+        merged = players.merge_hands(t.spark, name, stats.filter(number == batch), f"day{batch}", folder)
+    return merged
+
+
 A, B = "strpos('23456789TJQKA', substr(hole_cards, 1, 1)) + 1", "strpos('23456789TJQKA', substr(hole_cards, 3, 1)) + 1"
 cte("fx_shoves", f"""
     SELECT player_name, hand_id, stage, position, position_group, stack_bb,
