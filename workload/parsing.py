@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pokerlake.functions.times import capture_time
 from pokerlake.operators import captures, hand_text, tournament_text
+from pokerlake.streaming import spots as spots_stream
 from workload import derived as d
 from workload import render
 from workload.registry import cte, dbl, pct, query, rnd
@@ -365,6 +366,23 @@ def _(t):
     return first_per_key(keyed(t), ["spot_key"], ["screenshot_at", "file_name"]).select("spot_key", "file_name", "screenshot_at")
 
 
+@query("lnk3_first_of_spot_stream", "SELECT spot_key, capture AS file_name, taken_at AS screenshot_at FROM fx_first")
+def _(t):
+    folder = d.fresh_dir(t)
+    files = render.capture_files(t).withColumn("seconds", F.unix_timestamp(capture_time(F.col("file_name"))))
+    low, high = files.agg(F.percentile_approx("seconds", [0.33, 0.66])).first()[0]
+    part = F.when(F.col("seconds") < low, 0).when(F.col("seconds") < high, 1).otherwise(2)
+    # Three micro-batches, the second file of each a repeat of the first; a capture of a later day closes the last spots.
+    for i in (0, 1, 2):
+        rows = files.filter(part == i).select("raw_content", "file_name")
+        if i == 2:
+            rows = rows.unionByName(rows.limit(1).withColumn("file_name", F.lit("screenshot_29990101_000000_0_0_0")))
+        rows.unionByName(rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    query_ = spots_stream.start_first_of_spots(spots_stream.capture_stream(t.spark, f"{folder}/in", 1), f"{folder}/out", f"{folder}/checkpoint", "1 day")
+    query_.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("spot_key", "file_name", "screenshot_at")
+
+
 cte("fx_lists", """
     SELECT spot_key, COUNT(*) AS n, string_agg(advised, ',' ORDER BY taken_at, capture) AS actions,
            string_agg(gpt_recommendation, ',' ORDER BY taken_at, capture) AS texts FROM fx_spots GROUP BY 1""")
