@@ -47,9 +47,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document that the mix takes twice is there twice, one that it leaves out is gone."""
+    """The mix, shard after shard in local order: a document that it takes twice is there twice, one that it leaves out is gone."""
     ship(spark)
-    return mixing.mixed(docs).select("row.*")
+    return mixing.in_order(mixing.mixed(docs)).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

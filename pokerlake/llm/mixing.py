@@ -1,6 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents of a source are dealt by a hash of their id into a fixed number of blocks. A
+Documents of a source are dealt by a hash of id and text into a fixed number of blocks, rows that
+repeat both by a number of their own, so that no block holds more than its share. A
 source's target says how many passes over it the mix takes; the last pass is partial and
 takes whole blocks, in permuted order, that fit what is still missing. The draws of all
 sources are divided among output shards by a tree: a node splits its shards in halves and
@@ -8,13 +9,14 @@ draws, without replacement, how many blocks of each source go left, so every quo
 whole number and all quotas add up. A shard then gets the next run of each source's
 permuted draws, so draws are disjoint, and sorts its documents by a hash.
 
-Only one row per source (``MAX_SOURCES`` at most, beyond it an error) passes through the
-driver; blocks and documents stay in Spark. A block of a source is a group of at most
-``BLOCKS`` rows of sums.
+The words a document gives are counted from the draws that the tree has handed to a shard. Two
+numbers per source pass through the driver; names, blocks and documents stay in Spark. A
+block of a source is a group of at most ``BLOCKS`` rows of sums.
 
 Null sources form a source of their own, last in order. Null and empty texts have no words
-and go with their block. Rows with equal ids share a block. No documents: no rows. A column
-of the input keeps its name; those added are listed at each function.
+and go with their block. Of equal rows some may be taken and others not; which ones follows the
+order in which the input is read. No documents: no rows. A column of the input keeps its name;
+those added are listed at each function.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pokerlake.llm.common import stored
+from pokerlake.llm.sharding import running
 
 BLOCKS = 1024
-MAX_SOURCES = 100_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -95,36 +97,50 @@ def _draws(seed: int):
         parts.append(rows.block.to_numpy()[np.array(picked, np.int64)])
         out = pd.DataFrame({"block": np.concatenate(parts), "turn": np.repeat(np.arange(len(parts)), [len(p) for p in parts])})
         out["draw"] = np.arange(len(out))
+        out.insert(0, "number", number)
         out.insert(0, "source_key", rows.source_key[0])
         return out
 
     return draw
 
 
-def draw_blocks(docs: DataFrame, shards: int = 16, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7):
-    """(sources, draws, sized documents).
+def placed(docs: DataFrame, seed: int = 7, with_row: bool = False) -> DataFrame:
+    """A row per document: doc_id, source_key, block, size, on request ``row`` with all columns of ``docs``."""
+    columns = ["doc_id", source_key("source").alias("source_key"), F.xxhash64("text").alias("text_hash"), word_count().alias("size")]
+    base = docs.select(*columns, F.monotonically_increasing_id().alias("nr"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
+    base = stored(base, "sizes")  # the numbers are drawn once
+    same = ["doc_id", "text_hash"]
+    repeated = base.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(c).alias(f"_{c}") for c in same])
+    equal = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
+    known = base.join(stored(repeated, "repeated"), equal, "left")
+    # A null is left out of the hash.
+    block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash", F.when(F.col("_text_hash").isNotNull(), F.col("nr"))), F.lit(BLOCKS))
+    return known.select("doc_id", "source_key", block.cast("int").alias("block"), "size", *(["row"] if with_row else []))
 
-    sources: source_key, number, source_size, target. draws: source_key, block, turn, draw,
-    shard. documents: doc_id, source_key, block, size.
+
+def draw_blocks(sized: DataFrame, shards: int = 16, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7):
+    """(sources, draws) for the rows of ``placed``.
+
+    sources: source_key, number, source_size, target. draws: source_key, block, turn, draw and
+    the shard that the tree gives the draw to.
     """
-    spark = docs.sparkSession
-    sized = stored(docs.select("doc_id", source_key("source").alias("source_key"), block_of("doc_id", seed).alias("block"), word_count().alias("size")), "sizes")
+    spark = sized.sparkSession
     blocks = stored(sized.groupBy("source_key", "block").agg(F.sum("size").alias("words")), "blocks")
-    rows = blocks.groupBy("source_key").agg(F.sum("words").alias("size")).orderBy(F.col("source_key")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = np.array([r.size for r in rows], np.float64)
-    parts = np.array([weights[i % len(weights)] for i in range(len(rows))], np.float64)
+    names = running(blocks.groupBy("source_key").agg(F.sum("words").alias("source_size")), ["source_key"], "source_size")
+    names = stored(names.select("source_key", F.col("place").alias("number"), "source_size"), "sources")
+    sizes = names.orderBy("number").select("source_size").toPandas()["source_size"].to_numpy(np.float64)
+    parts = np.resize(np.array(weights, np.float64), len(sizes))
     target = targets(sizes, parts, share * sizes.sum(), most)
-    plan = [(r.source_key, i, int(r.size), float(t)) for i, (r, t) in enumerate(zip(rows, target, strict=True))]
-    sources = spark.createDataFrame(plan, "source_key string, number int, source_size long, target double")
-    drawn = stored(blocks.join(sources, "source_key").groupBy("source_key").applyInPandas(_draws(seed), "source_key string, block int, turn int, draw long"), "draws")
-    quota = {r.source_key: r["count"] for r in drawn.groupBy("source_key").count().collect()}
-    per_shard = split_quotas(np.array([quota.get(r.source_key, 0) for r in rows], np.int64), shards, seed)
-    ends = np.cumsum(per_shard, axis=0)
-    bounds = spark.createDataFrame([(r.source_key, ends[:, i].tolist()) for i, r in enumerate(rows)], "source_key string, ends array<long>")
+    goals = spark.createDataFrame([(i, float(t)) for i, t in enumerate(target)], "number long, target double")
+    sources = stored(names.join(goals, "number"), "targets")
+    drawn = stored(blocks.join(sources, "source_key").groupBy("source_key").applyInPandas(_draws(seed), "source_key string, number long, block int, turn int, draw long"), "draws")
+    quota = np.zeros(len(sizes), np.int64)
+    for r in drawn.groupBy("number").count().toLocalIterator():
+        quota[r["number"]] = r["count"]
+    ends = np.cumsum(split_quotas(quota, shards, seed), axis=0)
+    bounds = spark.createDataFrame([(i, ends[:, i].tolist()) for i in range(len(sizes))], "number long, ends array<long>")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("draw")))
-    return sources, drawn.join(bounds, "source_key").select("source_key", "block", "turn", "draw", shard.alias("shard")), sized
+    return sources, drawn.join(bounds, "number").select("source_key", "block", "turn", "draw", shard.alias("shard"))
 
 
 def source_key(source: str):
@@ -132,31 +148,32 @@ def source_key(source: str):
     return F.coalesce(F.concat(F.lit("0"), F.col(source)), F.lit("1"))
 
 
-def block_of(doc_id: str, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(BLOCKS)).cast("int")
-
-
-def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
-    sources, draws, sized = draw_blocks(docs, **options)
-    times = draws.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("times"))
-    joined = sized.join(times, ["source_key", "block"], "left").join(sources, "source_key")
-    taken = F.col("size") * F.coalesce("times", F.lit(0))
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+def taken_words(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken and ``shards``, where its copies are (ascending)."""
+    sized = placed(docs, seed)
+    sources, draws = draw_blocks(sized, seed=seed, **options)
+    given = draws.groupBy("source_key", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # at most two draws
+    joined = sized.join(given, ["source_key", "block"], "left").join(sources, "source_key")
+    at = F.coalesce("shards", F.array().cast("array<int>"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size(at)).cast("long").alias("taken"), at.alias("shards"))
 
 
 def mixed(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mix itself, a row per draw: ``row`` (a row of ``docs``), ``shard`` and ``place`` (order inside the shard)."""
-    _, draws, _ = draw_blocks(docs, seed=seed, **options)
-    keyed = docs.select(source_key("source").alias("source_key"), block_of("doc_id", seed).alias("block"), F.struct(*docs.columns).alias("row"))
+    rows = placed(docs, seed, with_row=True)
+    _, draws = draw_blocks(rows.drop("row"), seed=seed, **options)
     place = F.xxhash64(F.lit(seed), "row.doc_id", "turn")
-    return keyed.join(draws, ["source_key", "block"]).select("row", "shard", place.alias("place"))
+    return rows.join(draws, ["source_key", "block"]).select("row", "shard", place.alias("place"))
+
+
+def in_order(mix: DataFrame) -> DataFrame:
+    """The mix shard after shard, each shuffled by its places; a shard of any size is cut where the order allows."""
+    return mix.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
 
 
 def write_shards(mix: DataFrame, folder: str) -> None:
     """One folder per shard, each shard in its local order; large shards become several files."""
-    ordered = mix.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
-    ordered.write.partitionBy("shard").parquet(folder)
+    in_order(mix).write.partitionBy("shard").parquet(folder)
 
 
 def shard_sizes(draws: DataFrame) -> DataFrame:

@@ -54,6 +54,52 @@ def test_edge_rows(spark):
     assert sorted(r.taken for r in mixing.taken_words(empty).collect()) == [0, 0]
 
 
+def shared(sizes, weights, total, most):
+    """Targets by plain arithmetic: raise a common level per weight until the total is reached."""
+    low, high = 0.0, total
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(level * w, most * s) for s, w in zip(sizes, weights, strict=True)) < total:
+            low = level
+        else:
+            high = level
+    return [min(high * w, most * s) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_null_and_repeated_ids_reach_the_target(spark):
+    data = [(None if i < 950 else i, f"{'w ' * 19}{i}", "en", "a") for i in range(1000)]
+    data += [(7, "same " * 20, "en", "b")] * 1000 + [(10_000 + i, "v " * 20, "en", "c") for i in range(400)]
+    got = mixing.taken_words(documents(spark, data)).collect()
+    sizes = [20_000, 20_000, 8_000]
+    for (name, texts), size, goal in zip({"a": 1000, "b": 1000, "c": 400}.items(), sizes, shared(sizes, [5, 2, 1], 72_000, 2), strict=True):
+        own = [r for r in got if abs(r.target - goal) < 1 and r.source_size == size]
+        assert len(own) == texts, name
+        assert abs(sum(r.taken for r in own) - goal) <= 0.02 * size, name
+
+
+def test_taken_words_come_from_the_shards_of_the_tree(spark):
+    docs = documents(spark, rows())
+    got = mixing.taken_words(docs, shards=4).collect()
+    assert all(r.taken == r.size * len(r.shards) for r in got)
+    placed = {}
+    for r in mixing.mixed(docs, shards=4).collect():
+        placed.setdefault(r.row.doc_id, []).append(r.shard)
+    assert {r.doc_id: r.shards for r in got if r.shards} == {i: sorted(x) for i, x in placed.items()}
+
+
+def test_many_sources(spark):
+    data = [(i, "w " * (1 + i % 3), "en", f"s{i:05d}") for i in range(3_000)]
+    got = mixing.taken_words(documents(spark, data)).collect()
+    want = shared([1 + i % 3 for i in range(3_000)], [[5, 2, 1][i % 3] for i in range(3_000)], 1.5 * sum(1 + i % 3 for i in range(3_000)), 2)
+    assert np.allclose([r.target for r in sorted(got)], want)
+
+
+def test_order_inside_shards(spark):
+    mix = mixing.mixed(documents(spark, rows()), shards=3)
+    got = [(r.shard, r.place) for r in mixing.in_order(mix).collect()]
+    assert got == sorted(got) and len({s for s, _ in got}) == 3
+
+
 def test_written_shards(spark, tmp_path):
     mix = mixing.mixed(documents(spark, rows()), shards=3)
     mixing.write_shards(mix, str(tmp_path / "mix"))
