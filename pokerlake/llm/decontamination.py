@@ -191,7 +191,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
 
 
 def best_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The longest match of each document and item, with the share of the item that all its stretches cover."""
+    """The longest match of each doc_id and item, with the share of the item that all its stretches cover.
+
+    Rows with equal or null ids count as one document here; ``matches`` has every place of every row.
+    """
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), "start", "end")
     return matches(docs, benchmark).withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
 

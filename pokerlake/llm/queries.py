@@ -62,7 +62,7 @@ def _(spark, sf_dir):
 
 @query("op5_decontamination")
 def _(spark, sf_dir):
-    return decontamination.best_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("op3_hilbert_sharding")

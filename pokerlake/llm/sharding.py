@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pokerlake.llm.common import slices_of, stored
+from pokerlake.llm.common import free_name, slices_of, stored
 
 BITS = 4
 
@@ -155,12 +155,16 @@ def shards(docs: DataFrame, n_shards: int = 24, dimensions: list[Column] | None
 
 
 def write_shards(docs: DataFrame, folder: str, n_shards: int = 24) -> DataFrame:
-    """All columns of ``docs`` as Parquet, a folder per shard, in the order of the curve; returns the assignment."""
+    """All columns of ``docs`` as Parquet, a folder per shard, in the order of the curve; returns the assignment.
+
+    The shard is the partition column ``_shard``, with more underscores where ``docs`` has that name.
+    Rows with one id and texts of equal CRC share a place.
+    """
     assigned = stored(shards(docs, n_shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"]), "shards")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
-    keyed = docs.withColumn("_crc", crc)
-    to = assigned.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_to"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    joined = keyed.join(to, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_to")))
-    ordered = joined.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    ordered.drop("_crc", "_id", "_to", "_slot").write.partitionBy("_shard").parquet(folder)
+    id_, crc, to, shard, slot = (free_name(docs, n) for n in ("_id", "_crc", "_to", "_shard", "_slot"))
+    keyed = docs.withColumn(crc, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long"))
+    places = assigned.select(F.col("doc_id").alias(id_), F.col("text_crc32").alias(to), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    joined = keyed.join(places, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(crc) == F.col(to)))
+    ordered = joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
+    ordered.drop(crc, id_, to, slot).write.partitionBy(shard).parquet(folder)
     return assigned

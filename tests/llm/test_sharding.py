@@ -47,3 +47,11 @@ def test_written_files_are_the_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert set(docs.columns) < set(back.columns)
     assert {(r.doc_id, r._shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in assigned.collect()}
+
+
+def test_written_files_keep_columns_with_clashing_names(spark, tmp_path):
+    docs = documents(spark, rows(40)).selectExpr("*", "doc_id AS _crc", "'x' AS _shard", "'y' AS _slot", "1 AS _id", "2 AS _to")
+    sharding.write_shards(docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*docs.columns, "_shard_"}
+    assert sorted(map(tuple, back.select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
