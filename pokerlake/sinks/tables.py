@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pokerlake.functions.numbers import count_where, pct
+from pokerlake.sinks.scratch import stored
 
 UPSERT_PARTS = 64
 PART = "_part"
@@ -97,8 +98,9 @@ def upsert(
     source are rewritten. Their new state is staged as a table of its own first, since a
     table cannot be read and overwritten in one job: a run that breaks off before the
     staging is complete has changed nothing, and one that breaks off later is finished by the
-    next. Keys that occur twice in the source are refused.
+    next. The source is written once and read from there. Keys that occur twice in it are refused.
     """
+    source = stored(source, "source")
     if not source.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError("a key occurs more than once in the source")
     _finish(spark, name)
