@@ -101,4 +101,4 @@ def test_stages_take_edge_rows_and_keep_all_columns(spark, tmp_path):
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in queries.QUERIES if name != "pipeline"}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in queries.QUERIES if name != "pipeline"}
