@@ -63,7 +63,7 @@ def seven(row):
     return row["doc_id"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 7 == 0
 
 
-def check(spark, docs, strict=True):
+def check(spark, docs):
     got = [tuple(r) for r in merkle.manifest(docs, merkle.tampered_rows()).collect()]
     want = expected([r.asDict() for r in docs.collect()], seven)
     assert sorted(got, key=str) == want
@@ -76,6 +76,12 @@ def test_equals_brute_force_at_every_size(spark):
         check(spark, documents(spark, rows))
 
 
+@pytest.mark.parametrize("stride", [1, 3])
+def test_strides_change_no_digest(spark, monkeypatch, stride):
+    monkeypatch.setattr(merkle, "STRIDE", stride)
+    check(spark, documents(spark, [(i, f"text {i}", f"l{i % 11 % 3}") for i in range(40)]))
+
+
 def test_many_trees(spark):
     rows = [(i, f"text {i}", f"l{i % 300}") for i in range(700)]
     got = check(spark, documents(spark, rows))
