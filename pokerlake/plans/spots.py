@@ -111,19 +111,15 @@ def small_raise_outcomes(
         F.max(F.when(action == "fold", 1).otherwise(0)).alias("folded"),
         F.count_distinct("action_order").alias("hero_action_count"),
     )
-    rows = _with_hand(shots, mapping, dealt.join(deeds, "hand_id", "left"))
-    opponents = hand_players.filter("NOT is_hero").select("hand_id", "position", "chips_start")
-    behind = (
-        rows.filter("hand_id IS NOT NULL")
-        .select("file_name", "hero_pos", "hand_id", "big_blind")
-        .join(opponents, "hand_id")
-        .filter(acts_after(F.col("hero_pos"), F.col("position")))
-        .groupBy("file_name")
-        .agg(F.max(ratio(F.col("chips_start"), F.col("big_blind"))).alias("max_stack_behind"))
-    )
+    # A row per hand with its few seats, so that a capture meets its table in the join that brings the hand.
+    seats = hand_players.filter("NOT is_hero").groupBy("hand_id").agg(F.collect_list(F.struct("position", "chips_start")).alias("seats"))
+    rows = _with_hand(shots, mapping, dealt.join(deeds, "hand_id", "left").join(seats, "hand_id", "left"))
+    later = F.filter("seats", lambda s: acts_after(F.col("hero_pos"), s["position"]))
+    deepest = F.array_max(F.transform(later, lambda s: ratio(s["chips_start"], F.col("big_blind"))))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("raised", "folded", "hero_action_count")}
     return (
-        rows.join(behind, "file_name", "left")
+        rows.withColumn("max_stack_behind", deepest)
+        .drop("seats")
         .withColumns(zero)
         .withColumns(
             {
