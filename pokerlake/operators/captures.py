@@ -109,6 +109,18 @@ def spot_lists(keyed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     return list_parts(spot_recommendations(keyed), ["spot_key"], ["screenshot_at", "file_name"], columns, part_rows)
 
 
+def with_spot_lists(screenshots: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of ``build_screenshots`` with the lists of their spot from ``spot_lists``.
+
+    A row carries the first part of the lists, which is everything for all but spots without
+    time and cards; ``lists_complete`` tells, and ``lists`` has the further parts.
+    """
+    first = lists.filter("part = 0").drop("part")
+    last = lists.groupBy("spot_key").agg((F.max("part") == 0).alias("lists_complete"))
+    both = first.join(last, "spot_key")
+    return screenshots.join(both, "spot_key", "left")
+
+
 def build_screenshots(spots: DataFrame) -> DataFrame:
     """The screenshots table; ``spot_lists`` has the advice of the whole spot."""
 

@@ -105,4 +105,8 @@ def test_captures_of_large_spots_keep_their_rows(spark):
     parts = sorted(captures.spot_lists(keyed, part_rows=4).collect(), key=lambda r: r.part)
     assert [r.all_recommendations for r in parts] == [["a0", "a1", "a2", "a3"], ["a4", "a5"]]
     assert captures.spot_recommendations(keyed).count() == 6
+    built = captures.build_screenshots(captures.first_of_spots(keyed))
+    for size, listed, complete in ((4, 4, False), (6, 6, True)):
+        (row,) = captures.with_spot_lists(built, captures.spot_lists(keyed, part_rows=size)).collect()
+        assert (row.gpt_action, len(row.all_recommendations), row.lists_complete) == ("a0", listed, complete)
     assert captures.rejected_screenshots(bronze).count() == 2

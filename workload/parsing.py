@@ -416,6 +416,18 @@ def _(t):
     return df.withColumns({"board": F.array_join("board", ","), "actions": F.array_join("actions", ",")})
 
 
+@query("lnk5_screenshots_with_lists", """
+    SELECT capture AS file_name, spot_key, n AS recommendation_count, actions AS all_recommendations, texts AS all_recommendations_full, n AS times, true AS lists_complete
+    FROM fx_first JOIN fx_lists USING (spot_key)""")
+def _(t):
+    rows = keyed(t)
+    df = captures.with_spot_lists(captures.build_screenshots(captures.first_of_spots(rows)), captures.spot_lists(rows))
+    return df.select(
+        "file_name", "spot_key", "recommendation_count", F.array_join("all_recommendations", ",").alias("all_recommendations"),
+        F.array_join("all_recommendations_full", ",").alias("all_recommendations_full"), F.size("all_gpt_times").alias("times"), "lists_complete",
+    )
+
+
 @query("lnk6_build_screenshot_players", """
     SELECT capture AS file_name, CAST(p.seat AS BIGINT) AS seat, 'CO' AS pos, p.name, p.stack, CAST(p.vpip AS BIGINT) AS vpip, CAST(1.5 AS DOUBLE) AS bet,
            true AS active, false AS is_allin
