@@ -12,9 +12,11 @@ three times instead of ``WINDOW`` times.
 2. The others are packed. In a bucket equal strings are put together, the windows of the
    rest are sorted, and neighbours in the order are compared word for word.
 3. A minimiser with more than ``HOT`` super-k-mers (copies by the thousand, common phrases)
-   would make a bucket of any size. Its windows are counted one by one under two
-   independent 64-bit hashes, summed up before the shuffle, so a bucket is never larger than
-   ``HOT`` super-k-mers.
+   would make a bucket of any size. Its equal strings are first counted, before the shuffle:
+   all windows of a string that occurs twice are repeated. One of each string stays. If more
+   than ``HOT`` different ones are left, they are cut again, as in 1, by the minimisers of
+   longer runs, until those are as long as the window and strings that differ share nothing.
+   So a bucket never holds more than ``HOT`` strings, and words are compared, not hashes.
 4. The ranges found return to their documents, which drop the words covered.
 
 Counts cover all documents, windows are judged on the input. Null and empty texts have no
@@ -34,14 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pokerlake.llm.common import stored
-from pokerlake.llm.words import U64, rolling_hashes, sliding_argmin, text_slices, word_hashes, words_of
+from pokerlake.llm.words import U64, Words, rolling_hashes, sliding_argmin, text_slices, word_hashes, words_of
 
 WINDOW = 35
 SHORT = 5
 HOT = 256
 
 RUNS = "doc_id long, text_hash long, start int, windows int, minimiser long"
-PACKED = "hot boolean, minimiser long, second long, packed binary, doc_id long, text_hash long, start int, windows int"
+PACKED = "hot boolean, minimiser long, packed binary, doc_id long, text_hash long, start int, windows int"
+CUT_AGAIN = "minimiser long, packed binary, doc_id long, text_hash long, start int, windows int, open boolean"
 
 
 def super_kmers(texts: pa.Array, window: int = WINDOW, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,46 +77,44 @@ def _cut(window: int, short: int):
     return run
 
 
+def _strings(words: Words, first: np.ndarray, windows: np.ndarray, window: int) -> pa.Array:
+    """Words of each super-k-mer (first word, number of windows), joined by one space."""
+    data = words.data.tobytes()
+    low, high = words.start[first].tolist(), words.end[first + windows + window - 2].tolist()
+    return pa.array([b" ".join(data[a:b].split()) for a, b in zip(low, high, strict=True)], pa.binary())
+
+
 def _pack(window: int):
-    """Strings of the listed super-k-mers of each text; of hot minimisers a row per window."""
-    schema = pa.schema([("hot", pa.bool_()), ("minimiser", pa.int64()), ("second", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
-
-    def part_rows(part: pa.Array, runs: pa.Array, ids: pa.Array, hashes: pa.Array) -> pa.RecordBatch:
-        words = words_of(part)
-        offsets = runs.offsets.to_numpy().astype(np.int64)
-        items = runs.flatten()
-        start, windows, minimiser, hot = (items.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        owner = np.repeat(np.arange(len(part)), np.diff(offsets))
-        first = words.first[owner] + start
-        calm = np.flatnonzero(~hot)
-        data = words.data.tobytes()
-        low = words.start[first[calm]].tolist()
-        high = words.end[first[calm] + windows[calm] + window - 2].tolist()
-        packed = [b" ".join(data[a:b].split()) for a, b in zip(low, high, strict=True)]
-        # The windows of hot minimisers, one row each.
-        busy = np.flatnonzero(hot)
-        n = windows[busy].astype(np.int64)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(first[busy], n) + step
-        pair = [rolling_hashes(word_hashes(words, family), window, family).view(np.int64)[place] if len(place) else np.zeros(0, np.int64) for family in (0, 1)]
-        rows = pa.array(np.concatenate([owner[calm], np.repeat(owner[busy], n)]))
-        columns = [
-            pa.array(np.arange(len(rows)) >= len(calm)),
-            pa.array(np.concatenate([minimiser[calm], pair[0]])),
-            pa.array(np.concatenate([np.zeros(len(calm), np.int64), pair[1]])),
-            pa.array(packed + [None] * len(place), pa.binary()),
-            ids.take(rows),
-            hashes.take(rows),
-            pa.array(np.concatenate([start[calm], np.repeat(start[busy], n) + step]).astype(np.int32)),
-            pa.array(np.concatenate([windows[calm], np.ones(len(place), np.int64)]).astype(np.int32)),
-        ]
-        return pa.record_batch(columns, schema=schema)
+    """Strings of the listed super-k-mers of each text."""
+    names = ["hot", "minimiser", "packed", "doc_id", "text_hash", "start", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, part in text_slices(batch.column("text")):
-                n = len(part)
-                yield part_rows(part, *(batch.column(c).slice(low, n) for c in ("runs", "doc_id", "text_hash")))
+                words, runs = words_of(part), batch.column("runs").slice(low, len(part))
+                owner = np.repeat(np.arange(len(part)), np.diff(runs.offsets.to_numpy()))
+                items = runs.flatten()
+                start, windows = (items.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                packed, rows = _strings(words, words.first[owner] + start, windows, window), pa.array(owner + low)
+                columns = [items.field(3), items.field(2), packed, batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), items.field(0), items.field(1)]
+                yield pa.record_batch(columns, names=names)
+
+    return run
+
+
+def _cut_again(window: int, short: int):
+    """Super-k-mers of the strings of super-k-mers, by the minimisers of longer runs."""
+    names = ["minimiser", "packed", "doc_id", "text_hash", "start", "windows", "open"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, part in text_slices(batch.column("packed").cast(pa.string())):
+                owner, start, windows, minimiser = super_kmers(part, window, short)
+                words, rows = words_of(part), pa.array(owner + low)
+                doc_id, text_hash, before, open_ = (batch.column(c).take(rows) for c in ("doc_id", "text_hash", "start", "open"))
+                places = pa.array((before.to_numpy(zero_copy_only=False) + start).astype(np.int32))
+                columns = [pa.array(minimiser.view(np.int64)), _strings(words, words.first[owner] + start, windows, window), doc_id, text_hash, places, pa.array(windows.astype(np.int32)), open_]
+                yield pa.record_batch(columns, names=names)
 
     return run
 
@@ -159,7 +160,7 @@ def _count(window: int):
 
     def ranges(bucket: list[tuple]) -> Iterator[tuple]:
         for row, found in zip(bucket, repeated_windows([r[0] for r in bucket], window) if len(bucket) > 1 else [[]] * len(bucket), strict=True):
-            for low, high in found:
+            for low, high in found if row[4] else ():
                 yield row[1], row[2], row[3] + low, row[3] + high + window - 1
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,7 +172,7 @@ def _count(window: int):
         for batch in batches:
             out = []
             keys = batch.column("minimiser").to_pylist()
-            rows = zip(*(batch.column(c).to_pylist() for c in ("packed", "doc_id", "text_hash", "start")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("packed", "doc_id", "text_hash", "start", "open")), strict=True)
             for key, row in zip(keys, rows, strict=True):
                 if key != current:
                     out += ranges(bucket)
@@ -183,6 +184,41 @@ def _count(window: int):
     return run
 
 
+def _compared(strings: DataFrame, window: int) -> DataFrame:
+    """RANGES of the open strings of bounded buckets."""
+    return strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count(window), RANGES)
+
+
+def _hot_ranges(rows: DataFrame, window: int, short: int) -> DataFrame:
+    """RANGES of the super-k-mers (by runs of ``short`` words) of minimisers that have many.
+
+    A row is open if its windows may still be found repeated; the others are kept only to be
+    compared with. ``rows`` is a stored table.
+    """
+    end = F.col("start") + F.col("windows") + F.lit(window - 1)
+    found = None
+    for step in range(4):
+        # For a string that occurs once the maxima are its own values.
+        own = [F.max(c).alias(c) for c in ("doc_id", "text_hash", "start", "windows", "open")]
+        strings = stored(rows.groupBy("minimiser", "packed").agg(F.count(F.lit(1)).alias("n"), *own), "strings")
+        copied = strings.filter("n > 1").select("minimiser", "packed")
+        whole = rows.filter("open").join(copied, ["minimiser", "packed"]).select("doc_id", "text_hash", F.col("start").alias("low"), end.alias("high"))
+        found = whole if found is None else found.unionByName(whole)
+        if step == 3:  # strings are windows now
+            return found
+        sizes = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("_strings")).filter("_strings > 1")
+        sizes = stored(sizes.select("minimiser", (F.col("_strings") > HOT).alias("hot")), "minimisers")
+        left = strings.withColumn("open", F.col("open") & (F.col("n") == 1)).join(sizes, "minimiser").drop("n")
+        found = found.unionByName(_compared(left.filter("NOT hot"), window))
+        if sizes.filter("hot").isEmpty():
+            return found
+        longer = short + (window - short) * (step + 1) // 3
+        cut = stored(left.filter("hot").drop("hot").mapInArrow(_cut_again(window, longer), CUT_AGAIN), "cut-again")
+        twice = cut.groupBy("minimiser").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("minimiser")
+        rows = stored(cut.join(twice, "minimiser"), "cut-again")
+    return found
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
     """RANGES: words low to high - 1 of the text are covered by windows that occur elsewhere."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -194,12 +230,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -
     items = F.collect_set(F.struct("start", "windows", "minimiser", "hot")).alias("runs")
     lists = shared.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(items)
     joined = rows.join(lists, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_hash")
-    packed = stored(joined.mapInArrow(_pack(window), PACKED), "packed")
-    calm = packed.filter("NOT hot").select("minimiser", "packed", "doc_id", "text_hash", "start")
-    found = calm.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count(window), RANGES)
-    busy = packed.filter("hot").select("minimiser", "second", "doc_id", "text_hash", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
-    often = stored(busy.groupBy("minimiser", "second").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "windows")
-    return found.unionByName(busy.join(often, ["minimiser", "second"]).select("doc_id", "text_hash", "low", "high"))
+    packed = stored(joined.mapInArrow(_pack(window), PACKED).withColumn("open", F.lit(True)), "packed")
+    calm, busy = (packed.filter(f).drop("hot") for f in ("NOT hot", "hot"))
+    return _compared(calm, window).unionByName(_hot_ranges(busy, window, short))
 
 
 def _kept(with_text: bool):

@@ -37,7 +37,7 @@ def random_rows(n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot", [2, 256])
+@pytest.mark.parametrize("hot", [1, 2, 256])
 def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(sd, "HOT", hot)
     rows = random_rows()
@@ -45,6 +45,33 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     assert sorted(got, key=str) == expected(rows, 6)
 
 
+@pytest.mark.parametrize("hot", [1, 256])
+def test_words_of_equal_hashes_differ(spark, monkeypatch, hot):
+    # A word that doubles by its complement collides with that under every polynomial modulo 2**64.
+    monkeypatch.setattr(sd, "HOT", hot)
+    word, other = "a", "b"
+    while len(word) < 2048:
+        word, other = word + other, other + word
+    rows = [(i, " ".join([f"w{k}" for k in range(20)] + [x] + [f"w{k}" for k in range(20, 34)])) for i, x in enumerate([word, other])]
+    rows += [(9, rows[1][1] + " tail")] * (hot == 1)
+    got = [tuple(r) for r in sd.dedupe_substrings(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == expected(rows, 35)
+
+
+def test_bucket_of_many_strings(spark):
+    # One phrase in 10,000 surroundings: copies, shared windows and strings that share the phrase only.
+    draw = random.Random(8)
+    phrase = "the common phrase of all of these many texts".split()
+    sides = [[f"s{draw.randrange(50)}" for _ in range(12)] for _ in range(1500)]
+    rows = []
+    for i in range(10_000):
+        left = draw.choice(sides) if i % 2 else [f"u{i}x{k}" for k in range(12)]
+        right = draw.choice(sides) if i % 3 else [f"v{i}x{k}" for k in range(12)]
+        rows.append((i, " ".join([*left, *phrase, *right])))
+    got = [tuple(r) for r in sd.dedupe_substrings(documents(spark, rows), window=12, short=3).collect()]
+    assert sorted(got, key=str) == expected(rows, 12)
+
+
 def test_edge_rows_and_text(spark):
     rows = EDGES + [(20, "p " * 20 + " ".join(f"q{i}" for i in range(40))), (21, "r " + " ".join(f"q{i}" for i in range(40)))]
     found = sd.dedupe_substrings(documents(spark, rows), with_text=True).collect()
