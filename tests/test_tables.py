@@ -70,6 +70,44 @@ def test_upsert_survives_a_crash_and_rewrites_touched_parts_only(spark, tmp_path
     assert len(untouched) >= 6
 
 
+def test_readers_of_an_upserted_table_see_old_or_new_state(spark, tmp_path):
+    rows = spark.range(300).select("id", F.lit("old").alias("v"))
+    upsert(spark, "read_on", rows, ["id"], str(tmp_path), parts=4)
+    reader = spark.read.table("read_on")
+    upsert(spark, "read_on", rows.withColumn("v", F.lit("new")), ["id"], str(tmp_path))
+    assert {r.v for r in reader.collect()} == {"old"}
+    assert {r.v for r in spark.read.table("read_on").collect()} == {"new"}
+    # An upsert that is lost before its snapshot is complete changes nothing.
+    following = f"read_on__{tables._snapshot(spark, 'read_on')[0] + 1}"
+    rows.limit(5).withColumn(tables.PART, F.lit(0)).write.partitionBy(tables.PART).option("path", str(tmp_path / "lost")).saveAsTable(following)
+    state = upsert(spark, "read_on", spark.createDataFrame([(7, "third")], "id bigint, v string"), ["id"], str(tmp_path))
+    assert state.groupBy("v").count().orderBy("v").collect() == [("new", 299), ("third", 1)]
+    assert state.columns == ["id", "v"] and not spark.catalog.tableExists("read_on__1")
+    live = {f.split("/_part=")[0] for f in state.inputFiles()}
+    assert len(live) == 2 and len(list((tmp_path / "read_on__parts").glob("*/_part=*/*.parquet"))) == 5
+
+
+def test_upserted_tables_get_more_parts_as_they_grow(spark, tmp_path):
+    for wide in range(1, 40):
+        for n in range(200):
+            before, after = tables.part_of(n, wide), tables.part_of(n, wide + 1)
+            assert before < wide and (after == before or after == wide)
+    parts, expected = [], {}
+    for step in range(6):
+        ids = list(range(step * 100, step * 100 + 120))
+        expected |= dict.fromkeys(ids, step)
+        batch = spark.createDataFrame([(i, step) for i in ids], "id bigint, v int")
+        state = upsert(spark, "growing", batch, ["id"], str(tmp_path), parts=2, rows_per_part=60)
+        parts.append(tables._snapshot(spark, "growing")[1])
+        assert dict(map(tuple, state.collect())) == expected and state.count() == len(expected)
+    assert parts == [2, 2, 4, 6, 7, 9]
+    upsert(spark, "growing_at_once", spark.range(600), ["id"], str(tmp_path), parts=2, rows_per_part=60)
+    assert tables._snapshot(spark, "growing_at_once")[1] == 10
+    # Every row lies where its key says, also in parts that were never written again.
+    last = spark.read.table(f"growing__{tables._snapshot(spark, 'growing')[0]}")
+    assert last.filter(F.col(tables.PART) != tables._part(["id"], 9)).isEmpty()
+
+
 def test_stream_upserts_twice(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.json(str(source))
