@@ -1,7 +1,7 @@
 """Near-equal embeddings by cross-polytope hashing after fast Hadamard rotations.
 
 A vector is turned by three rounds of random signs and a Hadamard transform; the hash is the
-axis it then lies nearest to, with its sign. ``K`` such hashes make the bucket of a table,
+axis it then lies nearest to, with its sign; vectors of few dimensions are padded first. ``K`` such hashes make the bucket of a table,
 and each vector also probes the buckets it misses by least. Vectors that meet in a bucket
 are compared by matrix products inside bounded blocks, and every pair is counted only in the
 first bucket that it shares, so counts need no list of pairs. A block returns the number of
@@ -32,24 +32,31 @@ from pokerlake.llm.common import components, in_blocks, stored
 SIMILARITY = 0.95
 BLOCK = 512
 PROBES = 3
-#: Chance that two vectors at the threshold agree in one hash, probes included, measured for 64 dimensions; the target.
+#: Vectors are padded to as many dimensions at least: in few the turns would be of a few angles only.
+WIDTH = 64
+#: Chance that two vectors at the threshold agree in one hash, probes included, measured for ``WIDTH`` dimensions; the target.
 SHARED = 0.75
 MISSED = 0.0005
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard transform of each row; the length is a power of two."""
-    n, width = x.shape[1], 1
-    while width < n:
-        y = x.reshape(len(x), -1, 2, width)
+    n, step = x.shape[1], 1
+    while step < n:
+        y = x.reshape(len(x), -1, 2, step)
         x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(len(x), n)
-        width *= 2
+        step *= 2
     return x
 
 
+def width(dim: int) -> int:
+    """Dimensions in which vectors of ``dim`` are turned."""
+    return max(WIDTH, 1 << max(0, (dim - 1).bit_length()))
+
+
 def rotations(dim: int, count: int, seed: int) -> np.ndarray:
     """Signs of ``count`` rotations of three rounds each."""
-    size = 1 << max(0, (dim - 1).bit_length())
+    size = width(dim)
     return np.random.default_rng([seed, dim]).choice([-1.0, 1.0], (count, 3, size))
 
 
@@ -89,7 +96,7 @@ def buckets(x: np.ndarray, k: int, tables: int, seed: int) -> tuple[np.ndarray,
 
 def parameters(vectors: int, dim: int) -> tuple[int, int]:
     """(hashes of a bucket, number of tables) for so many vectors."""
-    n_axes = 2 << max(0, (dim - 1).bit_length())
+    n_axes = 2 * width(dim)
     k = max(1, min(math.ceil(math.log(max(vectors, 2)) / math.log(n_axes)), 60 // n_axes.bit_length()))
     return k, math.ceil(math.log(MISSED) / math.log(1 - SHARED**k))
 

@@ -42,12 +42,13 @@ def test_edge_rows(spark):
     assert el.links(table(spark, rows).limit(0)).collect() == []
 
 
-def test_rotation_keeps_lengths_and_buckets_recall():
+@pytest.mark.parametrize("dim", [2, 3, 4, 5, 8, 64, 256, 1024])
+def test_rotation_keeps_lengths_and_buckets_recall(dim):
     draw = np.random.default_rng(3)
     x = draw.normal(size=(50, 64))
     assert np.allclose(np.linalg.norm(el.hadamard(x) / 8, axis=1), np.linalg.norm(x, axis=1))
-    k, tables = el.parameters(50_000, 64)
-    a = draw.normal(size=(2_000, 64))
+    k, tables = el.parameters(50_000, dim)
+    a = draw.normal(size=(2_000, dim))
     a /= np.linalg.norm(a, axis=1)[:, None]
     u = draw.normal(size=a.shape)
     u -= (u * a).sum(axis=1)[:, None] * a
