@@ -3,8 +3,10 @@
 Words are compared in lower case and without ASCII punctuation. Of every ``SPAN``
 consecutive hashes of ``GRAM`` words, the smallest is a fingerprint, in templates and texts
 alike, so a common stretch of ``GRAM + SPAN - 1`` words shares one. Fingerprints of all
-templates form an inverted index; a hit names a template and a diagonal. Hits of one
-template with near diagonals are one candidate, and a local alignment in a band around it
+templates form an inverted index; a hit names a template and a diagonal. Templates of fewer
+than ``FEW`` words are also indexed by every word: where as many of their words as the
+coverage asks for lie within the band, each diagonal there is a candidate, so none of their
+places is missed, wherever words are changed. Other hits of one template with near diagonals are one candidate, and a local alignment in a band around it
 (words may be changed, missing or added) gives the words matched and the span in the text.
 
 The templates are a parameter; their index is as large as they are, not as the documents.
@@ -28,6 +30,7 @@ from pokerlake.llm.words import PLAIN_LOWER, PLAIN_SPACE, U64, rolling_hashes, s
 
 GRAM = 3
 SPAN = 3
+FEW = 12
 BAND = 8
 COVERAGE = 0.8
 FOUND = "doc_id long, template string, license string, matched long, template_words long, coverage double, start long, end long, start_byte long, end_byte long"
@@ -105,22 +108,33 @@ class Index:
         self.templates = templates
         words = words_of(pa.array([t[2] for t in templates], pa.string()), PLAIN_SPACE, PLAIN_LOWER)
         self.hashes, self.first = word_hashes(words), words.first
-        grams = rolling_hashes(self.hashes, GRAM)
-        marked, every = fingerprints(self.hashes, self.first)
-        # A template shorter than a fingerprint's reach is looked up by all of its runs.
-        size = np.diff(self.first)[np.searchsorted(self.first, every, "right") - 1]
-        short = every[size < GRAM + SPAN - 1]
-        self.marked, self.short = Postings(grams[marked], marked), Postings(grams[short], short)
-
-    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        marked, _ = fingerprints(self.hashes, self.first)
+        self.sizes = np.diff(self.first)
+        few = np.flatnonzero(np.repeat((self.sizes >= GRAM) & (self.sizes < FEW), self.sizes))
+        self.marked, self.words = Postings(rolling_hashes(self.hashes, GRAM)[marked], marked), Postings(self.hashes[few], few)
+
+    def candidates(self, hashes: np.ndarray, first: np.ndarray, coverage: float = COVERAGE) -> np.ndarray:
         """Distinct (text, template, diagonal)."""
-        grams = rolling_hashes(hashes, GRAM)
-        marked, every = fingerprints(hashes, first)
-        hits = [self.marked.join(grams[marked], marked), self.short.join(grams[every], every)]
-        place, spot = (np.concatenate(side) for side in zip(*hits, strict=True))
+        marked, _ = fingerprints(hashes, first)
+        grams = self._hits(*self.marked.join(rolling_hashes(hashes, GRAM)[marked], marked), first)
+        words = self._hits(*self.words.join(hashes, np.arange(len(hashes))), first)
+        # Where a window of as many hits as needed is no wider than the band, all of its diagonals.
+        size = self.sizes[words[:, 1]]
+        low = np.arange(len(words))
+        high = low + np.maximum(1, np.ceil(coverage * size - 1e-9).astype(np.int64)) - 1
+        low, high, size = (v[high < len(words)] for v in (low, high, size))
+        a, b = words[low], words[high]
+        met = (a[:, :2] == b[:, :2]).all(axis=1) & (b[:, 2] - a[:, 2] <= 2 * (size // 2))
+        n = (b[met, 2] - a[met, 2]) + 1
+        wide = np.repeat(a[met], n, axis=0)
+        wide[:, 2] += np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(np.concatenate([grams, wide]), axis=0)
+
+    def _hits(self, place: np.ndarray, spot: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sorted (text, template, diagonal) of each hit."""
         text, template = (np.searchsorted(f, p, "right") - 1 for f, p in ((first, place), (self.first, spot)))
         diagonal = (place - first[text]) - (spot - self.first[template])
-        return np.unique(np.stack([text, template, diagonal], axis=1), axis=0)
+        return np.stack([text, template, diagonal], axis=1)[np.lexsort([diagonal, template, text])]
 
     def matches(self, texts: pa.Array, coverage: float) -> list[tuple]:
         """(text, template, matching words, template words, first word, after the last, first byte, after the last)."""
@@ -129,10 +143,10 @@ class Index:
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
         offsets -= offsets[0]
         last = None
-        for text, template, diagonal in self.candidates(hashes, words.first).tolist():
+        for text, template, diagonal in self.candidates(hashes, words.first, coverage).tolist():
             own = self.hashes[self.first[template] : self.first[template + 1]]
             band = min(BAND, len(own) // 2)  # so that the band does not reach the next place
-            if last and last[:2] == (text, template) and diagonal - last[2] <= band // 2:
+            if len(own) >= FEW and last and last[:2] == (text, template) and diagonal - last[2] <= band // 2:
                 continue  # within the band of the candidate before
             last = (text, template, diagonal)
             low, high = int(words.first[text]), int(words.first[text + 1])

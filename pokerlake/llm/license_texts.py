@@ -1,4 +1,4 @@
-"""Templates of licence statements and notices."""
+"""Templates of licence statements and notices; the text of BSD-3-Clause holds that of BSD-2-Clause and gives both."""
 
 from __future__ import annotations
 
@@ -14,6 +14,15 @@ TEMPLATES: list[tuple[str, str, str]] = [
         WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
         governing permissions and limitations under the License.""",
     ),
+    (
+        "bsd2-conditions",
+        "BSD-2-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.""",
+    ),
     (
         "bsd-conditions",
         "BSD-3-Clause",

@@ -69,3 +69,45 @@ def test_common_stretches_share_a_fingerprint():
 def test_short_templates_have_a_fingerprint():
     index = ls.Index([("x", "X", "three word line"), ("y", "Y", "two words")])
     assert [m[:4] for m in index.matches(pa.array(["a three word line b", None, "two words"], pa.string()).fill_null(""), 0.8)] == [(0, 0, 3, 3)]
+
+
+def test_one_word_changed_or_missing_at_any_place_of_short_templates():
+    index = ls.Index(TEMPLATES)
+    for t, (_, _, text) in enumerate(TEMPLATES):
+        words = text.split()
+        if not 5 <= len(words) < ls.FEW:
+            continue
+        for at in range(len(words)):
+            for new in (["changed"], []):
+                broken = "some before " + " ".join(words[:at] + new + words[at + 1 :]) + " and after"
+                found = {(m[1], m[2]) for m in index.matches(pa.array([broken]), 0.8)}
+                plain = len(ls.words_of(pa.array([text]), ls.PLAIN_SPACE, ls.PLAIN_LOWER).start)
+                lost = len(ls.words_of(pa.array([words[at]]), ls.PLAIN_SPACE, ls.PLAIN_LOWER).start)
+                if plain - lost >= 0.8 * plain:
+                    assert any(m[0] == t and m[1] >= plain - lost for m in found), broken
+
+
+def test_scan_equals_alignment_at_every_diagonal():
+    draw = random.Random(12)
+    index = ls.Index(TEMPLATES)
+    sizes = np.diff(index.first)
+    texts = []
+    for _ in range(120):
+        words = [draw.choice("the license of this work under released is a an mit by".split()) for _ in range(30)]
+        own = draw.choice([t for t, n in zip(TEMPLATES, sizes, strict=True) if n < ls.FEW])[2].split()
+        for at in draw.sample(range(len(own)), draw.randint(0, 3)):
+            own[at] = draw.choice(["other", "the", ""])
+        words[10:10] = own
+        texts.append(" ".join(words))
+    found = {(m[0], m[1]) for m in index.matches(pa.array(texts), 0.8)}
+    expected = set()
+    words = ls.words_of(pa.array(texts), ls.PLAIN_SPACE, ls.PLAIN_LOWER)
+    hashes = ls.word_hashes(words)
+    for i in range(len(texts)):
+        text = hashes[words.first[i] : words.first[i + 1]]
+        for t, n in enumerate(sizes):
+            if n < ls.FEW:
+                own = index.hashes[index.first[t] : index.first[t + 1]]
+                if any(ls.align(own, text, d, int(n) // 2)[0] >= 0.8 * n for d in range(-int(n), len(text))):
+                    expected.add((i, t))
+    assert len(expected) > 40 and found == expected
