@@ -31,6 +31,7 @@ from pokerlake.llm.common import components, in_blocks, stored
 
 SIMILARITY = 0.95
 BLOCK = 512
+PIECE = 2_000
 PROBES = 3
 #: Vectors are padded to as many dimensions at least: in few the turns would be of a few angles only.
 WIDTH = 64
@@ -119,31 +120,63 @@ COMPARED = "id long, other long, links long"
 
 
 def _compare(threshold: float):
-    def run(rows: pa.Table) -> pa.Table:
+    """Links inside the groups of rows sorted by key, low and high, many groups at a time."""
+
+    def compared(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         n = rows.num_rows
-        low, high, key = (rows.column(c)[0].as_py() for c in ("low", "high", "key"))
-        rows = rows.combine_chunks()
-        x, own, probed = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) for c in ("vector", "own", "probed"))
-        ids, copies, block, main = (rows.column(c).to_numpy() for c in ("rep", "copies", "block", "main"))
-        x = x.astype(np.float64)
-        norm = np.linalg.norm(x, axis=1)
-        near = np.triu((x @ x.T) / np.outer(norm, norm) >= threshold, 1) & (main[:, None] | main[None, :])
-        if low != high:
-            near &= block[:, None] != block[None, :]
-        i, j = np.nonzero(near)
-        i, j = _owned(i, j, key, own, probed)
+        x, own, probed = (rows.column(c).flatten().to_numpy().reshape(n, -1) for c in ("vector", "own", "probed"))
+        ids, copies, block, main, key, low, high = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "copies", "block", "main", "key", "low", "high"))
+        norm = np.linalg.norm(x.astype(np.float64), axis=1)
+        pairs = [np.zeros((2, 0), np.int64)]
+        for a, b in zip(starts, np.append(starts[1:], n), strict=True):
+            y, own_bucket = x[a:b].astype(np.float64), main[a:b]
+            near = np.triu((y @ y.T) / np.outer(norm[a:b], norm[a:b]) >= threshold, 1) & (own_bucket[:, None] | own_bucket[None, :])
+            if low[a] != high[a]:
+                near &= block[a:b, None] != block[None, a:b]
+            if near.any():
+                pairs.append(np.stack(np.nonzero(near)) + a)
+        i, j = _owned(*np.concatenate(pairs, axis=1), key, own, probed)
         links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-        a, b = _forest(n, i, j)
+        ends = np.append(starts, n)
+        group = np.searchsorted(starts, i, "right") - 1
+        trees = [np.zeros((2, 0), np.int64)]
+        for g in np.unique(group):
+            first, here = ends[g], slice(*np.searchsorted(group, [g, g + 1]))
+            trees.append(np.stack(_forest(ends[g + 1] - first, i[here] - first, j[here] - first)) + first)
+        a, b = np.concatenate(trees, axis=1)
         some = np.flatnonzero(links)
-        ids_out = np.concatenate([ids[some], ids[a]])
         other = np.concatenate([np.full(len(some), -1), ids[b]])
-        return pa.table({"id": ids_out, "other": pa.array(other, mask=np.arange(len(other)) < len(some)), "links": np.concatenate([links[some], np.zeros(len(a))]).astype(np.int64)})
+        columns = [np.concatenate([ids[some], ids[a]]), pa.array(other, pa.int64(), mask=np.arange(len(other)) < len(some)), np.concatenate([links[some], np.zeros(len(a))]).astype(np.int64)]
+        return pa.record_batch([pa.array(c) for c in columns], names=["id", "other", "links"])
+
+    def pieces(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``compared`` for whole groups of about ``PIECE`` rows together."""
+        ends, at = np.append(starts[1:], rows.num_rows), 0
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
+            low, high = int(starts[at]), int(ends[stop - 1])
+            yield compared(rows.slice(low, high - low), starts[at:stop] - low)
+            at = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last group, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            names = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], axis=1)
+            starts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1])
+            if len(starts) > 1:
+                yield from pieces(rows.slice(0, int(starts[-1])), starts[:-1])
+            held = rows.slice(int(starts[-1]))
+        if held is not None:
+            yield from pieces(held, np.zeros(1, np.int64))
 
     return run
 
 
-def _owned(i: np.ndarray, j: np.ndarray, key: int, own: np.ndarray, probed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose first shared bucket is ``key``."""
+def _owned(i: np.ndarray, j: np.ndarray, key: np.ndarray, own: np.ndarray, probed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that met in the first bucket that they share; ``key`` is the bucket of each row."""
     keep = []
     probed = probed.reshape(*own.shape, -1)
     for at in range(0, len(i), 20_000):
@@ -153,7 +186,7 @@ def _owned(i: np.ndarray, j: np.ndarray, key: int, own: np.ndarray, probed: np.n
         shared = np.where(to_right & to_left, np.minimum(left, right), np.where(to_right, right, left))
         met = (left == right) | to_right | to_left
         first = met.argmax(axis=1)
-        keep.append(shared[np.arange(len(a)), first] == key)
+        keep.append(shared[np.arange(len(a)), first] == key[a])
     keep = np.concatenate(keep) if keep else np.zeros(0, bool)
     return i[keep], j[keep]
 
@@ -213,4 +246,6 @@ def _of_one_length(classes: DataFrame, k: int, tables: int, threshold: float, se
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("main").alias("any_main")).filter("n > 1 AND any_main").drop("any_main")
     met = keys.join(stored(shared, "buckets"), "key").join(hashed, "rep")
     blocks = in_blocks(met, "key", "n", "rep", BLOCK)
-    return blocks.groupBy("key", "low", "high").applyInArrow(_compare(threshold), COMPARED)
+    group = ["key", "low", "high"]
+    dealt = blocks.select(*group, "rep", "copies", "vector", "own", "probed", "main", "block").repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(_compare(threshold), COMPARED)

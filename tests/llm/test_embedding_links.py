@@ -19,10 +19,11 @@ def clusters(n=40, dim=16):
     return rows + [(len(rows), rows[0][1]), (len(rows) + 1, rows[0][1])]
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "piece", "dim"), [(3, 2_000, 16), (512, 2_000, 16), (512, 3, 16), (512, 2_000, 3)])
+def test_equals_brute_force(spark, monkeypatch, block, piece, dim):
     monkeypatch.setattr(el, "BLOCK", block)
-    rows = clusters()
+    monkeypatch.setattr(el, "PIECE", piece)
+    rows = clusters(dim=dim)
     x = np.array([np.float32(v) for _, v in rows], np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = x @ x.T >= 0.95
