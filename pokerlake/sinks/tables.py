@@ -126,10 +126,12 @@ def _finish(spark: SparkSession, name: str) -> None:
 def drop_old_snapshots(spark: SparkSession, name: str, keep: int = 2) -> None:
     """Delete the parts of an upserted table that none of its last ``keep`` snapshots needs."""
     number, _ = _snapshot(spark, name)
-    held = {n: f"{name}__{n}" for n in range(1, number + 1) if spark.catalog.tableExists(f"{name}__{n}")}
+    held = {}
+    while spark.catalog.tableExists(f"{name}__{number - len(held)}"):  # older ones are gone
+        held[number - len(held)] = f"{name}__{number - len(held)}"
     needed = {f for n, table in held.items() if n > number - keep for f in _folders(spark, table).values()}
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    for n, table in held.items():
+    for n, table in sorted(held.items()):
         if n <= number - keep:
             for folder in set(_folders(spark, table).values()) - needed:
                 path(folder).getFileSystem(conf).delete(path(folder), True)
