@@ -133,9 +133,10 @@ def drop_old_snapshots(spark: SparkSession, name: str, keep: int = 2) -> None:
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     for n, table in sorted(held.items()):
         if n <= number - keep:
-            for folder in set(_folders(spark, table).values()) - needed:
+            unneeded = set(_folders(spark, table).values()) - needed
+            spark.sql(f"DROP TABLE {table}")  # first, so that a run that breaks off leaves no table without files
+            for folder in unneeded:
                 path(folder).getFileSystem(conf).delete(path(folder), True)
-            spark.sql(f"DROP TABLE {table}")
 
 
 def upsert(
