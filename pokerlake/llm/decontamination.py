@@ -161,7 +161,7 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
 
 
 def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[TestItems]:
-    """The items in blocks of about ``block_words`` words; the driver holds one row per item of a block at a time."""
+    """The items in blocks of about ``block_words`` words; the rows of one block at a time, the seeds of all blocks pass through the driver."""
     sized = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("words")), "items")
     n = max(1, -(-(sized.agg(F.sum("words")).first()[0] or 0) // block_words))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
