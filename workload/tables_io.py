@@ -58,8 +58,8 @@ def _(t):
     SELECT hand_id, CAST(big_blind AS BIGINT) AS big_blind, CAST(total_pot AS BIGINT) AS total_pot, CAST(6 AS BIGINT) AS seats FROM fx_hands""")
 def _(t):
     folder = f"{fresh_dir(t)}/histories"
-    # A few large files, cut by byte ranges when they are read.
-    render.hand_texts(t).select("block").repartition(3, "block").write.option("lineSep", "\n\n\n").text(folder)
+    # Large files of about one size, as many as the hands fill; they are cut by byte ranges when they are read.
+    render.hand_texts(t).select("block").hint("rebalance", F.col("block")).write.option("lineSep", "\n\n\n").text(folder)
     parsed = hand_text.parse_blocks(read_hand_blocks(t.spark, folder, "*.txt"))
     return parsed.select("hand_id", "big_blind", "total_pot", F.size("seats").alias("seats"))
 
