@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 
 from pokerlake.plans.features import PLAYER_FEATURES
 from pokerlake.plans.models import fit_clusters, k_search
+from workload import models as queries
 
 GROUPS = ((10.0, 5.0), (40.0, 9.0), (70.0, 30.0))
 
@@ -46,3 +49,17 @@ def test_starts_move_together(spark, players):
     before = set(known())
     k_search(players, [2, 3], starts=10).collect()
     assert len(set(known()) - before) < 100
+
+
+def test_training_and_scoring_share_one_run_of_the_joins(spark, monkeypatch):
+    runs = []
+
+    def players(t):
+        runs.append(t)
+        columns = ", ".join(f"cast(id * {i + 2} AS double) AS {c}" for i, c in enumerate(PLAYER_FEATURES))
+        return spark.range(30).selectExpr("cast(id AS string) AS player_name", "id AS total_hands", *columns.split(", "))
+
+    monkeypatch.setattr(queries, "player_features", players)
+    t = SimpleNamespace(spark=spark, sf_dir="made up")
+    assert (queries.training(t).count(), queries.stored_players(t).count()) == (20, 30)
+    assert len(runs) == 1

@@ -129,8 +129,13 @@ def once(t, name: str, make):
     return _MADE[key]
 
 
+def stored_players(t):
+    """The features of all players, written once: training and scoring read them without another run of the joins."""
+    return once(t, "players", lambda: d.stored(t, player_features(t)))
+
+
 def training(t):
-    return once(t, "training", lambda: d.stored(t, models.impute_median(models.trainable(player_features(t)), FEATURES)))
+    return once(t, "training", lambda: d.stored(t, models.impute_median(models.trainable(stored_players(t)), FEATURES)))
 
 
 def searched(t):
@@ -228,7 +233,7 @@ def _(t):
            COUNT(*) FILTER (WHERE total_hands >= 10) AS with_enough_hands FROM fx_statistics""")
 def _(t):
     """Search, choice of k, fit, save, load, score: the chain of the two jobs."""
-    rows, players_ = training(t), d.stored(t, player_features(t))
+    rows, players_ = training(t), stored_players(t)
     folder = d.fresh_dir(t)
     fitted(t).write().save(f"{folder}/model")
     model = PipelineModel.load(f"{folder}/model")
@@ -259,7 +264,7 @@ def _(t):
 
 @query("ml11_jn12_score_players")
 def _(t):
-    players_, rows = d.stored(t, player_features(t)), training(t)
+    players_, rows = stored_players(t), training(t)
     model = fitted(t)
     return models.score_players(model, players_, models.cluster_definitions(model, rows), rows.count()).drop("scored_at")
 
