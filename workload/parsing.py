@@ -293,6 +293,10 @@ cte("fx_spots", """
 cte("fx_first", "SELECT * FROM fx_spots QUALIFY row_number() OVER (PARTITION BY spot_key ORDER BY taken_at, capture) = 1")
 
 
+#: Files of a part come in any order of time, so all of them belong to one micro-batch.
+ALL_FILES = 2**31 - 1
+
+
 def keyed(t) -> DataFrame:
     """Parsed captures, written once; the tables are derived from them."""
     return d.stored(t, captures.with_spot_key(captures.parse_screenshots(render.capture_files(t))))
@@ -369,17 +373,18 @@ def _(t):
 @query("lnk3_first_of_spot_stream", "SELECT spot_key, capture AS file_name, taken_at AS screenshot_at FROM fx_first")
 def _(t):
     folder = d.fresh_dir(t)
-    files = render.capture_files(t).withColumn("seconds", F.unix_timestamp(capture_time(F.col("file_name"))))
+    # Written once; the stream's three parts are cut from it.
+    files = d.stored(t, render.capture_files(t).withColumn("seconds", F.unix_timestamp(capture_time(F.col("file_name")))))
     low, high = files.agg(F.percentile_approx("seconds", [0.33, 0.66])).first()[0]
     part = F.when(F.col("seconds") < low, 0).when(F.col("seconds") < high, 1).otherwise(2)
-    # Three micro-batches, the second file of each a repeat of the first; a capture of a later day closes the last spots.
+    # Three runs of one micro-batch each, every capture twice in it; a capture of a later day closes the last spots.
     for i in (0, 1, 2):
         rows = files.filter(part == i).select("raw_content", "file_name")
         if i == 2:
             rows = rows.unionByName(rows.limit(1).withColumn("file_name", F.lit("screenshot_29990101_000000_0_0_0")))
-        rows.unionByName(rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    query_ = spots_stream.start_first_of_spots(spots_stream.capture_stream(t.spark, f"{folder}/in", 1), f"{folder}/out", f"{folder}/checkpoint", "1 day")
-    query_.awaitTermination()
+        rows.unionByName(rows).write.mode("append").parquet(f"{folder}/in")
+        stream = spots_stream.capture_stream(t.spark, f"{folder}/in", ALL_FILES)
+        spots_stream.start_first_of_spots(stream, f"{folder}/out", f"{folder}/checkpoint", "1 day").awaitTermination()
     return t.spark.read.parquet(f"{folder}/out").select("spot_key", "file_name", "screenshot_at")
 
 
